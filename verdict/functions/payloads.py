@@ -41,6 +41,6 @@ def body_error(body, parsed) -> Column:
     """A body that is not a JSON object is an error row, as a raised parse
     error is in the evaluated pipeline."""
     b = _col(body)
-    ok = F.coalesce(F.get_json_object(b, "$").isNotNull() & clean_or_empty(b).startswith("{"),
+    ok = F.coalesce(_col(parsed).isNotNull() & clean_or_empty(b).startswith("{"),
                     F.lit(False))
     return F.when(ok, F.lit("")).otherwise(F.lit("JSONDecodeError: body is not a JSON object"))

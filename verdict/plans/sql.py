@@ -196,3 +196,85 @@ def metrics_select(group_cols: list[str], source: str, views=("all", "parsed", "
        (2.0 * tp) / (2.0 * tp + fp + fn) AS f1, (tp + tn) / (tp + fp + fn + tn) AS accuracy
 FROM ({body}) u
 WHERE tp + fn > 0 AND tn + fp > 0 AND tp + fp > 0 AND tn + fn > 0"""
+
+
+# -- prompts, examples, owed replies ------------------------------------------
+
+def shot_values(settings: Settings = FIXTURE) -> list[int]:
+    return sorted({s for _, s in settings.prompt_methods() if s})
+
+
+def render_ctes(settings: Settings = FIXTURE) -> dict[str, str]:
+    pos = q(settings.positive_label)
+    slot_vals = ", ".join(f"({s}, {k}, {'true' if k % 2 == 0 else 'false'})"
+                          for s in shot_values(settings) for k in range(s))
+    example = templates.sql_render(templates.EXAMPLE, {
+        "source": lang_name("x.source_language", settings),
+        "target": lang_name("x.target_language", settings),
+        "source_text": "x.source_text", "target_text": "x.target_text",
+        "answer": "x.answer"})
+    fields = {"source": lang_name("i.source_language", settings),
+              "target": lang_name("i.target_language", settings),
+              "source_text": "i.source_text", "target_text": "i.target_text",
+              "examples": "t.examples", "other_label": "''", "other_reasoning": "''"}
+    by_method = " ".join(f"WHEN {q(m)} THEN {templates.sql_render(tpl, fields)}"
+                         for m, tpl in sorted(templates.TEMPLATES.items()))
+    return {
+        "slots": f"SELECT * FROM (VALUES {slot_vals}) v(shots, slot, positive)",
+        "candidates": f"""
+  SELECT s.shots, s.slot, i.item_id, i.direction,
+         md5(concat_ws('|', '{settings.example_seed}', i.direction, CAST(s.shots AS VARCHAR),
+                       CAST(s.slot AS VARCHAR), CAST(i.item_id AS VARCHAR))) AS h
+  FROM items i JOIN slots s ON (i.answer = {pos}) = s.positive""",
+        "examples": """
+  SELECT direction, shots, slot, first(item_id ORDER BY h, item_id) AS item_id
+  FROM candidates GROUP BY direction, shots, slot""",
+        "example_text": f"""
+  SELECT p.prompt_id, string_agg({example}, '' ORDER BY e.slot) AS examples,
+         count(*) AS shown
+  FROM prompts p
+  JOIN examples e ON e.direction = p.direction AND e.shots = p.shots AND e.item_id <> p.item_id
+  JOIN items x ON x.item_id = e.item_id
+  GROUP BY p.prompt_id""",
+        "rendered": f"""
+  SELECT p.prompt_id, p.item_id, p.method, p.shots, p.direction, p.answer,
+         CASE p.method {by_method} END AS prompt,
+         CAST(coalesce(t.shown, 0) AS INTEGER) AS examples_shown
+  FROM prompts p JOIN items i ON i.item_id = p.item_id
+  LEFT JOIN example_text t ON t.prompt_id = p.prompt_id""",
+    }
+
+
+def budget(method: str, model: str, settings: Settings = FIXTURE) -> str:
+    caps = " ".join(f"WHEN {q(m.name)} THEN {int(m.max_tokens)}" for m in settings.methods)
+    room = " ".join(f"WHEN {q(m.id)} THEN {int(m.reasoning_headroom)}" for m in settings.models)
+    return (f"(CAST(CASE {method} {caps} END AS INTEGER) + "
+            f"CAST(CASE {model} {room} ELSE 0 END AS INTEGER))")
+
+
+def wanted_cte(settings: Settings = FIXTURE) -> str:
+    return f"""
+  SELECT prompt_id, model, method, replicate, runtime,
+         CAST({settings.temperature} AS DOUBLE) AS temperature,
+         {budget('method', 'model', settings)} AS max_tokens
+  FROM reply_keys"""
+
+
+def scores_ctes() -> dict[str, str]:
+    """by_dir / grouped / scores: the full scores table (score_directions)."""
+    from ..operators import metrics
+    by_dir = (f"SELECT model, method, shots, direction, {confusion_select('')} "
+              "FROM judgements GROUP BY model, method, shots, direction")
+    overall = ("SELECT model, method, shots, 'overall' AS direction, "
+               + ", ".join(f"sum({v}_{c}) AS {v}_{c}" for v in metrics.VIEWS
+                           for c in metrics.CELLS)
+               + ", sum(refusals) AS refusals, sum(unparsed) AS unparsed "
+               "FROM by_dir GROUP BY model, method, shots")
+    return {"by_dir": by_dir, "grouped": f"SELECT * FROM by_dir UNION ALL {overall}",
+            "scores": metrics_select(["model", "method", "shots", "direction"], "grouped")}
+
+
+def last_line(expr: str) -> str:
+    s = strip_or_empty(expr)
+    return (f"CASE WHEN {s} = '' THEN '' "
+            f"ELSE string_split_regex({s}, {q(text.LINE_BREAK)})[-1] END")

@@ -75,8 +75,9 @@ def write_table(df: DataFrame, path: str, columns: list[str] | None = None,
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    if fmt == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+    if fmt in ("csv", "tsv"):
+        (writer.options(sep="\t" if fmt == "tsv" else ",", header=True, escape='"')
+         .csv(path))
     else:
         writer.format(fmt).save(path)
     return path
