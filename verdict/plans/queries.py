@@ -384,13 +384,13 @@ _SAMPLING = " OR ".join(f"model = {S.q(m.id)}" for m in CFG.models if m.takes_sa
 
 
 @register("request_bodies", S.with_ctes(
-    "SELECT model, method, prompt_id, replicate, CASE WHEN " + _SAMPLING + " THEN "
+    "SELECT model, method, prompt_id, replicate, CAST(CASE WHEN " + _SAMPLING + " THEN "
     "to_json({'model': model, 'max_tokens': max_tokens, 'messages': [{'role': 'system', "
     f"'content': {S.templates.sql_literal(S.templates.SYSTEM)}}}, {{'role': 'user', 'content': prompt}}], "
     f"'temperature': temperature, 'top_p': CAST({CFG.top_p} AS DOUBLE)}}) ELSE "
     "to_json({'model': model, 'max_tokens': max_tokens, 'messages': [{'role': 'system', "
     f"'content': {S.templates.sql_literal(S.templates.SYSTEM)}}}, {{'role': 'user', 'content': prompt}}]}}) "
-    "END AS body FROM owed_text", ["replies_b"], _OUTSTANDING))
+    "END AS VARCHAR) AS body FROM owed_text", ["replies_b"], _OUTSTANDING))
 def q_request_bodies(spark, sf_dir):
     return replies.request_bodies(_owed_text(spark, sf_dir), CFG)
 
