@@ -6,15 +6,25 @@ models), never by the data, which is what makes broadcasting them safe.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .config import Settings
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table held in the plan itself (LocalTableScan): no RDD and no
+    Python worker when it is scanned."""
+    st = StructType.fromDDL(schema)
+    pdf = pd.DataFrame(rows, columns=[f.name for f in st.fields])
+    return spark.createDataFrame(pdf, schema=st)
+
+
 def languages(spark: SparkSession, settings: Settings) -> DataFrame:
     rows = sorted(settings.language_names().items())
-    return spark.createDataFrame(rows, "code string, name string")
+    return local_table(spark, rows, "code string, name string")
 
 
 def directions(spark: SparkSession, settings: Settings) -> DataFrame:
@@ -23,9 +33,8 @@ def directions(spark: SparkSession, settings: Settings) -> DataFrame:
     Built with ``explode`` over the language table, then ``unionByName`` of the
     extra pairs, in configuration order (``position``)."""
     anchor = settings.anchor[0]
-    langs = spark.createDataFrame(
-        [(i, code) for i, (code, _) in enumerate(settings.languages)],
-        "i int, code string")
+    langs = local_table(spark, [(i, code) for i, (code, _) in enumerate(settings.languages)],
+                        "i int, code string")
     both = langs.select(
         F.posexplode(F.array(
             F.struct(F.col("code").alias("source_language"),
@@ -34,9 +43,8 @@ def directions(spark: SparkSession, settings: Settings) -> DataFrame:
                      F.col("code").alias("target_language")))).alias("k", "pair"),
         "i").select((F.col("i") * 2 + F.col("k")).alias("position"), "pair.*")
     base = 2 * len(settings.languages)
-    extra = spark.createDataFrame(
-        [(base + j, s, t) for j, (s, t) in enumerate(settings.extra_pairs)],
-        "position int, source_language string, target_language string")
+    extra = local_table(spark, [(base + j, s, t) for j, (s, t) in enumerate(settings.extra_pairs)],
+                        "position int, source_language string, target_language string")
     return both.unionByName(extra)
 
 
@@ -44,19 +52,19 @@ def methods(spark: SparkSession, settings: Settings) -> DataFrame:
     """One row per (method, shots) with the method's token cap."""
     rows = [(m.name, m.title, int(s), int(m.max_tokens))
             for m in settings.methods for s in m.shots]
-    return spark.createDataFrame(rows, "method string, title string, shots int, max_tokens int")
+    return local_table(spark, rows, "method string, title string, shots int, max_tokens int")
 
 
 def panel(spark: SparkSession, settings: Settings) -> DataFrame:
     rows = [(m.id, m.runtime, m.access, m.weights, m.precision, m.url,
              m.sampling, int(m.reasoning_headroom), m.takes_sampling)
             for m in settings.models]
-    return spark.createDataFrame(
-        rows, "model string, runtime string, access string, weights string, "
+    return local_table(
+        spark, rows, "model string, runtime string, access string, weights string, "
               "precision string, url string, sampling string, "
               "reasoning_headroom int, takes_sampling boolean")
 
 
 def grades(spark: SparkSession, settings: Settings) -> DataFrame:
     rows = [(settings.negative_grade, False)] + [(g, True) for g in settings.positive_grades]
-    return spark.createDataFrame(rows, "grade string, positive boolean")
+    return local_table(spark, rows, "grade string, positive boolean")

@@ -58,9 +58,10 @@ def parse_label(reply, positive: str = POSITIVE_LABEL,
     found = F.regexp_extract_all(F.coalesce(_col(reply), F.lit("")),
                                  F.lit(label_pattern()), F.lit(1))
     last = F.try_element_at(found, F.lit(-1))
-    return (F.when(last.isNull(), F.lit(""))
-            .when(F.lower(last).startswith("no"), F.lit(negative))
-            .otherwise(F.lit(positive)))
+    # A match starts with 'no' or 'ha' (any case); one lookup on those two
+    # letters, so the regex runs once per reply.
+    kind = F.create_map(F.lit("no"), F.lit(negative), F.lit("ha"), F.lit(positive))
+    return F.coalesce(F.try_element_at(kind, F.lower(F.left(last, F.lit(2)))), F.lit(""))
 
 
 def is_refusal(reply, observed=None, bodies=REFUSAL_BODIES) -> Column:

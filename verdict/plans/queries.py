@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import dimensions
 from ..config import FIXTURE
 from ..functions import ids, labels, text
 from ..operators import items as item_ops
@@ -182,7 +183,8 @@ def q_item_ids(spark, sf_dir):
     """W1 + P5: per-pair position in file order, as the item id."""
     corpus = fx.corpus(spark, sf_dir)
     pos = item_ops.position_within(
-        corpus.join(F.broadcast(spark.createDataFrame(CFG.directions(), "src_lang string, tgt_lang string")),
+        corpus.join(F.broadcast(dimensions.local_table(spark, CFG.directions(),
+                                                       "src_lang string, tgt_lang string")),
                     ["src_lang", "tgt_lang"], "left_semi"),
         ["src_lang", "tgt_lang"], "ordinal", "position")
     return pos.select(F.col("ordinal").alias("doc_id"),
@@ -239,7 +241,6 @@ def q_sample_preview(spark, sf_dir):
     "GROUP BY src_lang, tgt_lang) c ON c.src_lang = w.s AND c.tgt_lang = w.t", ["corpus"]))
 def q_direction_pairs(spark, sf_dir):
     """G1: the configured directions and how many corpus rows each has."""
-    from .. import dimensions
     names = CFG.language_names()
     dirs = dimensions.directions(spark, CFG)
     counts = (fx.corpus(spark, sf_dir).groupBy("src_lang", "tgt_lang")

@@ -29,10 +29,32 @@ MARKDOWN_TEXT = "**Label:** Hallucination"
 TWO_LABELS_TEXT = "Label: Hallucination?\nLabel: No hallucination"
 
 
+_PLANS: dict = {}
+
+
+def _memo(kind: str):
+    """Memoize a lazy plan per (session, directory, settings). Only the plan is
+    kept: every action still reads the parquet files; this saves the driver the
+    schema reads and expression building of an identical plan."""
+    def deco(fn):
+        def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):
+            key = (kind, spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"),
+                   repr(args), repr(sorted(kwargs.items())))
+            if key not in _PLANS:
+                _PLANS[key] = fn(spark, sf_dir, *args, **kwargs)
+            return _PLANS[key]
+        wrapper.__doc__ = fn.__doc__
+        wrapper.__name__ = fn.__name__
+        return wrapper
+    return deco
+
+
+@_memo("table")
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@_memo("corpus")
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents x labels as a corpus: ordinal, src_lang, tgt_lang, class_hall,
     src_text, mt_text."""
@@ -45,23 +67,29 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(k == 0, F.lit("2_Small_hallucination"))
              .when(k == 1, F.lit("3_Partial_hallucination"))
              .otherwise(F.lit("4_Full_hallucination")))
+    # A driver table may be a single row group (one scan task); the corpus is
+    # spread over the cluster before anything is multiplied out of it.
     return d.join(lab, "doc_id").select(
         F.col("doc_id").alias("ordinal"), F.col("lang").alias("src_lang"),
         tgt.alias("tgt_lang"), grade.alias("class_hall"),
         F.left("text", F.lit(160)).alias("src_text"),
-        F.right("text", F.lit(160)).alias("mt_text"))
+        F.right("text", F.lit(160)).alias("mt_text")).repartition(
+            spark.sparkContext.defaultParallelism, "ordinal")
 
 
+@_memo("items")
 def items(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE) -> DataFrame:
     """The items: item_id is the document id."""
     return item_ops.build_items(corpus(spark, sf_dir), settings, item_ids="ordinal")
 
 
+@_memo("prompts")
 def prompts(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE) -> DataFrame:
     """Prompt keys only (no rendered text)."""
     return prompt_ops.prompt_spec(items(spark, sf_dir, settings), settings)
 
 
+@_memo("full_prompts")
 def full_prompts(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE) -> DataFrame:
     """Prompts with rendered text (examples drawn from the same items)."""
     return prompt_ops.build_prompts(items(spark, sf_dir, settings), settings)
@@ -73,6 +101,7 @@ def selector() -> F.Column:
              + F.col("_mno") * 3 + F.col("_pno") * 5) % 20)
 
 
+@_memo("replies")
 def replies(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE,
             keep_selector: bool = False) -> DataFrame:
     """The reply log: items x 6 (method, shots) x 2 models x 3 replicates."""
@@ -83,9 +112,10 @@ def replies(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE,
                        for m in settings.models])
     per_model = spec.select("*", F.try_element_at(mno, F.col("method")).alias("_mno"),
                             F.explode(models).alias("_p"))
-    rows = per_model.select("*", F.explode(F.sequence(F.lit(1), F.lit(settings.replicates)))
-                            .alias("replicate")).withColumn("_pno", F.col("_p.pno"))
-    b = selector()
+    rows = (per_model.select("*", F.explode(F.sequence(F.lit(1), F.lit(settings.replicates)))
+                             .alias("replicate")).withColumn("_pno", F.col("_p.pno"))
+            .withColumn("_b", selector()))
+    b = F.col("_b")
     other = F.when(F.col("answer") == settings.positive_label,
                    F.lit(settings.negative_label)).otherwise(F.lit(settings.positive_label))
     response = (F.when(b == 0, F.lit("")).when(b == 1, F.lit(REFUSAL_TEXT))
@@ -105,12 +135,14 @@ def replies(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE,
     return out
 
 
+@_memo("collected")
 def collected(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE) -> DataFrame:
     """The part of the log already written (b < 12)."""
     r = replies(spark, sf_dir, settings, keep_selector=True)
     return r.filter(F.col("b") < 12).drop("b", "item_id", "shots")
 
 
+@_memo("response_bodies")
 def response_bodies(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE) -> DataFrame:
     """Raw chat-completions bodies for every reply: b=6 a non-JSON error page,
     b=0 an empty choice list, b=1 no usage block, otherwise content padded with
