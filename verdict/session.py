@@ -21,6 +21,9 @@ SCALE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Call-site capture on every PySpark call is debugging metadata; it costs
+    # driver round trips while a plan is being built.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
