@@ -112,3 +112,12 @@ def test_completeness_and_cost(spark):
     cost = {r["model"]: r["calls"] for r in replies.pass_cost(fx.prompts(spark, SF_SMALL),
                                                                FIXTURE).collect()}
     assert cost == {"org/alpha": 87 * 6 * 3, "org/beta": 87 * 6 * 3}
+
+
+def test_call_judge_with_workers(spark):
+    w = replies.wanted_replies(fx.prompts(spark, SF_SMALL), FIXTURE).filter(
+        F.col("method") == "span")
+    owed = replies.attach_prompts(w, prompt_ops.build_prompts(fx.items(spark, SF_SMALL), FIXTURE))
+    one = sorted(map(tuple, replies.call_judge(owed, _stub).collect()))
+    many = sorted(map(tuple, replies.call_judge(owed, _stub, workers=4).collect()))
+    assert one == many and len(one) == w.count()

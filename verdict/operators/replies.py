@@ -193,24 +193,34 @@ REPLY_OUT = schemas.REPLIES
 
 
 def call_judge(work: DataFrame, produce: Callable[[dict], str],
-               system: str = templates.SYSTEM) -> DataFrame:
+               system: str = templates.SYSTEM, workers: int = 1) -> DataFrame:
     """run ``produce(record) -> reply text`` over the owed rows, partition
     by partition (``mapInPandas``). The record carries the work keys, the
     prompt, ``messages`` (system + user) and ``max_tokens``. A row whose call
     raises is kept with ``error = 'Type: message'`` and no reply; the pass goes
-    on. Spark may re-run a task, so consumers de-duplicate on the reply key."""
+    on. ``workers`` > 1 keeps that many calls in flight per task (calls wait on
+    the network, not the CPU). Spark may re-run a task, so consumers
+    de-duplicate on the reply key."""
     cols = [f.name for f in REPLY_OUT.fields]
 
+    def attempt(rec):
+        rec["messages"] = [{"role": "system", "content": system},
+                           {"role": "user", "content": rec.get("prompt") or ""}]
+        try:
+            return produce(rec), ""
+        except Exception as problem:  # noqa: BLE001 - recorded per row
+            return None, f"{type(problem).__name__}: {problem}"
+
     def run(batches):
+        pool = None
+        if workers > 1:
+            from concurrent.futures import ThreadPoolExecutor
+            pool = ThreadPoolExecutor(max_workers=workers)
         for pdf in batches:
+            recs = pdf.to_dict("records")
+            results = list(pool.map(attempt, recs)) if pool else [attempt(r) for r in recs]
             out = []
-            for rec in pdf.to_dict("records"):
-                rec["messages"] = [{"role": "system", "content": system},
-                                   {"role": "user", "content": rec.get("prompt") or ""}]
-                try:
-                    reply, error = produce(rec), ""
-                except Exception as problem:  # noqa: BLE001 - recorded per row
-                    reply, error = None, f"{type(problem).__name__}: {problem}"
+            for rec, (reply, error) in zip(recs, results):
                 out.append({
                     "prompt_id": rec["prompt_id"], "model": rec["model"],
                     "method": rec["method"], "replicate": int(rec["replicate"]),
@@ -219,6 +229,8 @@ def call_judge(work: DataFrame, produce: Callable[[dict], str],
                     "truncated": (None if reply is None else "Label:" not in reply),
                     "response": reply})
             yield pd.DataFrame(out, columns=cols)
+        if pool:
+            pool.shutdown()
 
     needed = [c for c in ("prompt_id", "model", "method", "replicate", "runtime",
                           "temperature", "max_tokens", "prompt") if c in work.columns]
@@ -226,7 +238,7 @@ def call_judge(work: DataFrame, produce: Callable[[dict], str],
 
 
 def collect_replies(work: DataFrame, produce: Callable[[dict], str], log_path: str,
-                    buckets: int = 16, retry_failed: bool = False) -> int:
+                    buckets: int = 16, retry_failed: bool = False, workers: int = 1) -> int:
     """F1 + A6, durable: the owed list is cut into ``buckets`` hash buckets of
     the reply key and each bucket is one appending job, so a failure loses at
     most one bucket's calls and a rerun owes only what no committed bucket
@@ -240,6 +252,6 @@ def collect_replies(work: DataFrame, produce: Callable[[dict], str], log_path: s
         todo = outstanding(work.filter(bucket == b), have, retry_failed)
         if todo.isEmpty():
             continue
-        tables.append_replies(call_judge(todo, produce), log_path)
+        tables.append_replies(call_judge(todo, produce, workers=workers), log_path)
         written += 1
     return written
