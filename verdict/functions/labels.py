@@ -69,7 +69,8 @@ def is_refusal(reply, observed=None, bodies=REFUSAL_BODIES) -> Column:
     text = clean_or_empty(reply)
     obs = parse_label(reply) if observed is None else _col(observed)
     hit = F.coalesce(text.rlike(refusal_pattern("java", bodies)), F.lit(False))
-    return (text != "") & hit & (obs == "")
+    # No label first: the refusal regex only runs on replies without one.
+    return (obs == "") & (text != "") & hit
 
 
 def refusal_with_score(pattern_refusal, score, threshold: float = 0.5) -> Column:

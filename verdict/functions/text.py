@@ -27,7 +27,19 @@ WHITESPACE_CHARS = "".join(chr(c) for c in WHITESPACE_CODEPOINTS)
 
 
 def _class(codepoints) -> str:
-    return "[" + "".join(f"\\x{{{c:04X}}}" for c in codepoints) + "]"
+    """A regex character class of the code points, consecutive runs written as
+    ranges (fewer alternatives for the matcher to test per character)."""
+    cps = sorted(set(codepoints))
+    runs, start, prev = [], cps[0], cps[0]
+    for c in cps[1:] + [None]:
+        if c is not None and c == prev + 1:
+            prev = c
+            continue
+        runs.append(f"\\x{{{start:04X}}}" if start == prev
+                    else f"\\x{{{start:04X}}}-\\x{{{prev:04X}}}")
+        if c is not None:
+            start = prev = c
+    return "[" + "".join(runs) + "]"
 
 
 # One character class, valid in Java regex and in RE2 alike.
