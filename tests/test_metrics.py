@@ -6,6 +6,8 @@ import random
 import pandas as pd
 from hypothesis import given, settings as hsettings, strategies as st
 
+from pyspark.sql import functions as F
+
 from verdict.config import FIXTURE, NEGATIVE_LABEL, POSITIVE_LABEL
 from verdict.operators import judge, metrics
 from verdict.sources import fixture as fx
@@ -124,3 +126,19 @@ def test_replicate_agreement_matches_pandas(spark):
           for r in metrics.replicate_agreement(j, by=("model",)).collect()}
     for m, g in pdf.groupby("model"):
         assert math.isclose(by[m], (g.groupby("prompt_id")["observed"].nunique() == 1).mean())
+
+
+def test_dedupe_keeps_latest_per_key(spark):
+    r = fx.replies(spark, SF_SMALL)
+    doubled = r.withColumn("seq", F.lit(1)).unionByName(
+        r.withColumn("seq", F.lit(2)).withColumn("response", F.lit("Label: Hallucination"))
+        .withColumn("error", F.lit("")))
+    once = judge.dedupe_replies(doubled, "seq")
+    assert once.count() == r.count()
+    assert once.filter(F.col("seq") != 2).count() == 0
+    p = fx.prompts(spark, SF_SMALL)
+    # Without de-duplication every copy counts: the second copies carry no error.
+    twice = judge.judgements(doubled.drop("seq"), p, FIXTURE)
+    assert twice.count() == 2 * r.count() - r.filter(F.col("error") != "").count()
+    deduped = judge.judgements(doubled, p, FIXTURE, dedupe=True, order_col="seq")
+    assert deduped.count() == r.count()

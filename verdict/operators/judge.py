@@ -11,6 +11,18 @@ from ..functions import labels
 from ..schemas import JUDGEMENT_COLUMNS
 
 
+def dedupe_replies(replies: DataFrame, order_col: str | None = None,
+                   keys=("prompt_id", "model", "method", "replicate")) -> DataFrame:
+    """Q17 option: one reply per key. With ``order_col`` (an ingest order) the
+    latest is kept; without, the greatest row, so the choice never depends on
+    which task ran first. The rows of one key are combined map-side
+    (``max`` of a struct is decomposable)."""
+    rest = [c for c in replies.columns if c not in keys and c != order_col]
+    first = [order_col] if order_col else []
+    best = replies.groupBy(*keys).agg(F.max(F.struct(*first, *rest)).alias("_r"))
+    return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in first + rest])
+
+
 def read_replies(replies: DataFrame, settings: Settings,
                  refusal_score: str | None = None) -> DataFrame:
     """P13 + P10 + P11 (+ F2): one narrow row per usable reply. ``response``
@@ -30,13 +42,17 @@ def read_replies(replies: DataFrame, settings: Settings,
 
 
 def judgements(replies: DataFrame, prompts: DataFrame, settings: Settings,
-               refusal_score: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+               refusal_score: str | None = None, keep: tuple[str, ...] = (),
+               dedupe: bool = False, order_col: str | None = None) -> DataFrame:
     """J2 + U1: read every reply (all methods and models in one scan) and join
     the prompt's shots, direction and answer. ``method`` stays the reply's own
     (a review reply reuses a baseline prompt id). Replies whose prompt is
-    unknown are dropped (inner join). The join key is narrow on both sides;
+    unknown are dropped (inner join). Repeated replies count each time, as in
+    the evaluated pipeline, unless ``dedupe`` (Q17). The join key is narrow on both sides;
     AQE broadcasts the prompt side while it is small and splits skewed keys
     otherwise."""
+    if dedupe:
+        replies = dedupe_replies(replies, order_col)
     read = read_replies(replies, settings, refusal_score)
     spec = prompts.select("prompt_id", "shots", "direction", "answer", *keep)
     joined = read.join(spec, "prompt_id")
