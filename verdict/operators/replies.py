@@ -238,18 +238,32 @@ def call_judge(work: DataFrame, produce: Callable[[dict], str],
 
 
 def collect_replies(work: DataFrame, produce: Callable[[dict], str], log_path: str,
-                    buckets: int = 16, retry_failed: bool = False, workers: int = 1) -> int:
-    """F1 + A6, durable: the owed list is cut into ``buckets`` hash buckets of
-    the reply key and each bucket is one appending job, so a failure loses at
-    most one bucket's calls and a rerun owes only what no committed bucket
-    holds. Returns the number of buckets written."""
+                    buckets: int = 16, retry_failed: bool = False, workers: int = 1,
+                    staging: str | None = None) -> int:
+    """F1 + A6, durable: the owed list is written once to the shared folder,
+    partitioned into ``buckets`` hash buckets of the reply key; each bucket is
+    then one appending job that reads only its own partition and anti-joins
+    only its own slice of the log. A failure loses at most one bucket's calls
+    and a rerun owes only what no committed bucket holds. Returns the number
+    of buckets written."""
+    from ..session import scratch_dir
     from ..sources import tables
     spark = work.sparkSession
-    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in WORK_KEYS]), F.lit(buckets))
+    staging = staging or scratch_dir(spark, "owed")
+
+    def bucket_of(df: DataFrame) -> F.Column:
+        return F.pmod(F.xxhash64(*[df[k] for k in WORK_KEYS]), F.lit(buckets))
+
+    staged = work.withColumn("_bucket", bucket_of(work))
+    staged.write.mode("overwrite").partitionBy("_bucket").parquet(staging)
     written = 0
     for b in range(buckets):
+        # The schema is known: an empty owed list writes no file to infer from.
+        todo = (spark.read.schema(staged.schema).parquet(staging)
+                .filter(F.col("_bucket") == b).drop("_bucket"))
         have = tables.read_replies(spark, log_path)
-        todo = outstanding(work.filter(bucket == b), have, retry_failed)
+        have = have.filter(bucket_of(have) == b)
+        todo = outstanding(todo, have, retry_failed)
         if todo.isEmpty():
             continue
         tables.append_replies(call_judge(todo, produce, workers=workers), log_path)
