@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from . import judge
 
 VIEWS = ("all", "parsed", "judged")
 CELLS = ("tp", "fp", "fn", "tn")
@@ -35,21 +36,45 @@ def _view_masks(settings: Settings):
     }
 
 
-def confusion(judged: DataFrame, group_cols: list[str], settings: Settings) -> DataFrame:
+def confusion(judged: DataFrame, group_cols: list[str], settings: Settings,
+              weight: str | None = None) -> DataFrame:
     """One pass: tp/fp/fn/tn of every view, and refusals / unparsed of the
-    whole group, per group."""
+    whole group, per group. With ``weight``, each row stands for that many
+    judgements (see ``judged_counts``)."""
     y, views = _view_masks(settings)
+
+    def n(cond):
+        if weight is None:
+            return F.count_if(cond)
+        return F.sum(F.when(cond, F.col(weight)).otherwise(F.lit(0)).cast("long"))
+
     aggs = []
     for v, (member, pred) in views.items():
-        aggs += [F.count_if(member & y & pred).alias(f"{v}_tp"),
-                 F.count_if(member & ~y & pred).alias(f"{v}_fp"),
-                 F.count_if(member & y & ~pred).alias(f"{v}_fn"),
-                 F.count_if(member & ~y & ~pred).alias(f"{v}_tn")]
-    aggs += [F.count_if(F.col("refusal")).alias("refusals"),
-             F.count_if(~F.col("parsed")).alias("unparsed")]
+        aggs += [n(member & y & pred).alias(f"{v}_tp"),
+                 n(member & ~y & pred).alias(f"{v}_fp"),
+                 n(member & y & ~pred).alias(f"{v}_fn"),
+                 n(member & ~y & ~pred).alias(f"{v}_tn")]
+    aggs += [n(F.col("refusal")).alias("refusals"),
+             n(~F.col("parsed")).alias("unparsed")]
     return judged.groupBy(*group_cols).agg(*aggs)
 
 
+def judged_counts(replies: DataFrame, prompts: DataFrame, settings: Settings,
+                  refusal_score: str | None = None) -> DataFrame:
+    """Judgements collapsed before the join: one row per (prompt, model,
+    method, observed label, refusal) with its count ``_n``.
+
+    Scoring needs only counts, so replies are aggregated first; the partial
+    aggregate runs map-side, so a prompt id holding a large share of all
+    replies is reduced to a handful of rows before anything is shuffled, and
+    the join to the prompt keys sees far fewer rows than there are replies."""
+    read = judge.read_replies(replies, settings, refusal_score)
+    counted = read.groupBy("prompt_id", "model", "method", "observed", "refusal").agg(
+        F.count(F.lit(1)).alias("_n"))
+    spec = prompts.select("prompt_id", "shots", "direction", "answer")
+    return counted.join(spec, "prompt_id").withColumn("parsed", F.col("observed") != "")
+
+
 def resum(counts: DataFrame, group_cols: list[str], **constants) -> DataFrame:
     """Re-aggregate count rows to coarser groups (counts are additive)."""
     count_cols = [c for c in counts.columns if c not in group_cols
@@ -89,13 +114,14 @@ def score(counts: DataFrame, group_cols: list[str], views=VIEWS) -> DataFrame:
         F.try_divide(dtp + dtn, _d("_v.tp") + dfp + dfn + dtn).alias("accuracy"))
 
 
-def score_everything(judged: DataFrame, settings: Settings, views=VIEWS) -> DataFrame:
+def score_everything(judged: DataFrame, settings: Settings, views=VIEWS,
+                     weight: str | None = None) -> DataFrame:
     """M4: scores per (model, method, shots) for every direction and overall.
 
     The judgements are aggregated once, by direction; 'overall' is the re-sum
     of those rows (one per group and direction), not a second scan or a
     grouping-sets expand of the data."""
-    by_dir = confusion(judged, GROUP + ["direction"], settings)
+    by_dir = confusion(judged, GROUP + ["direction"], settings, weight)
     overall = resum(by_dir, GROUP, direction="overall")
     both = by_dir.unionByName(overall.select(*by_dir.columns))
     cols = ["model", "method", "shots", "direction"]
@@ -103,10 +129,22 @@ def score_everything(judged: DataFrame, settings: Settings, views=VIEWS) -> Data
 
 
 def score_overall(judged: DataFrame, settings: Settings, views=VIEWS,
-                  group_cols: list[str] | None = None) -> DataFrame:
+                  group_cols: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """M1 / M3 at one grouping (default model, method, shots)."""
     group_cols = group_cols or GROUP
-    return score(confusion(judged, group_cols, settings), group_cols, views)
+    return score(confusion(judged, group_cols, settings, weight), group_cols, views)
+
+
+def score_replies(replies: DataFrame, prompts: DataFrame, settings: Settings, views=VIEWS,
+                  group_cols: list[str] | None = None,
+                  refusal_score: str | None = None) -> DataFrame:
+    """Scores straight from the reply log, aggregating before the join
+    (``judged_counts``). ``group_cols=None`` gives the full table of
+    ``score_everything``; otherwise one grouping as ``score_overall``."""
+    counted = judged_counts(replies, prompts, settings, refusal_score)
+    if group_cols is None:
+        return score_everything(counted, settings, views, weight="_n")
+    return score_overall(counted, settings, views, group_cols, weight="_n")
 
 
 def replicate_agreement(judged: DataFrame, keys=("prompt_id", "model"),

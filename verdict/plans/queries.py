@@ -99,7 +99,7 @@ _OVERALL = ("SELECT model, method, shots, 'overall' AS direction, "
     S.metrics_select(["model", "method", "shots", "direction"], "grouped"), ["judgements"],
     {"by_dir": _BY_DIR, "grouped": f"SELECT * FROM by_dir UNION ALL {_OVERALL}"}))
 def q_score_directions(spark, sf_dir):
-    return metrics.score_everything(_judged(spark, sf_dir), CFG)
+    return metrics.score_replies(fx.replies(spark, sf_dir), fx.prompts(spark, sf_dir), CFG)
 
 
 @register("score_views", S.with_ctes(
@@ -107,14 +107,16 @@ def q_score_directions(spark, sf_dir):
     {"c": f"SELECT model, method, shots, {S.confusion_select('')} FROM judgements "
           "GROUP BY model, method, shots"}))
 def q_score_views(spark, sf_dir):
-    return metrics.score_overall(_judged(spark, sf_dir), CFG)
+    return metrics.score_replies(fx.replies(spark, sf_dir), fx.prompts(spark, sf_dir), CFG,
+                                 group_cols=metrics.GROUP)
 
 
 @register("score_overall", S.with_ctes(
     S.metrics_select(["model"], "c"), ["judgements"],
     {"c": f"SELECT model, {S.confusion_select('')} FROM judgements GROUP BY model"}))
 def q_score_overall(spark, sf_dir):
-    return metrics.score_overall(_judged(spark, sf_dir), CFG, group_cols=["model"])
+    return metrics.score_replies(fx.replies(spark, sf_dir), fx.prompts(spark, sf_dir), CFG,
+                                 group_cols=["model"])
 
 
 # ---------------------------------------------------------------------------
@@ -542,8 +544,8 @@ def q_refusal_with_score(spark, sf_dir):
     judged view then differs from the parsed one."""
     r = fx.replies(spark, sf_dir, CFG).withColumn(
         "refusal_score", ((F.col("replicate") * 37 + F.length("prompt_id")) % 10) / 10.0)
-    j = judge.judgements(r, fx.prompts(spark, sf_dir, CFG), CFG, refusal_score="refusal_score")
-    return metrics.score_overall(j, CFG)
+    return metrics.score_replies(r, fx.prompts(spark, sf_dir, CFG), CFG,
+                                 group_cols=metrics.GROUP, refusal_score="refusal_score")
 
 
 @register("severity_recall", S.with_ctes(
@@ -563,7 +565,9 @@ def q_severity_recall(spark, sf_dir):
     "SELECT prompt_id, model, min(observed) = max(observed) AS same FROM judgements "
     "GROUP BY prompt_id, model) c", ["judgements"]))
 def q_replicate_agreement(spark, sf_dir):
-    return metrics.replicate_agreement(_judged(spark, sf_dir))
+    # min/max of the label per cell are the same over the collapsed rows.
+    return metrics.replicate_agreement(
+        metrics.judged_counts(fx.replies(spark, sf_dir), fx.prompts(spark, sf_dir), CFG))
 
 
 # ---------------------------------------------------------------------------
@@ -571,7 +575,7 @@ def q_replicate_agreement(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 def _scores(spark, sf_dir):
-    return metrics.score_everything(_judged(spark, sf_dir), CFG)
+    return metrics.score_replies(fx.replies(spark, sf_dir), fx.prompts(spark, sf_dir), CFG)
 
 
 def _pivot_cols(col: str, value: str, keys: list[str]) -> str:
