@@ -26,64 +26,81 @@ def prompt_spec(items: DataFrame, settings: Settings, keep: tuple[str, ...] = ()
         "direction", "answer", *keep)
 
 
-def _slot_rows(settings: Settings) -> F.Column:
-    """Every (shots, slot) the settings need, with the label each slot takes:
-    slot 0 positive, 1 negative, 2 positive, ..."""
-    shot_values = sorted({s for _, s in settings.prompt_methods() if s})
-    return F.array(*[F.struct(F.lit(int(s)).alias("shots"), F.lit(k).alias("slot"),
-                              F.lit(k % 2 == 0).alias("positive"))
-                     for s in shot_values for k in range(s)])
+def _shot_values(settings: Settings) -> list[int]:
+    return sorted({s for _, s in settings.prompt_methods() if s})
 
 
-def draw_examples(items: DataFrame, settings: Settings) -> DataFrame:
-    """Worked examples per (direction, shots, slot).
-
-    Each slot is an independent draw with replacement: the item of the slot's
-    label with the smallest ``md5(seed|direction|shots|slot|id)``. Each item is
-    exploded into the slots its label can fill (at most sum(shots) of them),
-    and ``min`` over (hash, id, ...) is decomposable, so the partial aggregate
-    leaves one row per slot per task before the shuffle. No sort, no join. A
-    slot whose label has no item in the direction is absent."""
+_EXAMPLE_FIELDS = ("item_id", "answer", "source_language", "target_language",
+                   "source_text", "target_text")
+
+
+def _draw(items: DataFrame, settings: Settings) -> DataFrame:
+    """W3 core: one row per (direction, shots) with one column per slot.
+
+    Slot k takes the positive label when k is even, the negative when odd, and
+    is an independent draw with replacement: the item of that label with the
+    smallest ``md5(seed|direction|shots|slot|id)``. Each item is exploded into
+    the shot counts the settings use, and every slot is a conditional
+    ``min(struct(hash, id, ...))`` in one aggregation: decomposable, so the
+    partial aggregate leaves one row per group per task before the shuffle.
+    No sort, no join. A slot whose label has no item is null."""
+    shot_values = _shot_values(settings)
     y = F.col("answer") == F.lit(settings.positive_label)
-    slots = F.filter(_slot_rows(settings), lambda s: s["positive"] == y)
-    exploded = items.select("item_id", "direction", "answer", "source_language",
-                            "target_language", "source_text", "target_text",
-                            F.explode(slots).alias("_s"))
-    h = F.md5(F.concat_ws("|", F.lit(str(settings.example_seed)), F.col("direction"),
-                          F.col("_s.shots").cast("string"), F.col("_s.slot").cast("string"),
-                          F.col("item_id").cast("string")))
-    best = (exploded.groupBy("direction", F.col("_s.shots").alias("shots"),
-                             F.col("_s.slot").alias("slot"))
-            .agg(F.min(F.struct(h.alias("h"), "item_id", "answer", "source_language",
-                                "target_language", "source_text", "target_text")).alias("_b")))
-    return best.select("direction", "shots", "slot", "_b.item_id", "_b.answer",
-                       "_b.source_language", "_b.target_language", "_b.source_text",
-                       "_b.target_text")
-
-
-def example_sets(examples: DataFrame, settings: Settings) -> DataFrame:
-    """P15 input: one slot-ordered array of rendered examples per (direction,
-    shots). At most (directions x shot values) rows of at most max(shots)
-    entries each."""
-    names = settings.language_names()
-    rendered = templates.render(templates.EXAMPLE, {
-        "source": ids.language_name("source_language", names),
-        "target": ids.language_name("target_language", names),
-        "source_text": F.col("source_text"), "target_text": F.col("target_text"),
-        "answer": F.col("answer")})
-    return (examples.groupBy("direction", "shots")
-            .agg(F.sort_array(F.collect_list(F.struct("slot", "item_id",
-                                                      rendered.alias("text")))).alias("examples")))
+    exploded = items.select(*_EXAMPLE_FIELDS, "direction",
+                            F.explode(F.array(*[F.lit(int(s)) for s in shot_values]))
+                            .alias("shots"))
+    slots = []
+    for k in range(max(shot_values, default=0)):
+        h = F.md5(F.concat_ws("|", F.lit(str(settings.example_seed)), F.col("direction"),
+                              F.col("shots").cast("string"), F.lit(str(k)),
+                              F.col("item_id").cast("string")))
+        fits = (F.lit(k) < F.col("shots")) & (y == F.lit(k % 2 == 0))
+        slots.append(F.min(F.when(fits, F.struct(h.alias("h"), *_EXAMPLE_FIELDS)))
+                     .alias(f"_s{k}"))
+    return exploded.groupBy("direction", "shots").agg(*slots)
+
 
+def _slot_cols(settings: Settings) -> list[str]:
+    return [f"_s{k}" for k in range(max(_shot_values(settings), default=0))]
 
-def build_prompts(items: DataFrame, settings: Settings, examples: DataFrame | None = None,
+
+def draw_examples(items: DataFrame, settings: Settings) -> DataFrame:
+    """The worked examples, one row per (direction, shots, slot)."""
+    drawn = _draw(items, settings)
+    rows = drawn.select("direction", "shots", F.posexplode(
+        F.array(*[F.col(c) for c in _slot_cols(settings)])).alias("slot", "_b"))
+    return rows.filter(F.col("_b").isNotNull()).select(
+        "direction", "shots", "slot", *[F.col(f"_b.{c}").alias(c) for c in _EXAMPLE_FIELDS])
+
+
+def example_sets(items: DataFrame, settings: Settings) -> DataFrame:
+    """P15 input: per (direction, shots) the slot-ordered array of rendered
+    examples, straight from the one draw aggregation. At most (directions x
+    shot values) rows of at most max(shots) entries each."""
+    names = settings.language_names()
+    drawn = _draw(items, settings)
+    entries = []
+    for k, c in enumerate(_slot_cols(settings)):
+        b = F.col(c)
+        rendered = templates.render(templates.EXAMPLE, {
+            "source": ids.language_name(b["source_language"], names),
+            "target": ids.language_name(b["target_language"], names),
+            "source_text": b["source_text"], "target_text": b["target_text"],
+            "answer": b["answer"]})
+        entries.append(F.when(b.isNotNull(), F.struct(F.lit(k).alias("slot"),
+                                                      b["item_id"].alias("item_id"),
+                                                      rendered.alias("text"))))
+    return drawn.select("direction", "shots", F.filter(F.array(*entries),
+                                                       lambda e: e.isNotNull()).alias("examples"))
+
+
+def build_prompts(items: DataFrame, settings: Settings,
                   methods: list[str] | None = None) -> DataFrame:
     """G2 + J4 + P14 + P15: the prompt table, with the rendered text and the
     number of examples actually shown (an item drawn as its own example is
-    left out of its prompt, so few-shot prompts may show fewer)."""
-    if examples is None:
-        examples = draw_examples(items, settings)
-    sets = example_sets(examples, settings)
+    left out of its prompt, so few-shot prompts may show fewer). Examples are
+    drawn from the items given (sample first, then draw)."""
+    sets = example_sets(items, settings)
     spec = prompt_spec(items, settings, keep=("source_language", "target_language",
                                               "source_text", "target_text"))
     if methods:
