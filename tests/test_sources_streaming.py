@@ -69,3 +69,21 @@ def test_stream_counts(spark, scratch):
     assert counts.agg(F.sum("replies")).first()[0] == j.count()
     scores = streaming.scores_from_counts(counts)
     assert scores.count() > 0
+
+
+def test_stream_from_partitioned_parquet_log(spark, scratch):
+    """The log as ``append_replies`` writes it (Parquet, method=/model= folders)."""
+    log = f"{scratch}/log"
+    r = fx.replies(spark, SF_SMALL)
+    tables.append_replies(r.filter(F.col("method") == "baseline"), log)
+    prompts = fx.prompts(spark, SF_SMALL)
+    sink, ckpt = f"{scratch}/judged", f"{scratch}/ckpt"
+    streaming.stream_judgements(spark, log, prompts, FIXTURE, sink, ckpt,
+                                fmt="parquet").awaitTermination()
+    tables.append_replies(r.filter(F.col("method") != "baseline"), log)
+    streaming.stream_judgements(spark, log, prompts, FIXTURE, sink, ckpt,
+                                fmt="parquet").awaitTermination()
+    got = spark.read.parquet(sink)
+    want = judge.judgements(r, prompts, FIXTURE)
+    cols = sorted(want.columns)
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
