@@ -87,3 +87,22 @@ def test_stream_from_partitioned_parquet_log(spark, scratch):
     want = judge.judgements(r, prompts, FIXTURE)
     cols = sorted(want.columns)
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
+def test_parquet_corpus_gets_file_order_ordinal(spark, scratch):
+    from verdict.operators import items as item_ops
+    corpus = fx.corpus(spark, SF_SMALL).drop("ordinal").orderBy("src_text")
+    path = f"{scratch}/corpus_pq"
+    corpus.repartition(3).write.parquet(path)
+    read = tables.read_corpus(spark, path, fmt="parquet")
+    rows = read.select("ordinal").collect()
+    assert len(rows) == len({r[0] for r in rows}) == corpus.count()
+    # Ordinal order is file order: file path, then row index within the file.
+    raw = spark.read.parquet(path).select(
+        "src_text", "mt_text", F.col("_metadata.file_path").alias("f"),
+        F.col("_metadata.row_index").alias("i")).toPandas().sort_values(["f", "i"])
+    by_ordinal = read.orderBy("ordinal").select("src_text", "mt_text").toPandas()
+    assert list(zip(raw["src_text"], raw["mt_text"])) == \
+        list(zip(by_ordinal["src_text"], by_ordinal["mt_text"]))
+    built = item_ops.build_items(read, FIXTURE, item_ids="make")
+    assert built.select("item_id").distinct().count() == corpus.count()

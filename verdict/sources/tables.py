@@ -8,7 +8,7 @@ model and method.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -21,19 +21,40 @@ def read_corpus(spark: SparkSession, path: str, fmt: str = "csv",
 
     Item numbering follows file order, which Spark rows do not carry, so the
     corpus must bring an ``ordinal``. For a Parquet corpus without one, the
-    file's own row index is used (file path first, so several files keep a
-    total order)."""
+    file order and each row's index within its file give one
+    (``with_file_ordinal``); a multi-line TSV has no row index, so it must
+    carry the column. A multi-line TSV is read one task per file: shard a
+    large corpus into many files, or use Parquet."""
     if fmt == "csv":
         return (spark.read.schema(schema)
                 .options(sep="\t", header=True, multiLine=True, escape='"')
                 .csv(path))
     df = spark.read.parquet(path)
     if "ordinal" not in df.columns:
-        df = df.withColumn("ordinal", F.struct(F.col("_metadata.file_path"),
-                                               F.col("_metadata.row_index")))
+        df = with_file_ordinal(df)
     return df
 
 
+ROWS_PER_FILE_BITS = 40
+
+
+def with_file_ordinal(df: DataFrame, out: str = "ordinal") -> DataFrame:
+    """A numeric file-order ordinal for a Parquet scan: the rank of the file
+    path (in path order) times 2^40, plus the row's index within its file.
+
+    The ranking runs over one row per input file, so its size is the file
+    count of the scan, which the file index knows before anything runs; that
+    bound is what allows the broadcast."""
+    keyed = df.withColumn("_file", F.col("_metadata.file_path")).withColumn(
+        "_row", F.col("_metadata.row_index"))
+    files = keyed.select("_file").distinct()
+    ranked = files.withColumn("_rank", F.row_number().over(
+        Window.orderBy("_file")).cast("long") - 1)
+    return (keyed.join(F.broadcast(ranked), "_file")
+            .withColumn(out, F.shiftleft(F.col("_rank"), ROWS_PER_FILE_BITS) + F.col("_row"))
+            .drop("_file", "_row", "_rank"))
+
+
 def read_table(spark: SparkSession, path: str, columns: list[str],
                separator: str = ",") -> DataFrame:
     """A2: a CSV read as strings, an empty field kept as '' (not null)."""
