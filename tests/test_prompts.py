@@ -106,9 +106,11 @@ def test_lengths_counts_first(spark):
 def test_chat_messages(spark):
     conv = fx.table(spark, SF_SMALL, "conversations")
     pdf = conv.toPandas()
-    got = {r["conv_id"]: r for r in prompt_ops.chat_messages(conv).collect()}
+    got = prompt_ops.chat_messages(conv, bucket_width=2).toPandas()
     for cid, g in pdf.groupby("conv_id"):
-        g = g.sort_values("turn")
-        assert got[cid]["n_messages"] == len(g) + 1
-        lines = [f"system: {templates.SYSTEM}"] + [f"{a}: {b}" for a, b in zip(g["role"], g["text"])]
-        assert got[cid]["transcript"] == "\n".join(lines)
+        g = g.sort_values(["turn", "role", "text"])
+        mine = got[got["conv_id"] == cid].sort_values("position")
+        assert list(mine["position"]) == list(range(len(g) + 1))
+        assert set(mine["n_messages"]) == {len(g) + 1}
+        assert list(mine["role"]) == ["system"] + list(g["role"])
+        assert list(mine["content"]) == [templates.SYSTEM] + list(g["text"])

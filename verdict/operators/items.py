@@ -11,7 +11,8 @@ from ..functions import ids, labels, text
 
 
 def position_within(df: DataFrame, group_cols: list[str], order_col: str,
-                    out: str = "position", bucket_width: int = 1 << 20) -> DataFrame:
+                    out: str = "position", bucket_width: int = 1 << 20,
+                    tie_break: tuple[str, ...] = ()) -> DataFrame:
     """0-based position of each row within its group, in ``order_col``
     order (a unique, numeric file ordinal).
 
@@ -19,14 +20,15 @@ def position_within(df: DataFrame, group_cols: list[str], order_col: str,
     each group is cut into ordinal ranges of ``bucket_width``; a small table of
     per-range counts gives each range its starting offset (a running sum over
     ranges, not rows), and rows are numbered inside their range only. No task
-    holds more than ``bucket_width`` rows, however large a group is."""
+    holds more than ``bucket_width`` distinct ordinals, however large a group
+    is. Equal ordinals are ordered by ``tie_break``."""
     keyed = df.withColumn("_bucket", F.floor(F.col(order_col) / F.lit(bucket_width)))
     counts = keyed.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = (Window.partitionBy(*group_cols).orderBy("_bucket")
               .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(*group_cols, "_bucket",
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    local = Window.partitionBy(*group_cols, "_bucket").orderBy(order_col)
+    local = Window.partitionBy(*group_cols, "_bucket").orderBy(order_col, *tie_break)
     return (keyed.join(offsets, [*group_cols, "_bucket"])
             .withColumn(out, F.col("_offset") + F.row_number().over(local) - 1)
             .drop("_bucket", "_offset"))

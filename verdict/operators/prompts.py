@@ -26,6 +26,11 @@ def prompt_spec(items: DataFrame, settings: Settings, keep: tuple[str, ...] = ()
         "direction", "answer", *keep)
 
 
+def configured_direction_names(settings: Settings) -> list[str]:
+    names = settings.language_names()
+    return sorted({f"{names.get(a, a)} to {names.get(b, b)}" for a, b in settings.directions()})
+
+
 def _shot_values(settings: Settings) -> list[int]:
     return sorted({s for _, s in settings.prompt_methods() if s})
 
@@ -46,7 +51,11 @@ def _draw(items: DataFrame, settings: Settings) -> DataFrame:
     No sort, no join. A slot whose label has no item is null."""
     shot_values = _shot_values(settings)
     y = F.col("answer") == F.lit(settings.positive_label)
-    exploded = items.select(*_EXAMPLE_FIELDS, "direction",
+    # Only configured directions take examples, which bounds the result (and
+    # the broadcast of it) by the settings, whatever the items hold.
+    known = configured_direction_names(settings)
+    exploded = items.filter(F.col("direction").isin(known)).select(
+        *_EXAMPLE_FIELDS, "direction",
                             F.explode(F.array(*[F.lit(int(s)) for s in shot_values]))
                             .alias("shots"))
     slots = []
@@ -105,9 +114,10 @@ def build_prompts(items: DataFrame, settings: Settings,
                                               "source_text", "target_text"))
     if methods:
         spec = spec.filter(F.col("method").isin(methods))
-    # The example table is bounded by the settings (directions x shot
-    # values rows): broadcast it and filter inside the array; items never
-    # shuffle for this.
+    # The example table has at most (configured directions x shot
+    # values) rows of at most max(shots) entries: broadcast it and filter
+    # inside the array; items never shuffle for this (a shuffle join on the
+    # direction would put a whole direction in one task).
     joined = spec.join(F.broadcast(sets), ["direction", "shots"], "left")
     shown = F.filter(F.coalesce(F.col("examples"), F.array()),
                      lambda e: e["item_id"] != F.col("item_id"))
@@ -163,20 +173,26 @@ def inspect_prompt(prompts: DataFrame, items: DataFrame, method: str | None = No
             .select("prompt_id", "method", "shots", "direction", "grade", "answer", "prompt"))
 
 
-def chat_messages(conversations: DataFrame, system: str = templates.SYSTEM) -> DataFrame:
-    """Each conversation as a chat message array, the system message
-    first and then its turns in order; with its size and a plain transcript.
-    One array per conversation is the unit a chat call sends."""
-    turns = conversations.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("_t"))
-    msgs = F.concat(
-        F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content"))),
-        F.transform("_t", lambda t: F.struct(
-            F.coalesce(t["role"], F.lit("")).alias("role"),
-            F.coalesce(t["text"], F.lit("")).alias("content"))))
-    with_msgs = turns.select("conv_id", msgs.alias("messages"))
-    return with_msgs.select(
-        "conv_id", F.size("messages").cast("long").alias("n_messages"),
-        F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "),
-                                                                m["content"])),
-                     "\n").alias("transcript"))
+def chat_messages(conversations: DataFrame, system: str = templates.SYSTEM,
+                  bucket_width: int = 1 << 16) -> DataFrame:
+    """Each conversation as the message list a chat call sends, one row
+    per message: the system message at position 0, then the turns in order
+    (turn, then role and text for equal turns), with the list's length.
+
+    Positions come from ``position_within`` (bounded tasks, no window over a
+    whole conversation) and lengths from a decomposable count, so no
+    conversation is ever gathered into one task, however long it is."""
+    from .items import position_within
+    turns = conversations.select("conv_id", "turn",
+                                 F.coalesce("role", F.lit("")).alias("role"),
+                                 F.coalesce("text", F.lit("")).alias("content"))
+    numbered = position_within(turns, ["conv_id"], "turn", "_pos", bucket_width,
+                               tie_break=("role", "content"))
+    sizes = turns.groupBy("conv_id").agg((F.count(F.lit(1)) + 1).alias("n_messages"))
+    head = sizes.select("conv_id", F.lit(0).cast("long").alias("position"),
+                        F.lit("system").alias("role"), F.lit(system).alias("content"),
+                        "n_messages")
+    body = numbered.join(sizes, "conv_id").select(
+        "conv_id", (F.col("_pos") + 1).cast("long").alias("position"), "role", "content",
+        "n_messages")
+    return head.unionByName(body)

@@ -325,10 +325,13 @@ def q_inspect_prompt(spark, sf_dir):
 
 
 @register("chat_messages",
-          "SELECT conv_id, CAST(count(*) + 1 AS BIGINT) AS n_messages, "
-          f"{S.q('system: ')} || {S.templates.sql_literal(S.templates.SYSTEM)} || chr(10) || "
-          "string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) "
-          "ORDER BY turn, role, text) AS transcript FROM conversations GROUP BY conv_id")
+          f"SELECT conv_id, CAST(0 AS BIGINT) AS position, 'system' AS role, "
+          f"{S.templates.sql_literal(S.templates.SYSTEM)} AS content, count(*) + 1 AS n_messages "
+          "FROM conversations GROUP BY conv_id UNION ALL "
+          "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, "
+          "coalesce(role, ''), coalesce(text, '')) AS position, coalesce(role, '') AS role, "
+          "coalesce(text, '') AS content, count(*) OVER (PARTITION BY conv_id) + 1 AS n_messages "
+          "FROM conversations")
 def q_chat_messages(spark, sf_dir):
     return prompt_ops.chat_messages(fx.table(spark, sf_dir, "conversations"))
 
