@@ -61,20 +61,43 @@ def settings_checks(spark, settings: Settings) -> list[DataFrame]:
             _row("method_without_cap_or_shots", bad)]
 
 
+def _unpivot(one_row: DataFrame, names: list[str]) -> DataFrame:
+    """A one-row table of counts -> (check, failures) rows."""
+    return one_row.select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("check"), F.col(n).cast("long").alias("failures"))
+        for n in names])).alias("_c")).select("_c.*")
+
+
+def item_checks(items: DataFrame) -> DataFrame:
+    """Q-1 + Q-2 on items in one pass: repeated ids and empty texts."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    per = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n"),
+                                       F.count_if(empty("source_text")).alias("_s"),
+                                       F.count_if(empty("target_text")).alias("_t"))
+    return _unpivot(per.agg(F.count_if(F.col("_n") > 1).alias("item_id_repeated"),
+                            F.sum("_s").alias("item_without_source"),
+                            F.sum("_t").alias("item_without_translation")),
+                    ["item_id_repeated", "item_without_source", "item_without_translation"])
+
+
+def prompt_checks(prompts: DataFrame) -> DataFrame:
+    """Q-1 + Q-2 on prompts in one pass: repeated ids and empty renderings."""
+    empty = F.coalesce(F.col("prompt"), F.lit("")) == ""
+    per = prompts.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("_n"),
+                                           F.count_if(empty).alias("_e"))
+    return _unpivot(per.agg(F.count_if(F.col("_n") > 1).alias("prompt_id_repeated"),
+                            F.sum("_e").alias("prompt_rendered_empty")),
+                    ["prompt_id_repeated", "prompt_rendered_empty"])
+
+
 def quality_checks(items: DataFrame, prompts: DataFrame, settings: Settings) -> DataFrame:
-    """Q-1..Q-5 and J8 as one table."""
+    """Q-1..Q-5 and J8 as one table of (check, failures). Items are read in
+    one aggregation, prompts in one aggregation plus a partial-only pass per
+    method (Q-4), and the reference check is one anti-join."""
     spark = items.sparkSession
-    e_items = empties(items, ["source_text", "target_text"])
-    e_prompts = empties(prompts, ["prompt"])
     parts = [
-        _row("item_id_repeated", duplicated(items, "item_id")),
-        _row("prompt_id_repeated", duplicated(prompts, "prompt_id")),
-        e_items.select(F.lit("item_without_source").alias("check"),
-                       F.col("source_text").cast("long").alias("failures")),
-        e_items.select(F.lit("item_without_translation").alias("check"),
-                       F.col("target_text").cast("long").alias("failures")),
-        e_prompts.select(F.lit("prompt_rendered_empty").alias("check"),
-                         F.col("prompt").cast("long").alias("failures")),
+        item_checks(items),
+        prompt_checks(prompts),
         _row("prompt_with_unknown_item", unknown_references(prompts, items, "item_id")),
         _row("method_without_answer_format", methods_without_format(prompts)),
         *settings_checks(spark, settings),
