@@ -239,13 +239,15 @@ def call_judge(work: DataFrame, produce: Callable[[dict], str],
 
 def collect_replies(work: DataFrame, produce: Callable[[dict], str], log_path: str,
                     buckets: int = 16, retry_failed: bool = False, workers: int = 1,
-                    staging: str | None = None) -> int:
+                    staging: str | None = None, tasks: int | None = None) -> int:
     """F1 + A6, durable: the owed list is written once to the shared folder,
     partitioned into ``buckets`` hash buckets of the reply key; each bucket is
     then one appending job that reads only its own partition and anti-joins
     only its own slice of the log. A failure loses at most one bucket's calls
-    and a rerun owes only what no committed bucket holds. Returns the number
-    of buckets written."""
+    and a rerun owes only what no committed bucket holds. Each bucket's calls
+    are spread over ``tasks`` partitions by the reply key (default: the
+    cluster's parallelism), so every core calls, whatever the file layout.
+    Returns the number of buckets written."""
     from ..session import scratch_dir
     from ..sources import tables
     spark = work.sparkSession
@@ -266,6 +268,8 @@ def collect_replies(work: DataFrame, produce: Callable[[dict], str], log_path: s
         todo = outstanding(todo, have, retry_failed)
         if todo.isEmpty():
             continue
-        tables.append_replies(call_judge(todo, produce, workers=workers), log_path)
+        spread = todo.repartition(tasks or spark.sparkContext.defaultParallelism,
+                                  *WORK_KEYS)
+        tables.append_replies(call_judge(spread, produce, workers=workers), log_path)
         written += 1
     return written
