@@ -248,7 +248,7 @@ def collect_replies(work: DataFrame, produce: Callable[[dict], str], log_path: s
     are spread over ``tasks`` partitions by the reply key (default: the
     cluster's parallelism), so every core calls, whatever the file layout.
     Returns the number of buckets written."""
-    from ..session import scratch_dir
+    from ..session import parallelism, scratch_dir
     from ..sources import tables
     spark = work.sparkSession
     staging = staging or scratch_dir(spark, "owed")
@@ -268,7 +268,7 @@ def collect_replies(work: DataFrame, produce: Callable[[dict], str], log_path: s
         todo = outstanding(todo, have, retry_failed)
         if todo.isEmpty():
             continue
-        spread = todo.repartition(tasks or spark.sparkContext.defaultParallelism,
+        spread = todo.repartition(tasks or parallelism(spark),
                                   *WORK_KEYS)
         tables.append_replies(call_judge(spread, produce, workers=workers), log_path)
         written += 1

@@ -50,6 +50,25 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Task slots of the cluster (classic sessions), else the configured
+    default parallelism, else the local core count."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session
+        conf = spark.conf.get("spark.default.parallelism", None)
+        return int(conf) if conf else (os.cpu_count() or 8)
+
+
+def session_key(spark: SparkSession) -> tuple:
+    """Identifies a running session (for memoizing plans built on it)."""
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001
+        app = spark.conf.get("spark.app.id", None)
+    return (app, id(spark))
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -57,15 +76,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     a local-mode session without it gets a private folder, as in tests.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.conf.get("spark.master", "") or ""
+    if not master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     path = tempfile.mkdtemp(prefix="verdict-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    try:
+        spark.sparkContext.setCheckpointDir(path)
+    except Exception:  # noqa: BLE001 - no SparkContext on this client
+        pass
     return path
 
 

@@ -16,6 +16,7 @@ from ..config import FIXTURE, Settings
 from ..functions import labels, text
 from ..operators import items as item_ops
 from ..operators import prompts as prompt_ops
+from ..session import parallelism, session_key
 
 # Fixed values of the fixture: method and model numbers used in the reply
 # selector b, and the texts of the non-label replies.
@@ -38,7 +39,7 @@ def _memo(kind: str):
     schema reads and expression building of an identical plan."""
     def deco(fn):
         def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):
-            key = (kind, spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"),
+            key = (kind, *session_key(spark), sf_dir.rstrip("/"),
                    repr(args), repr(sorted(kwargs.items())))
             if key not in _PLANS:
                 _PLANS[key] = fn(spark, sf_dir, *args, **kwargs)
@@ -74,7 +75,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         tgt.alias("tgt_lang"), grade.alias("class_hall"),
         F.left("text", F.lit(160)).alias("src_text"),
         F.right("text", F.lit(160)).alias("mt_text")).repartition(
-            spark.sparkContext.defaultParallelism, "ordinal")
+            parallelism(spark), "ordinal")
 
 
 @_memo("items")
