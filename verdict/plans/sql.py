@@ -81,7 +81,8 @@ def fixture_ctes(settings: Settings = FIXTURE) -> dict[str, str]:
               WHEN d.doc_id % 3 = 0 THEN '2_Small_hallucination'
               WHEN d.doc_id % 3 = 1 THEN '3_Partial_hallucination'
               ELSE '4_Full_hallucination' END AS class_hall,
-         left(d.text, 160) AS src_text, right(d.text, 160) AS mt_text
+         left(d.text, length(d.text) // 2) AS src_text,
+         substr(d.text, length(d.text) // 2 + 1) AS mt_text
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
     ctes["items"] = f"""
   SELECT c.ordinal AS item_id, c.src_lang AS source_language, c.tgt_lang AS target_language,

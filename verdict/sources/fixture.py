@@ -58,7 +58,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_memo("corpus")
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents x labels as a corpus: ordinal, src_lang, tgt_lang, class_hall,
-    src_text, mt_text."""
+    src_text (first half of the document), mt_text (second half)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     k = F.col("doc_id") % 3
@@ -68,13 +68,16 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(k == 0, F.lit("2_Small_hallucination"))
              .when(k == 1, F.lit("3_Partial_hallucination"))
              .otherwise(F.lit("4_Full_hallucination")))
+    # Every document is used whole: its first half (by characters) is the
+    # source, the rest the translation.
+    half = F.floor(F.length("text") / 2).cast("int")
     # A driver table may be a single row group (one scan task); the corpus is
     # spread over the cluster before anything is multiplied out of it.
     return d.join(lab, "doc_id").select(
         F.col("doc_id").alias("ordinal"), F.col("lang").alias("src_lang"),
         tgt.alias("tgt_lang"), grade.alias("class_hall"),
-        F.left("text", F.lit(160)).alias("src_text"),
-        F.right("text", F.lit(160)).alias("mt_text")).repartition(
+        F.left("text", half).alias("src_text"),
+        F.substr("text", half + 1).alias("mt_text")).repartition(
             parallelism(spark), "ordinal")
 
 
