@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from verdict.config import NEGATIVE_LABEL, POSITIVE_LABEL
+from verdict.config import FIXTURE, NEGATIVE_LABEL, POSITIVE_LABEL
 from verdict.functions import ids, labels, text
 
 NBSP = " "
@@ -141,3 +141,25 @@ def test_language_name_falls_back_to_code(spark):
     out = spark.createDataFrame([("de",), ("xx",)], "c string").select(
         ids.language_name("c", names)).collect()
     assert [r[0] for r in out] == ["German", "xx"]
+
+
+def test_format_percent(spark):
+    got = spark.createDataFrame([(0.25,), (0.125,), (1.0,)], "x double").select(
+        text.format_percent("x")).collect()
+    assert [r[0] for r in got] == ["25%", "12%", "100%"]
+
+
+def test_directions_order_and_partitions():
+    from verdict.config import DEFAULT
+    from verdict.session import shuffle_partitions_for
+    d = DEFAULT.directions()
+    assert d[:2] == [("arb_Arab", "eng_Latn"), ("eng_Latn", "arb_Arab")]
+    assert d[-2:] == [("spa_Latn", "yor_Latn"), ("yor_Latn", "spa_Latn")] and len(d) == 18
+    assert shuffle_partitions_for(5 * 1024 ** 4, 8000) == 20480
+    assert shuffle_partitions_for(1024, 8) == 16
+
+
+def test_directions_dimension(spark):
+    from verdict import dimensions
+    got = [tuple(r) for r in dimensions.directions(spark, FIXTURE).orderBy("position").collect()]
+    assert [(s, t) for _, s, t in got] == FIXTURE.directions()

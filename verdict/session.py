@@ -50,6 +50,19 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def shuffle_partitions_for(shuffle_bytes: int, cores: int,
+                           target_bytes: int = 256 * 1024 * 1024) -> int:
+    """Initial ``spark.sql.shuffle.partitions`` for a job expected to shuffle
+    ``shuffle_bytes``: enough partitions that each holds about
+    ``target_bytes`` (so a task's share fits in executor memory without
+    spilling much), and at least two waves of the cluster's cores. AQE then
+    merges the small ones and splits skewed ones at run time.
+
+    For the scoring path at 100 TB of replies (narrow rows after parsing, about
+    5 TB shuffled before the map-side aggregate), that is about 20,000."""
+    return max(2 * cores, -(-shuffle_bytes // target_bytes))
+
+
 def parallelism(spark: SparkSession) -> int:
     """Task slots of the cluster (classic sessions), else the configured
     default parallelism, else the local core count."""
