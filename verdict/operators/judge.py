@@ -48,9 +48,10 @@ def judgements(replies: DataFrame, prompts: DataFrame, settings: Settings,
     the prompt's shots, direction and answer. ``method`` stays the reply's own
     (a review reply reuses a baseline prompt id). Replies whose prompt is
     unknown are dropped (inner join). Repeated replies count each time, as in
-    the evaluated pipeline, unless ``dedupe`` (Q17). The join key is narrow on both sides;
-    AQE broadcasts the prompt side while it is small and splits skewed keys
-    otherwise."""
+    the evaluated pipeline, unless ``dedupe`` (Q17). The join key is narrow on
+    both sides; AQE broadcasts the prompt side while it is small and splits
+    skewed keys otherwise. For scores, ``metrics.score_replies`` aggregates
+    before this join instead."""
     if dedupe:
         replies = dedupe_replies(replies, order_col)
     read = read_replies(replies, settings, refusal_score)

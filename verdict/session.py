@@ -30,6 +30,9 @@ SCALE_CONF = {
     # Call-site capture on every PySpark call is debugging metadata; it costs
     # driver round trips while a plan is being built.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Generated classes are cached by code; a session that serves many
+    # different queries would otherwise evict and recompile them.
+    "spark.sql.codegen.cache.maxEntries": "2000",
 }
 
 
