@@ -114,3 +114,12 @@ def test_chat_messages(spark):
         assert set(mine["n_messages"]) == {len(g) + 1}
         assert list(mine["role"]) == ["system"] + list(g["role"])
         assert list(mine["content"]) == [templates.SYSTEM] + list(g["text"])
+
+
+def test_lengths_approx_median_close(spark):
+    p = prompt_ops.build_prompts(fx.items(spark, SF_SMALL), FIXTURE)
+    exact = {r["method"]: r["median_words"] for r in prompt_ops.prompt_lengths(p).collect()}
+    approx = {r["method"]: r["median_words"]
+              for r in prompt_ops.prompt_lengths(p, approx_accuracy=100000).collect()}
+    for m in exact:
+        assert abs(exact[m] - approx[m]) <= max(2.0, 0.05 * exact[m])

@@ -142,13 +142,17 @@ def prompt_counts(prompts: DataFrame) -> DataFrame:
                           F.sum("prompts").over(Window.partitionBy("method")))
 
 
-def prompt_lengths(prompts: DataFrame) -> DataFrame:
-    """M12 + P22: mean, exact median and max words per method, the first two
-    rounded half-even to whole words."""
+def prompt_lengths(prompts: DataFrame, approx_accuracy: int | None = None) -> DataFrame:
+    """M12 + P22: mean, median and max words per method, the first two
+    rounded half-even to whole words. The median is exact (interpolated) by
+    default; its buffer holds one count per distinct length. Pass
+    ``approx_accuracy`` for a bounded-memory quantile sketch instead."""
     w = text.word_count("prompt").cast("long")
+    median = (F.percentile(F.col("_w"), F.lit(0.5)) if approx_accuracy is None
+              else F.percentile_approx(F.col("_w"), 0.5, approx_accuracy).cast("double"))
     return (prompts.select("method", w.alias("_w")).groupBy("method")
             .agg(F.bround(F.avg("_w"), 0).alias("mean_words"),
-                 F.bround(F.percentile(F.col("_w"), F.lit(0.5)), 0).alias("median_words"),
+                 F.bround(median, 0).alias("median_words"),
                  F.max("_w").alias("max_words")))
 
 
