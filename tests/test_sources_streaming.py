@@ -106,3 +106,24 @@ def test_parquet_corpus_gets_file_order_ordinal(spark, scratch):
         list(zip(by_ordinal["src_text"], by_ordinal["mt_text"]))
     built = item_ops.build_items(read, FIXTURE, item_ids="make")
     assert built.select("item_id").distinct().count() == corpus.count()
+
+
+def test_bucketed_log_and_prompts_score_without_shuffling_replies(spark):
+    from verdict.operators import metrics
+    spark.sql("DROP TABLE IF EXISTS t_replies")
+    spark.sql("DROP TABLE IF EXISTS t_prompt_keys")
+    r = tables.save_bucketed(fx.replies(spark, SF_SMALL), "t_replies", buckets=8)
+    p = tables.save_bucketed(fx.prompts(spark, SF_SMALL), "t_prompt_keys", buckets=8)
+    # As at scale: neither side small enough to broadcast.
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counted = metrics.judged_counts(r, p, FIXTURE)
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
+    got = metrics.score_replies(r, p, FIXTURE)
+    want = metrics.score_replies(fx.replies(spark, SF_SMALL), fx.prompts(spark, SF_SMALL), FIXTURE)
+    cols = sorted(want.columns)
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))

@@ -111,3 +111,18 @@ def append_replies(df: DataFrame, path: str) -> str:
     cols = [f.name for f in schemas.REPLIES.fields]
     return write_table(df.select(*cols), path, partition_by=["method", "model"],
                        mode="append")
+
+
+def save_bucketed(df: DataFrame, table: str, key: str = "prompt_id", buckets: int = 512,
+                  mode: str = "overwrite") -> DataFrame:
+    """A catalog table hash-bucketed (and sorted) by ``key``.
+
+    Saving the reply log and the prompt keys this way, with the same key and
+    bucket count, co-locates them: a scan of either already has the hash
+    partitioning a join or aggregation on ``key`` needs, so scoring reads the
+    replies, pre-aggregates and joins the prompts without shuffling reply data
+    (``metrics.score_replies`` on ``spark.table(...)``). Appends keep the
+    bucketing. Needs a catalog that persists tables (a metastore)."""
+    (df.write.mode(mode).bucketBy(buckets, key).sortBy(key).format("parquet")
+     .saveAsTable(table))
+    return df.sparkSession.table(table)
