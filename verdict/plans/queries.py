@@ -688,13 +688,8 @@ def q_stream_judgements(spark, sf_dir):
 
 
 @register("stream_counts", S.with_ctes(
-    "SELECT model, method, direction, count(*) AS replies, count(*) FILTER (WHERE parsed) AS parsed, "
-    "count(*) FILTER (WHERE refusal) AS refusals, "
-    f"count(*) FILTER (WHERE parsed AND answer = {POS} AND observed = {POS}) AS tp, "
-    f"count(*) FILTER (WHERE parsed AND answer <> {POS} AND observed = {POS}) AS fp, "
-    f"count(*) FILTER (WHERE parsed AND answer = {POS} AND observed <> {POS}) AS fn, "
-    f"count(*) FILTER (WHERE parsed AND answer <> {POS} AND observed <> {POS}) AS tn "
-    "FROM judgements GROUP BY model, method, direction", ["judgements"]))
+    f"SELECT model, method, shots, direction, {S.confusion_select('')} FROM judgements "
+    "GROUP BY model, method, shots, direction", ["judgements"]))
 def q_stream_counts(spark, sf_dir):
     """Running confusion counts kept as streaming state across batches."""
     root = scratch_dir(spark, "stream-counts")

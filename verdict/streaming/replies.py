@@ -3,19 +3,19 @@
 The evaluated pipeline appends replies to a log and re-reads it whole; here
 the log is a file stream. New files are read once, judged with the same
 operators as the batch path (a stream-static inner join to the prompt keys),
-and appended to a judgements sink; running counts per (model, method,
-direction) are kept as streaming state. Progress lives in the checkpoint, so
-a restarted query resumes where it stopped and a lost executor only re-runs
-its micro-batch.
+and appended to a judgements sink; the confusion counts of all three views
+per (model, method, shots, direction) are kept as streaming state, and the
+full score table derived from them equals scoring every reply seen in one
+batch. Progress lives in the checkpoint, so a restarted query resumes where it
+stopped and a lost executor only re-runs its micro-batch.
 
 Replies carry no event time, so there is no watermark or window; the counts
-state is bounded by the number of (model, method, direction) groups.
+state is bounded by the number of (model, method, shots, direction) groups.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
@@ -45,19 +45,12 @@ def stream_judgements(spark: SparkSession, log_path: str, prompts: DataFrame,
 
 
 def running_counts(judged: DataFrame, settings: Settings,
-                   group_cols=("model", "method", "direction")) -> DataFrame:
-    """T2 body: replies, parsed, refusals and the parsed-view confusion counts
-    per group. Counts only: metrics, agreement and pivots are derived in batch
-    from the output (distinct counts and pivots do not run on a stream)."""
-    y = F.col("answer") == F.lit(settings.positive_label)
-    pred = F.col("observed") == F.lit(settings.positive_label)
-    p = F.col("parsed")
-    return judged.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("replies"),
-        F.count_if(p).alias("parsed"),
-        F.count_if(F.col("refusal")).alias("refusals"),
-        F.count_if(p & y & pred).alias("tp"), F.count_if(p & ~y & pred).alias("fp"),
-        F.count_if(p & y & ~pred).alias("fn"), F.count_if(p & ~y & ~pred).alias("tn"))
+                   group_cols=("model", "method", "shots", "direction")) -> DataFrame:
+    """T2 body: the one-pass confusion counts of all three views, refusals and
+    unparsed, per group, the same aggregate the batch scores use. Counts only:
+    metrics, agreement and pivots are derived in batch from the output
+    (distinct counts and pivots do not run on a stream)."""
+    return metrics.confusion(judged, list(group_cols), settings)
 
 
 def stream_counts(spark: SparkSession, log_path: str, prompts: DataFrame,
@@ -78,10 +71,11 @@ def stream_counts(spark: SparkSession, log_path: str, prompts: DataFrame,
     return writer.start()
 
 
-def scores_from_counts(counts: DataFrame) -> DataFrame:
-    """Parsed-view scores from the running counts (a batch read of the sink)."""
-    staged = counts.select(
-        "model", "method", "direction", F.col("refusals").alias("refusals"),
-        (F.col("replies") - F.col("parsed")).alias("unparsed"),
-        *[F.col(c).alias(f"parsed_{c}") for c in metrics.CELLS])
-    return metrics.score(staged, ["model", "method", "direction"], views=("parsed",))
+def scores_from_counts(counts: DataFrame, views=metrics.VIEWS) -> DataFrame:
+    """The full score table (every direction and overall, three views) from
+    the running counts: a batch read of the sink, the same result as scoring
+    every reply seen so far."""
+    cols = ["model", "method", "shots", "direction"]
+    overall = metrics.resum(counts, metrics.GROUP, direction="overall")
+    both = counts.unionByName(overall.select(*counts.columns))
+    return metrics.score(both, cols, views)
