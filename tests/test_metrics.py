@@ -142,3 +142,24 @@ def test_dedupe_keeps_latest_per_key(spark):
     assert twice.count() == 2 * r.count() - r.filter(F.col("error") != "").count()
     deduped = judge.judgements(doubled, p, FIXTURE, dedupe=True, order_col="seq")
     assert deduped.count() == r.count()
+
+
+def test_hot_prompt_id_collapses_before_the_join(spark):
+    """One prompt id holds a third of all replies (copies of its replies)."""
+    r = fx.replies(spark, SF_SMALL)
+    p = fx.prompts(spark, SF_SMALL)
+    hot_id = r.filter(F.col("error") == "").first()["prompt_id"]
+    n = r.count()
+    hot = (r.filter(F.col("prompt_id") == hot_id)
+           .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(n // 12 + 1))))
+           .drop("_copy"))
+    skewed = r.unionByName(hot)
+    share = skewed.filter(F.col("prompt_id") == hot_id).count() / skewed.count()
+    assert share > 0.3
+    counted = metrics.judged_counts(skewed, p, FIXTURE)
+    assert counted.filter(F.col("prompt_id") == hot_id).count() <= 2 * 3 * 2
+    got = metrics.score_replies(skewed, p, FIXTURE)
+    want = metrics.score_everything(judge.judgements(skewed, p, FIXTURE), FIXTURE)
+    cols = sorted(want.columns)
+    assert sorted(map(tuple, got.select(cols).collect())) == \
+        sorted(map(tuple, want.select(cols).collect()))
