@@ -100,13 +100,13 @@ def stratified_sample(items: DataFrame, per_direction: int, seed: int,
 
 def direction_balance(items: DataFrame, positive: str) -> DataFrame:
     """M8 + M15: items and hallucinated share per direction, and the number of
-    distinct directions (a count over the already-aggregated rows, which are
-    one per direction)."""
+    distinct directions: a scalar subquery counting the aggregated rows (one
+    per direction), whose aggregate Spark reuses rather than recomputes."""
     y = F.col("answer") == F.lit(positive)
     per = items.groupBy("direction").agg(
         F.count(F.lit(1)).alias("items"),
         (F.count_if(y) / F.count(F.lit(1))).alias("hallucinated"))
-    return per.withColumn("directions", F.count(F.lit(1)).over(Window.partitionBy()))
+    return per.withColumn("directions", per.select(F.count(F.lit(1))).scalar())
 
 
 def severity_counts(items: DataFrame) -> DataFrame:
