@@ -89,7 +89,7 @@ def test_refusal_score_threshold(spark):
 
 def test_truncated_is_case_sensitive(spark):
     df = spark.createDataFrame([("Label: x",), ("label: x",), (None,)], "r string")
-    assert [r[0] for r in df.select(labels.truncated("r")).collect()] == [False, True, None]
+    assert [r[0] for r in df.select(labels.truncated("r")).collect()] == [False, True, False]
 
 
 STRINGS = ["  a b  ", "\n\tx\r\n", "  y　", "\x1cz\x1f", "\x85q ",

@@ -81,8 +81,9 @@ def refusal_with_score(pattern_refusal, score, threshold: float = 0.5) -> Column
 
 
 def truncated(reply) -> Column:
-    """Case-sensitive: the reply never wrote 'Label:'."""
-    return ~F.contains(_col(reply), F.lit("Label:"))
+    """Case-sensitive: the reply never wrote 'Label:'. No reply (a failed
+    call) is not a cut-off reply: false, as the evaluated pipeline counts it."""
+    return F.coalesce(~F.contains(_col(reply), F.lit("Label:")), F.lit(False))
 
 
 def has_error(error) -> Column:

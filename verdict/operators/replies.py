@@ -226,7 +226,8 @@ def call_judge(work: DataFrame, produce: Callable[[dict], str],
                     "method": rec["method"], "replicate": int(rec["replicate"]),
                     "runtime": rec.get("runtime"), "temperature": rec.get("temperature"),
                     "error": error, "refusal": "" if reply is not None else None,
-                    "truncated": (None if reply is None else "Label:" not in reply),
+                    # A failed call has no reply, so it was not cut off.
+                    "truncated": reply is not None and "Label:" not in reply,
                     "response": reply})
             yield pd.DataFrame(out, columns=cols)
         if pool:

@@ -68,7 +68,8 @@ def q_detect_refusal(spark, sf_dir):
 
 
 @register("truncated_flag", S.with_ctes(
-    "SELECT prompt_id, model, method, replicate, NOT contains(response, 'Label:') AS truncated "
+    "SELECT prompt_id, model, method, replicate, "
+    "coalesce(NOT contains(response, 'Label:'), false) AS truncated "
     "FROM replies", ["replies"]))
 def q_truncated_flag(spark, sf_dir):
     r = fx.replies(spark, sf_dir)
@@ -491,7 +492,7 @@ def stub_judge(record: dict) -> str:
     "SELECT prompt_id, model, method, replicate, runtime, temperature, "
     "CASE WHEN length(prompt) % 3 = 0 THEN 'RuntimeError: stub judge unavailable' ELSE '' END AS error, "
     "CASE WHEN length(prompt) % 3 = 0 THEN NULL ELSE '' END AS refusal, "
-    "CASE WHEN length(prompt) % 3 = 0 THEN NULL ELSE false END AS truncated, "
+    "false AS truncated, "
     f"CASE length(prompt) % 3 WHEN 1 THEN 'Label: ' || {POS} WHEN 2 THEN 'Label: ' || {NEG} END "
     "AS response FROM owed_text", ["replies_b"], _OUTSTANDING))
 def q_generate_replies(spark, sf_dir):

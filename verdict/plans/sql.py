@@ -123,7 +123,7 @@ def fixture_ctes(settings: Settings = FIXTURE) -> dict[str, str]:
   SELECT prompt_id, model, method, replicate, runtime,
          CAST({settings.temperature} AS DOUBLE) AS temperature,
          CASE WHEN b = 6 THEN {q(fixture.ERROR_TEXT)} ELSE '' END AS error,
-         '' AS refusal, NOT contains(response, 'Label:') AS truncated, response,
+         '' AS refusal, coalesce(NOT contains(response, 'Label:'), false) AS truncated, response,
          b, item_id, shots
   FROM (SELECT *, {resp} AS response FROM reply_keys) r"""
     ctes["replies"] = """
