@@ -28,13 +28,17 @@ def _norm(v):
     return v
 
 
-@pytest.mark.parametrize("name", ["score_directions", "render_prompts", "stratified_sample",
-                                  "outstanding_replies", "review_prompts", "report_methods",
-                                  "quality_checks", "response_bodies"])
-def test_parity_with_sql_oracle(spark, name):
+@pytest.fixture(scope="module")
+def duck():
     con = duckdb.connect()
     for t in ("documents", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_parity_with_sql_oracle(spark, duck, name):
+    con = duck
     df = entry.queries()[name](spark, SF_SMALL)
     cur = con.execute(entry.oracle_sql()[name])
     d_cols = [c[0] for c in cur.description]
