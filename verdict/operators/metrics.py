@@ -96,12 +96,17 @@ def score(counts: DataFrame, group_cols: list[str], views=VIEWS) -> DataFrame:
     packed = F.array(*[F.struct(F.lit(v).alias("view"),
                                 *[F.col(f"{v}_{c}").alias(c) for c in CELLS])
                        for v in views])
-    rows = counts.select(*group_cols, "refusals", "unparsed", F.explode(packed).alias("_v"))
+    def keep(v):
+        return (((v["tp"] + v["fn"]) > 0) & ((v["tn"] + v["fp"]) > 0)
+                & ((v["tp"] + v["fp"]) > 0) & ((v["tn"] + v["fn"]) > 0))
+
+    # Degenerate views are dropped inside the array, before the explode.
+    rows = counts.select(*group_cols, "refusals", "unparsed",
+                         F.explode(F.filter(packed, keep)).alias("_v"))
     tp, fp, fn, tn = (F.col(f"_v.{c}") for c in CELLS)
     dtp, dfp, dfn, dtn = (_d(f"_v.{c}") for c in CELLS)
     n = tp + fp + fn + tn
-    keep = ((tp + fn) > 0) & ((tn + fp) > 0) & ((tp + fp) > 0) & ((tn + fn) > 0)
-    return rows.filter(keep).select(
+    return rows.select(
         *group_cols, F.col("_v.view").alias("view"),
         F.col("refusals").cast("long").alias("refusals"),
         F.col("unparsed").cast("long").alias("unparsed"),
