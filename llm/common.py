@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +69,39 @@ def word_count(c: Column) -> Column:
 def ordered(spark: SparkSession, rows: int, per_part: int = 512, most: int = 16384) -> int:
     """How many hash buckets a table of ``rows`` is laid out in."""
     return max(1, min(most, -(-rows // per_part)))
+
+
+#: A Bloom filter has 2^6 to 2^20 bits: at most 128 KiB, whatever it is built from.
+BLOOM_BITS = 1 << 20
+
+
+def bloom(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test "may be among the keys" for 64-bit hashes, from a frame with one
+    column ``h``. It is an array literal of fixed greatest size; with far more
+    keys it lets more through, so an exact join always follows."""
+    n, n_bits = keys.distinct().count(), 64
+    while n_bits < min(48 * n, BLOOM_BITS):
+        n_bits *= 2
+
+    def bits(h: Column) -> list[Column]:
+        return [F.shiftrightunsigned(h, s).bitwiseAND(F.lit(n_bits - 1).cast("long")) for s in (0, 21, 42)]
+
+    def cell(b: Column) -> Column:
+        return F.shiftright(b, 6).cast("int")
+
+    def bit(b: Column) -> Column:
+        low = b.bitwiseAND(F.lit(63).cast("long")).cast("int")
+        return F.call_function("shiftleft", F.lit(1).cast("long"), low)
+
+    found = (keys.select(F.explode(F.array(*bits(F.col("h")))).alias("b"))
+             .groupBy(cell(F.col("b")).alias("i")).agg(F.bit_or(bit(F.col("b"))).alias("m")))
+    cells = [0] * (n_bits // 64)
+    for r in found.collect():  # at most BLOOM_BITS / 64 rows
+        cells[r.i] = r.m
+    lits = ",".join("(-9223372036854775807L - 1L)" if m == -(1 << 63) else f"{m}L" for m in cells)
+    table = F.expr(f"array({lits})")
+
+    def may(h: Column) -> Column:
+        tests = [F.get(table, cell(b)).bitwiseAND(bit(b)) != 0 for b in bits(h)]
+        return tests[0] & tests[1] & tests[2]
+    return may

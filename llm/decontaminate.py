@@ -18,7 +18,9 @@ repeated rows each get their own result. An empty benchmark hits nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -26,8 +28,6 @@ from . import common
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 SHINGLE = 3
-#: The shingle filter has 2^6 to 2^20 bits: at most 128 KiB, whatever the benchmark.
-MAX_BITS = 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -39,10 +39,6 @@ def _shingle_at(ws: Column, i: Column, width: int) -> Column:
     return F.xxhash64(F.lit(width), *[F.get(ws, i + k) for k in range(width)])
 
 
-def _bits(h: Column, n_bits: int) -> list[Column]:
-    return [F.shiftrightunsigned(h, s).bitwiseAND(F.lit(n_bits - 1).cast("long")) for s in (0, 21, 42)]
-
-
 def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """(item_id, ws): the distinct windows of each item."""
     b = benchmark.select("item_id", words(F.col("text")).alias("all")).where(F.size("all") > 0)
@@ -61,29 +57,10 @@ def _window_shingles(windows: DataFrame, width: int) -> DataFrame:
     return at.select("ws", "off", "w", h.alias("h"))
 
 
-def _filter_of(shingles: DataFrame) -> tuple[Column, int]:
-    """A Bloom filter of the benchmark's shingles as an array literal."""
-    n = shingles.select("h").distinct().count()
-    n_bits = 64
-    while n_bits < min(48 * n, MAX_BITS):
-        n_bits *= 2
-    set_bits = (shingles.select(F.explode(F.array(*_bits(F.col("h"), n_bits))).alias("b"))
-                .groupBy(F.shiftright("b", 6).alias("i"))
-                .agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("m")))
-    cells = [0] * (n_bits // 64)
-    for i, m in set_bits.collect():  # at most MAX_BITS / 64 rows
-        cells[i] = m
-    lits = ",".join("(-9223372036854775807L - 1L)" if m == -(1 << 63) else f"{m}L" for m in cells)
-    return F.expr(f"array({lits})"), n_bits
-
-
-def _candidates(ws: Column, width: int, table: Column, n_bits: int, reach: int) -> Column:
+def _candidates(ws: Column, width: int, known: Callable, reach: int) -> Column:
     """Positions whose shingle may be the benchmark's, with the words around."""
     def may(i: Column) -> Column:
-        tests = [F.get(table, F.shiftright(b, 6).cast("int"))
-                 .bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(F.lit(63).cast("long")).cast("int"))) != 0
-                 for b in _bits(_shingle_at(ws, i, width), n_bits)]
-        return tests[0] & tests[1] & tests[2]
+        return known(_shingle_at(ws, i, width))
 
     def row(i: Column) -> Column:
         first = F.greatest(i - (reach - width), F.lit(0))
@@ -101,10 +78,10 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, width: int =
     window in a document."""
     windows = common.stage(benchmark_windows(benchmark, size), "windows")
     shingles = common.stage(_window_shingles(windows, width), "shingles")
-    table, n_bits = _filter_of(shingles)
+    known = common.bloom(shingles.select("h"))
     widths = [r.w for r in shingles.select("w").distinct().collect()]  # at most `width` rows
     spread = docs.withColumn("_ws", words(F.col("text"))).drop("text")
-    found = [_candidates(F.col("_ws"), w, table, n_bits, size) for w in sorted(widths)]
+    found = [_candidates(F.col("_ws"), w, known, size) for w in sorted(widths)]
     none = F.array().cast("array<struct<pos:int,h:bigint,first:int,around:array<string>>>")
     kept = [c for c in spread.columns if c != "_ws"]
     seen = common.stage(spread.select(

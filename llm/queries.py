@@ -30,6 +30,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(common.table(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import near_dedup
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = near_dedup.near_duplicates(docs, width=3, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id",
+                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")

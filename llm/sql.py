@@ -45,4 +45,20 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM docs LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row)
 """
 
-ORACLE_SQL = {"op4_line_dedup": LINE_DEDUP, "op10_decontamination": DECONTAMINATION}
+NEAR_DEDUP = f"""
+WITH RECURSIVE
+docs AS (SELECT row_number() OVER () AS row, doc_id,
+                regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+grams AS (SELECT DISTINCT row, array_to_string(ws[s:s + 2], ' ') AS g
+          FROM (SELECT row, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS s FROM docs WHERE len(ws) > 0)),
+sizes AS (SELECT row, count(*) AS n FROM grams GROUP BY row),
+links AS (SELECT a.row AS x, b.row AS y FROM grams a JOIN grams b ON a.g = b.g AND a.row <> b.row
+          JOIN sizes p ON p.row = a.row JOIN sizes q ON q.row = b.row
+          GROUP BY a.row, b.row, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+reach AS (SELECT row AS x, row AS y FROM docs UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+least AS (SELECT r.x AS row, min(d.doc_id) AS component_id FROM reach r JOIN docs d ON d.row = r.y GROUP BY r.x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM docs LEFT JOIN sizes USING (row) JOIN least USING (row)
+"""
+
+ORACLE_SQL = {"op8_near_dedup": NEAR_DEDUP, "op4_line_dedup": LINE_DEDUP, "op10_decontamination": DECONTAMINATION}
