@@ -38,6 +38,20 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+#: The piece model and the limit of op9.
+TOKENIZER, TOKEN_LIMIT = "piece_bpe_32k.model", 4096
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    from . import token_counts
+    if model is None:
+        import public_tokenizers
+        model = public_tokenizers.path(TOKENIZER)
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_counts.token_counts(docs, token_counts.pieces(model), common.stage)
+    return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
