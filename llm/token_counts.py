@@ -2,12 +2,13 @@
 
 The tokenizer is compiled into a deterministic transducer over characters,
 built as texts need it. Its state after a prefix is all that the future can
-depend on: the last characters, the length of the last token at each of the
-places within reach, and the token counts there relative to the newest. Its
-transitions carry the change in the number of tokens. They follow from one
-fact of BPE: tokens are an encoding exactly if each neighbouring pair is the
-encoding of its own two strings. So the last token after one more character is
-the one that fits to the encoding before it. Pairs are settled by merging, once.
+depend on: the places where a piece may have begun that is not yet complete,
+each with the characters since, the last token before it and the token count
+there relative to the newest. Its transitions carry the change in the number of
+tokens. They follow from one fact of BPE: tokens are an encoding exactly if
+each neighbouring pair is the encoding of its own two strings. So the last
+token after one more character is the one that fits to the encoding before it.
+Pairs are settled by merging, once.
 
 A place between two characters that no piece spans cuts the text: the
 transducer is back in its start state there. Words therefore have counts of
@@ -26,6 +27,8 @@ null; repeated rows each get a count. The model's path is a parameter.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -34,22 +37,23 @@ from pyspark.sql import functions as F
 
 CHUNK, ROUND = 1 << 14, 64
 SPACE = "▁"  # the vocabulary's mark for a space (fixed value)
-_WORDS, _STATES = 500_000, 300_000
+_WORDS, _STATES = 1_000_000, 500_000
 
 
 class Transducer:
-    """Counts tokens of cut-free runs of characters; states appear on demand."""
+    """Counts tokens of runs of characters; states appear on demand."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores, self.reach = scores, max(map(len, scores), default=1)
+        self.scores = scores
         self.pairs = {p[i:i + 2] for p in scores for i in range(len(p) - 1)}
         if any(b == SPACE and a != SPACE for a, b in self.pairs):
             raise ValueError("a piece spans the start of a word; words have no counts of their own")
+        self.begun = {p[:i] for p in scores for i in range(1, len(p))}
         self._fits: dict[tuple[str, str], bool] = {}
         self._clear()
 
     def _clear(self) -> None:
-        start = ("", (0,), (0,))
+        start = (("", "", 0),)
         self.keys, self.ids, self.step = [start], {start: 0}, [{}]
 
     def merge(self, run: str) -> list[str]:
@@ -65,54 +69,52 @@ class Transducer:
 
     def fits(self, a: str, b: str) -> bool:
         """Whether a then b is the encoding of their string (a may be empty)."""
-        if (a, b) not in self._fits:
+        ok = self._fits.get((a, b))
+        if ok is None:
             if len(self._fits) > _WORDS:
                 self._fits.clear()
-            self._fits[a, b] = self.merge(a + b) == ([a, b] if a else [b])
-        return self._fits[a, b]
-
-    def cost(self, token: str) -> int:
-        """1, or one per byte for a character without a piece."""
-        return 1 if token in self.scores else len(token.encode())
+            ok = self._fits[a, b] = self.merge(a + b) == ([a, b] if a else [b])
+        return ok
 
     def _next(self, state: int, c: str) -> tuple[int, int]:
-        tail, lens, counts = self.keys[state]
-        text = tail + c
-        for n in range(1, min(self.reach, len(lens)) + 1):
-            token = text[-n:]
-            if n > 1 and token not in self.scores:
-                continue
-            before = lens[-n]
-            # Length 0 marks the start of the run: no token before it.
-            prior = text[len(text) - n - before:len(text) - n]
-            if (before == 0) == (len(text) > n):
-                continue
-            if self.fits(prior, token):
-                gain = counts[-n] + self.cost(token)
+        places = self.keys[state]
+        for open_, before, count in places:
+            token = open_ + c
+            if (not open_ or token in self.scores) and self.fits(before, token):
+                gain = count + (1 if token in self.scores else len(token.encode()))
                 break
         else:
             raise ValueError("no token fits")
-        keep = self.reach
-        key = (text[-2 * keep:], (*lens, n)[-keep:], (*(x - gain for x in counts), 0)[-keep:])
-        if key not in self.ids:
-            self.ids[key] = len(self.keys)
+        begun = self.begun
+        key = (*[(o + c, t, n - gain) for o, t, n in places if o + c in begun], ("", token, 0))
+        to = self.ids.get(key)
+        if to is None:
+            to = self.ids[key] = len(self.keys)
             self.keys.append(key)
             self.step.append({})
-        self.step[state][c] = (self.ids[key], gain)
-        return self.ids[key], gain
+        self.step[state][c] = (to, gain)
+        return to, gain
+
+    def cuts(self, run: str) -> list[str]:
+        """run, divided wherever no piece spans two neighbours."""
+        out, at, pairs = [], 0, self.pairs
+        for i in range(1, len(run)):
+            if run[i - 1:i + 1] not in pairs:
+                out.append(run[at:i])
+                at = i
+        out.append(run[at:])
+        return out
 
     def count(self, run: str) -> int:
-        """Tokens of a run of characters, cuts included."""
+        """Tokens of a run without cuts."""
         if len(self.keys) > _STATES:
             self._clear()
         state = total = 0
-        last, pairs, step = "", self.pairs, self.step
+        step = self.step
         for c in run:
-            if last and last + c not in pairs:
-                state = 0
             to = step[state].get(c) or self._next(state, c)
+            state = to[0]
             total += to[1]
-            state, last = to[0], c
         return total
 
 
@@ -135,9 +137,17 @@ class Counter:
         if n is None:
             if len(self.known) > _WORDS:
                 self.known.clear()
-            n = self.machine.count(run)
+            parts, known, count = self.machine.cuts(run), self.known, self.machine.count
+            n = 0
+            for p in parts:
+                m = known.get(p)
+                if m is None:
+                    m = count(p)
+                    if len(p) <= 64:
+                        known[p] = m
+                n += m
             if len(run) <= 64:
-                self.known[run] = n
+                known[run] = n
         return n
 
     def state_map(self, chunk: str) -> tuple[str, int, str, bool]:
@@ -190,6 +200,15 @@ class Counter:
         return (self.run(m[0]) if m[0] else 0) + (m[1] + self.run(m[2]) if m[3] else 0)
 
 
+def counter_of(scores: dict[str, float]) -> Counter:
+    """One counter for each Python worker, kept between its tasks."""
+    home = sys.modules.setdefault("_llm_counters", types.ModuleType("_llm_counters")).__dict__
+    key = hash(frozenset(scores.items()))
+    if key not in home:
+        home[key] = Counter(scores)
+    return home[key]
+
+
 def normal(text: str) -> str:
     """The model's alphabet: a leading space, spaces as marks; an empty text stays empty."""
     return (SPACE + text.replace(" ", SPACE)) if text else ""
@@ -203,7 +222,7 @@ def _maps(scores: dict[str, float], chunk: int):
     kinds = [pa.int64()] * 5 + [pa.string(), pa.int64(), pa.string(), pa.bool_()]
 
     def run(batches):
-        counter = Counter(scores)
+        counter = counter_of(scores)
         for b in batches:
             rows = []
             for uid, doc, text in zip(*(b.column(c).to_pylist() for c in ("uid", "doc_id", "text"))):
@@ -222,7 +241,7 @@ def _maps(scores: dict[str, float], chunk: int):
 def _scan(scores: dict[str, float]):
     """Composes the maps of up to ROUND neighbouring chunks."""
     def run(pdf):
-        counter = Counter(scores)
+        counter = counter_of(scores)
         pdf = pdf.sort_values("chunk")
         whole = ("", 0, "", False)
         for m in zip(pdf["head"], pdf["count"], pdf["tail"], pdf["cut"]):
