@@ -15,6 +15,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumn("predicted", (F.col("score") >= toxicity.CUT).cast("int"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
     docs = common.table(spark, sf_dir, "documents").select(
@@ -30,6 +37,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(common.table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.scores(docs, common.table(spark, sf_dir, "labels"))
+    return out.withColumn("predicted", (F.col("score") >= quality.CUT).cast("int"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import near_dedup
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
