@@ -37,6 +37,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(common.table(spark, sf_dir, "documents"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+    return ann.search(common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
