@@ -294,10 +294,16 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = THRESH
 
 def kept_documents(docs: DataFrame, width: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
     """docs without near duplicates: of each group the row with the smallest
-    doc_id stays, one of them if rows repeat; texts without words all stay."""
-    cols = docs.columns
-    flags = near_duplicates(docs, width, percent)
-    drop = (flags.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.coalesce("doc_id", F.lit(_NULL)).alias("_d"), F.col("th").alias("_t")).distinct())
-    return (docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)), "_t": F.xxhash64("text")})
-            .join(drop, ["_d", "_t"], "left_anti").select(*cols))
+    doc_id stays, one of them if rows repeat; texts without words all stay, and
+    so do different texts of a group in which no row has a doc_id."""
+    cols, keys = docs.columns, ["_d", "_t"]
+    flags = common.stage(near_duplicates(docs, width, percent).where("n_shingles > 0").select(
+        F.coalesce("doc_id", F.lit(_NULL)).alias("_d"), F.col("th").alias("_t"),
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "flags")
+    drop = flags.where(~F.col("kept")).select(*keys).distinct()
+    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)), "_t": F.xxhash64("text")})
+    again = common.stage(flags.where("kept").groupBy(*keys).count().where("count > 1").select(*keys), "again")
+    if not again.limit(1).count():
+        return keyed.join(drop, keys, "left_anti").select(*cols)
+    one = keyed.join(again, keys, "left_semi").dropDuplicates(keys)
+    return keyed.join(drop.unionAll(again), keys, "left_anti").unionAll(one).select(*cols)

@@ -49,6 +49,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= quality.CUT).cast("int"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secret_scan
+    return secret_scan.secrets(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import near_dedup
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -23,8 +23,10 @@ import itertools
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -240,8 +242,7 @@ def keep_clean(docs: DataFrame, model: tuple) -> DataFrame:
     entries, (w, mean, scale) = model
 
     @F.pandas_udf("double")
-    def of(parts):
-        import pandas as pd
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         grammar, lexicon = Grammar(), Lexicon(entries)
         for s in parts:
             x = np.array([document_features(t, grammar, lexicon) for t in s], float).reshape(len(s), N_FEATURES)
