@@ -15,9 +15,10 @@ cases, at any depth, and by four trees in 1 of a million.
 A leaf reports a spanning forest of its candidates (estimate within 3.5
 standard errors of the threshold, or above), not all pairs. Every reported
 pair is confirmed on the full shingle sets. Where a forest edge fails, its leaf
-reports all remaining candidates between its unconnected parts, except what
-other leaves connected meanwhile; those are confirmed too. So every candidate
-is either confirmed, refused on full sets, or inside one component already.
+is looked at again: the members that still have a candidate in another
+component come together with their sets and are compared exactly, best
+estimate first, each pair in one leaf only and only while it is unconnected. So
+every candidate is confirmed, refused on full sets, or inside one component.
 
 Nulls and texts without words: no shingles, linked with nothing, kept. Fewer
 words than a shingle: the whole sequence is one shingle. Null doc_ids: an
@@ -30,6 +31,7 @@ import hashlib
 import struct
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -153,7 +155,7 @@ def _leaves(reps: DataFrame) -> DataFrame:
             .where(F.size("members") > 1))
 
 
-def _find(up: list, i: int) -> int:
+def _find(up, i: int) -> int:
     while up[i] != i:
         up[i] = up[up[i]]
         i = up[i]
@@ -175,35 +177,38 @@ def _similar(n: np.ndarray, sk: np.ndarray, least: float, ratio: float):
     return i[order], j[order]
 
 
-def _compare(percent: int, again: bool):
-    """Leaves to candidate edges: a spanning forest; ``again``: all candidates
-    between the parts that the confirmed edges leave apart."""
+def _estimates(percent: int) -> tuple[float, float]:
+    """(least estimate of a candidate, least ratio of the set sizes)."""
     p = percent / 100
-    least, ratio = p - 3.5 * (p * (1 - p) / SKETCH) ** 0.5, p - 1e-9
+    return p - 3.5 * (p * (1 - p) / SKETCH) ** 0.5, p - 1e-9
+
+
+def _unpack(members, extra: tuple = ()) -> list:
+    """Columns rid, n, sketch and extra ones of a leaf, by rid."""
+    rid, n = (members.field(x).to_numpy(zero_copy_only=False) for x in ("rid", "n"))
+    sk = np.frombuffer(b"".join(members.field("sk").to_pylist()), np.uint8).reshape(len(rid), SKETCH)
+    order = np.argsort(rid)
+    more = [members.field(x).to_pylist() for x in extra]
+    return [rid[order], n[order], sk[order], *([m[i] for i in order] for m in more)]
+
+
+def _forest(percent: int):
+    """Leaves to the edges of a best spanning forest of their candidates."""
+    least, ratio = _estimates(percent)
 
     def run(batches):
         for b in batches:
             leaf, left, right = [], [], []
             for k in range(b.num_rows):
-                m = b.column("members")[k].values
-                rid, n = (m.field(x).to_numpy(zero_copy_only=False) for x in ("rid", "n"))
-                sk = np.frombuffer(b"".join(m.field("sk").to_pylist()), np.uint8).reshape(len(rid), SKETCH)
-                order = np.argsort(rid)
-                rid, n, sk = rid[order], n[order], sk[order]
+                rid, n, sk = _unpack(b.column("members")[k].values)
                 up = list(range(len(rid)))
-                if again:
-                    joined = b.column("joined")[k].values
-                    at = {int(r): x for x, r in enumerate(rid)}
-                    for x, y in zip(joined.field("a").to_pylist(), joined.field("b").to_pylist()):
-                        up[_find(up, at[x])] = _find(up, at[y])
                 for i, j in zip(*_similar(n, sk, least, ratio)):
                     x, y = _find(up, int(i)), _find(up, int(j))
                     if x != y:
                         leaf.append(b.column("leaf")[k].as_py())
                         left.append(int(rid[i]))
                         right.append(int(rid[j]))
-                        if not again:
-                            up[x] = y
+                        up[x] = y
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (leaf, left, right)], names=["leaf", "a", "b"])
     return run
 
@@ -211,6 +216,57 @@ def _compare(percent: int, again: bool):
 _EDGE = "leaf long, a long, b long"
 
 
+def _open_pairs(leaf: int, rid, n, sk, root, homes, failed: set, percent: int) -> list[tuple[int, int]]:
+    """A leaf's candidates between components that were not refused, best
+    first; of a pair's common leaves only the least looks at it."""
+    homes = [set(h) for h in homes]
+    return [(i, j) for i, j in zip(*(x.tolist() for x in _similar(n, sk, *_estimates(percent))))
+            if root[i] != root[j] and (int(rid[i]), int(rid[j])) not in failed and min(homes[i] & homes[j]) == leaf]
+
+
+def _still_open(percent: int):
+    """Leaves to the members that their open pairs need."""
+    def run(batches):
+        for b in batches:
+            leaf, out = [], []
+            for k in range(b.num_rows):
+                rid, n, sk, root, homes = _unpack(b.column("members")[k].values, ("root", "homes"))
+                f = b.column("failed")[k].values
+                failed = set(zip(f.field("a").to_pylist(), f.field("b").to_pylist()))
+                here = b.column("leaf")[k].as_py()
+                need = sorted({x for p in _open_pairs(here, rid, n, sk, root, homes, failed, percent) for x in p})
+                leaf += [here] * len(need)
+                out += [int(rid[x]) for x in need]
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(out, pa.int64())], names=["leaf", "rid"])
+    return run
+
+
+def _same(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _settle(percent: int):
+    """One leaf's needed members with their sets to the links it finds."""
+    least, ratio = _estimates(percent)
+
+    def run(key, pdf):
+        pdf = pdf.sort_values("rid").reset_index(drop=True)
+        rid, root = pdf["rid"].to_numpy(), pdf["root"].to_numpy()
+        sk = np.frombuffer(b"".join(pdf["sk"]), np.uint8).reshape(len(rid), SKETCH)
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["s"]]
+        homes = [set(h) for h in pdf["homes"]]
+        up = {r: r for r in root.tolist()}
+        out = []
+        for i, j in zip(*_similar(pdf["n"].to_numpy(), sk, least, ratio)):
+            x, y = _find(up, int(root[i])), _find(up, int(root[j]))
+            if x != y and min(homes[i] & homes[j]) == key[0] and _same(sets[i], sets[j], percent):
+                up[x] = y
+                out.append((int(rid[i]), int(rid[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    return run
+
+
 def _sets(width: int):
     def run(batches):
         hashes = WordHashes()
@@ -225,28 +281,48 @@ def _confirm(percent: int):
         for b in batches:
             ok = []
             for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+                ok.append(_same(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok)], names=["a", "b", "ok"])
     return run
 
 
-def _confirmed(edges: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b, ok) for distinct edges, on the full shingle sets of both ends.
-    Only the texts at an edge move: a fixed-size Bloom filter drops the rest
-    at the scan, a join on (doc_id, hash of the text) is exact."""
-    edges = edges.select("a", "b").distinct()
-    ends = edges.select(F.col("a").alias("rid")).unionAll(edges.select(F.col("b").alias("rid"))).distinct()
-    ends = common.stage(ends.join(reps.select("rid", "doc", "th"), "rid"), "ends")
+def _shingle_sets(rids: DataFrame, docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """(rid, s): the shingle sets of the classes asked for. Only their texts
+    move: a fixed-size Bloom filter drops most others at the scan, and a join on
+    (doc_id, hash of the text) is exact."""
+    ends = common.stage(rids.distinct().join(reps.select("rid", "doc", "th"), "rid"), "ends")
     texts = docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc"), F.xxhash64("text").alias("th"), "text")
     texts = texts.where(common.bloom(ends.select(F.col("th").alias("h")))(F.col("th")))
-    sets = (texts.join(ends, ["doc", "th"]).select("rid", "text")
+    return (texts.join(ends, ["doc", "th"]).select("rid", "text")
             .mapInArrow(_sets(width), "rid long, s binary").dropDuplicates(["rid"]))
+
+
+def _confirmed(edges: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b, ok) for distinct edges, on the full shingle sets of both ends."""
+    edges = edges.select("a", "b").distinct()
+    ends = edges.select(F.col("a").alias("rid")).unionAll(edges.select(F.col("b").alias("rid")))
+    sets = _shingle_sets(ends, docs, reps, width)
     a, b = (sets.select(F.col("rid").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     return edges.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long, ok boolean")
 
 
+def _more_links(leaves: DataFrame, forest: DataFrame, first: DataFrame, docs: DataFrame, reps: DataFrame,
+                width: int, percent: int) -> DataFrame:
+    """(a, b): links that join components which failed forest edges left apart."""
+    failed = forest.join(first.where("not ok").drop("ok"), ["a", "b"]).groupBy("leaf").agg(
+        F.collect_list(F.struct("a", "b")).alias("failed"))
+    members = leaves.join(failed.select("leaf"), "leaf", "left_semi").select("leaf", F.explode("members").alias("m")).select("leaf", "m.*")
+    roots = components(first.where("ok")).select(F.col("v").alias("rid"), F.col("u").alias("root"))
+    homes = members.groupBy("rid").agg(F.collect_list("leaf").alias("homes"))
+    homes = homes.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    members = common.stage(members.join(homes, "rid"), "again")
+    again = members.groupBy("leaf").agg(F.collect_list(F.struct("rid", "n", "sk", "root", "homes")).alias("members"))
+    need = common.stage(again.join(failed, "leaf").mapInArrow(_still_open(percent), "leaf long, rid long"), "open")
+    sets = _shingle_sets(need.select("rid"), docs, reps, width)
+    return (members.join(need, ["leaf", "rid"]).join(sets, "rid").select("leaf", "rid", "n", "sk", "root", "homes", "s")
+            .groupBy("leaf").applyInPandas(_settle(percent), "a long, b long"))
+
+
 _NULL = (1 << 63) - 1
 
 
@@ -262,26 +338,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = THRESH
             .agg(F.min(own).alias("own"), F.first("n").alias("n"), F.first("tok").alias("tok"), F.first("sk").alias("sk")))
     reps = common.stage(reps.select(F.monotonically_increasing_id().alias("rid"), "c1", "c2", "own.doc", "own.th", "n", "tok", "sk"), "reps")
     leaves = common.stage(_leaves(reps), "leaves")
-    forest = common.stage(leaves.mapInArrow(_compare(percent, False), _EDGE), "forest")
+    forest = common.stage(leaves.mapInArrow(_forest(percent), _EDGE), "forest")
     first = common.stage(_confirmed(forest, docs, reps, width, percent), "confirmed")
-    links = first.where("ok")
-    failed = first.where("not ok")
-    if failed.limit(1).count():
-        broken = forest.join(failed.drop("ok"), ["a", "b"]).select("leaf").distinct()
-        joined = (forest.join(broken, "leaf", "left_semi").join(links.drop("ok"), ["a", "b"])
-                  .groupBy("leaf").agg(F.collect_list(F.struct("a", "b")).alias("joined")))
-        none = F.array().cast("array<struct<a:bigint,b:bigint>>")
-        rest = (leaves.join(broken, "leaf").join(joined, "leaf", "left")
-                .withColumn("joined", F.coalesce("joined", none))
-                .mapInArrow(_compare(percent, True), _EDGE).select("a", "b").distinct())
-        roots = components(links)
-        for x in "ab":
-            rest = (rest.join(roots.select(F.col("v").alias(x), F.col("u").alias(f"r{x}")), x, "left")
-                    .withColumn(f"r{x}", F.coalesce(f"r{x}", x)))
-        rest = rest.where("ra <> rb").select("a", "b").join(failed.select("a", "b"), ["a", "b"], "left_anti")
-        rest = common.stage(rest, "rest")
-        more = common.stage(_confirmed(rest, docs, reps, width, percent), "confirmed")
-        links = links.unionAll(more.where("ok"))
+    links = first.where("ok").drop("ok")
+    if first.where("not ok").limit(1).count():
+        links = links.unionAll(common.stage(_more_links(leaves, forest, first, docs, reps, width, percent), "more"))
     roots = components(links.select("a", "b"))
     named = (reps.select("rid", "c1", "c2", "doc").join(roots.withColumnRenamed("v", "rid"), "rid", "left")
              .withColumn("root", F.coalesce("u", "rid")))
