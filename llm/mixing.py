@@ -239,7 +239,10 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
                         F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("block")))
     lo = F.greatest(F.col("start"), F.col("block") * block)
     hi = F.least(end, F.col("block") * block + F.col("words"))
-    pieces = (segments.join(draw(spark, plan, seed, block=block), ["sid", "block"])
+    # Written first: a plan can't know the size of what Python makes, and would
+    # broadcast the slots, which grow with the mix.
+    slots = common.stage(draw(spark, plan, seed, block=block), "slots")
+    pieces = (segments.join(slots, ["sid", "block"])
               .select("uid", "shard", "position", "epoch", (lo - F.col("start")).alias("first"), (hi - lo).alias("n"))
               .where("n > 0"))
     return rows, pieces
