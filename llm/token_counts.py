@@ -200,10 +200,9 @@ class Counter:
         return (self.run(m[0]) if m[0] else 0) + (m[1] + self.run(m[2]) if m[3] else 0)
 
 
-def counter_of(scores: dict[str, float]) -> Counter:
-    """One counter for each Python worker, kept between its tasks."""
+def counter_of(scores: dict[str, float], key: int) -> Counter:
+    """One counter for each Python worker and vocabulary, kept between tasks."""
     home = sys.modules.setdefault("_llm_counters", types.ModuleType("_llm_counters")).__dict__
-    key = hash(frozenset(scores.items()))
     if key not in home:
         home[key] = Counter(scores)
     return home[key]
@@ -217,12 +216,18 @@ def normal(text: str) -> str:
 _MAP = "uid long, doc_id long, n_bytes long, chunk long, chunks long, head string, count long, tail string, cut boolean"
 
 
-def _maps(scores: dict[str, float], chunk: int):
-    names = [x.split()[0] for x in _MAP.split(", ")]
-    kinds = [pa.int64()] * 5 + [pa.string(), pa.int64(), pa.string(), pa.bool_()]
+_NAMES = [x.split()[0] for x in _MAP.split(", ")]
+_KINDS = [pa.int64()] * 5 + [pa.string(), pa.int64(), pa.string(), pa.bool_()]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * len(_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS)], names=_NAMES)
+
 
+def _maps(scores: dict[str, float], key: int, chunk: int):
     def run(batches):
-        counter = counter_of(scores)
+        counter = counter_of(scores, key)
         for b in batches:
             rows = []
             for uid, doc, text in zip(*(b.column(c).to_pylist() for c in ("uid", "doc_id", "text"))):
@@ -233,38 +238,39 @@ def _maps(scores: dict[str, float], chunk: int):
                 else:
                     rows += [(uid, doc, n, k, chunks, *counter.state_map(s[k * chunk:(k + 1) * chunk]))
                              for k in range(chunks)]
-            cols = list(zip(*rows)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+            yield _batch(rows)
     return run
 
 
-def _scan(scores: dict[str, float]):
+def _scan(scores: dict[str, float], key: int):
     """Composes the maps of up to ROUND neighbouring chunks."""
-    def run(pdf):
-        counter = counter_of(scores)
-        pdf = pdf.sort_values("chunk")
-        whole = ("", 0, "", False)
-        for m in zip(pdf["head"], pdf["count"], pdf["tail"], pdf["cut"]):
-            whole = counter.compose(whole, m)
-        one = pdf.iloc[:1].copy()
-        one["chunk"] = one["chunk"] // ROUND
-        one["chunks"] = -(-one["chunks"] // ROUND)
-        for c, x in zip(("head", "count", "tail", "cut"), whole):
-            one[c] = [x]
-        if int(one["chunks"].iloc[0]) == 1:
-            one["head"], one["count"], one["tail"], one["cut"] = None, counter.total(whole), None, False
-        return one
+    def run(batches):
+        counter = counter_of(scores, key)
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                whole = ("", 0, "", False)
+                for m in r["maps"]:
+                    whole = counter.compose(whole, (m["head"], m["count"], m["tail"], m["cut"]))
+                chunks = -(-r["chunks"] // ROUND)
+                if chunks == 1:
+                    whole = (None, counter.total(whole), None, False)
+                rows.append((r["uid"], r["doc_id"], r["n_bytes"], r["part"], chunks, *whole))
+            yield _batch(rows)
     return run
 
 
 def token_counts(docs: DataFrame, scores: dict[str, float], stage: Callable, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_bytes, n_tokens for each row of docs (doc_id, text). scores:
     the vocabulary, about a megabyte, sent with the tasks."""
+    key = hash(frozenset(scores.items()))
     src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    maps = stage(src.mapInArrow(_maps(scores, chunk), _MAP), "maps")
+    maps = stage(src.mapInArrow(_maps(scores, key, chunk), _MAP), "maps")
     done, left = maps.where("chunks = 1"), maps.where("chunks > 1")
     widest = left.agg(F.max("chunks")).first()[0] or 1
     while widest > 1:
-        left = left.groupBy("uid", F.floor(F.col("chunk") / ROUND).alias("part")).applyInPandas(_scan(scores), _MAP)
+        grouped = left.groupBy("uid", "doc_id", "n_bytes", "chunks", F.floor(F.col("chunk") / ROUND).alias("part")).agg(
+            F.array_sort(F.collect_list(F.struct("chunk", "head", "count", "tail", "cut"))).alias("maps"))
+        left = grouped.mapInArrow(_scan(scores, key), _MAP)
         widest = -(-widest // ROUND)
     return done.unionAll(left).select("doc_id", "n_bytes", F.col("count").alias("n_tokens"))
