@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,23 +36,33 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+#: Paths staged inside open scopes, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+def stage(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write a frame once under the shared folder and read it back: cuts the
-    lineage, survives lost executors, and fixes generated row ids."""
+    lineage, survives lost executors, and fixes generated row ids. Inside a
+    ``scope`` the files go when it ends, unless ``keep``."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/llm/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete staged frames that no later plan reads."""
-    for df in frames:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        path = jvm.org.apache.hadoop.fs.Path(df._staged_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Frames staged inside are deleted at its end: what leaves must be staged
+    with ``keep`` or be no frame."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for p in _SCOPES.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(c: Column) -> Column:

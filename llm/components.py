@@ -30,5 +30,4 @@ def components(edges: DataFrame) -> DataFrame:
         low = _minimum(large.select("u", "v"))  # every v here is below its u
         small = (low.select(F.col("v").alias("x"), "m").unionAll(low.select(F.col("u").alias("x"), "m"))
                  .where("x <> m").distinct().select(F.col("x").alias("v"), F.col("m").alias("u")))
-        old, now = now, common.stage(small, "stars")
-        common.discard(old)
+        now = common.stage(small, "stars")

@@ -181,13 +181,15 @@ def _draw(plan: list[tuple], seed: int, block: int):
 def pack(docs: DataFrame, seed: int = SEED) -> tuple[DataFrame, list]:
     """(rows, sources): rows is docs with ``uid`` and ``start``, the place of
     its first word in its source's stream, and ``sid``; docs needs doc_id,
-    source and ``size`` (words). Equal rows are told apart by uid only.
+    source and ``size`` (words), and should be narrow. Equal rows are told apart
+    by uid only; docs may bring a fixed one along.
 
     Places are running sums in two steps (within hash buckets, then over the
     buckets), so no source, however large, meets in one task."""
     spark = docs.sparkSession
-    rows = common.stage(docs.withColumns({"uid": F.monotonically_increasing_id(),
-                                          "mix_h": F.xxhash64(F.lit(seed), "doc_id", "size")}), "mix")
+    if "uid" not in docs.columns:
+        docs = docs.withColumn("uid", F.monotonically_increasing_id())
+    rows = common.stage(docs.withColumn("mix_h", F.xxhash64(F.lit(seed), "doc_id", "size")), "mix")
     per = (rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
            .orderBy(F.col("source").asc_nulls_last()).collect())
     buckets = common.ordered(spark, sum(r.n for r in per))
@@ -260,13 +262,14 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     in it (the text as it is where all are), with the columns of docs. So a
     source above its size repeats its documents, one below gives parts."""
     cols = docs.columns
-    work = docs.select(F.col("doc_id"), F.col("source"), common.word_count(F.col("text")).alias("size"),
-                       F.struct(*cols).alias("row"))
-    rows, pieces = mix(work, **how)
-    per = pieces.groupBy("uid", "epoch").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("first", "n"))).alias("runs"))
-    ws = F.regexp_extract_all("row.text", F.lit(common.WORD), F.lit(0))
+    whole = common.stage(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*cols).alias("row")), "whole")
+    # Places and draws run on narrow rows; the texts move once, to be cut.
+    rows, pieces = mix(whole.select("uid", "row.doc_id", "row.source", common.word_count(F.col("row.text")).alias("size")), **how)
+    per = (pieces.groupBy("uid", "epoch").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("first", "n"))).alias("runs"))
+           .join(rows.select("uid", "size"), "uid"))
+    part = F.col("n") < F.col("size")
+    ws = F.when(part, F.regexp_extract_all("row.text", F.lit(common.WORD), F.lit(0)))
     cut = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice("ws", r["first"].cast("int") + 1, r["n"].cast("int")))), " ")
-    out = rows.join(per, "uid").withColumn("ws", F.when(F.col("n") < F.col("size"), ws)) \
-        .withColumn("new", F.when(F.col("n") < F.col("size"), cut).otherwise(F.col("row.text")))
+    out = whole.join(per, "uid").withColumn("ws", ws).withColumn("new", F.when(part, cut).otherwise(F.col("row.text")))
     put = {"text": F.col("new"), "n_chars": F.char_length("new").cast("long")}
     return out.select(*[put[c].alias(c) if c in put else F.col("row").getField(c).alias(c) for c in cols])

@@ -330,6 +330,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = THRESH
     """One row per row of docs (doc_id, text): doc_id, th (hash of the text),
     n_shingles, component_id (the smallest doc_id linked with it over any
     number of links, itself included)."""
+    with common.scope(docs.sparkSession):
+        return common.stage(_near_duplicates(docs, width, percent), "components", keep=True)
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     rows = common.stage(src.mapInArrow(
         _signatures(width), "doc_id long, th long, n long, c1 long, c2 long, tok array<int>, sk binary"), "signed")
