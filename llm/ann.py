@@ -103,7 +103,7 @@ class Router:
     def __init__(self, x: np.ndarray, target: np.ndarray):
         rng = np.random.default_rng(SEED)
         d, p = x.shape[1], target.shape[1]
-        self.scale = float(np.sqrt((x * x).mean())) or 1.0
+        self.scale = float(np.sqrt((x * x).mean())) if x.any() else 1.0
         self.w = [rng.normal(0, d ** -0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN ** -0.5, (HIDDEN, p)), np.zeros(p)]
         m, v, k = [np.zeros_like(a) for a in self.w], [np.zeros_like(a) for a in self.w], 0
         for _ in range(EPOCHS if p > 1 else 0):

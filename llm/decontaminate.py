@@ -105,18 +105,20 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, width: int =
     return seen.drop("cands"), hits
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, width: int = SHINGLE) -> DataFrame:
-    """Per document row: doc_id and the other columns but text, n_words,
-    n_hit (words inside an occurrence), items (sorted ids of the items found),
-    contaminated."""
-    rows, hits = find(docs, benchmark, size, width)
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, width: int = SHINGLE,
+                  key: str = "doc_id") -> DataFrame:
+    """Per row of docs (an id column and text): the id, n_words, n_hit (words inside an
+    occurrence), n_items, items (sorted ids of the items found; an item without
+    an id counts but has no name), contaminated."""
+    rows, hits = find(docs.select(key, "text"), benchmark, size, width)
     runs = F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("len") - 1))))
     # Intervals first become distinct per document, then their union is counted.
     per_doc = hits.groupBy("uid").agg(
         F.size(runs).cast("long").alias("n_hit"),
+        F.size(F.collect_set(F.struct("item_id"))).cast("long").alias("n_items"),
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     return (rows.join(per_doc, "uid", "left")
-            .withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
+            .withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_hit", "n_items")})
             .withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
             .withColumn("contaminated", F.col("n_hit") > 0))
 
@@ -125,6 +127,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any benchmark window, with their own columns."""
     cols = docs.columns
     named = docs.select(F.xxhash64("doc_id", "text").alias("_row"), *cols)
-    bad = (contamination(named.select("_row", "text"), benchmark)
+    bad = (contamination(named, benchmark, key="_row")
            .where("contaminated").select("_row").distinct())
     return named.join(bad, "_row", "left_anti").select(*cols)

@@ -178,17 +178,17 @@ def _draw(plan: list[tuple], seed: int, block: int):
     return run
 
 
-def pack(docs: DataFrame, seed: int = SEED) -> tuple[DataFrame, list]:
-    """(rows, sources): rows is docs with ``uid`` and ``start``, the place of
-    its first word in its source's stream, and ``sid``; docs needs doc_id,
-    source and ``size`` (words), and should be narrow. Equal rows are told apart
-    by uid only; docs may bring a fixed one along.
+def pack(docs: DataFrame, seed: int = SEED, numbered: bool = False) -> tuple[DataFrame, list]:
+    """(rows, sources): rows is doc_id, source and ``size`` (words) of docs with
+    ``uid`` and ``start``, the place of its first word in its source's stream,
+    and ``sid``. Equal rows are told apart by uid only; ``numbered`` docs bring
+    a fixed one along.
 
     Places are running sums in two steps (within hash buckets, then over the
     buckets), so no source, however large, meets in one task."""
     spark = docs.sparkSession
-    if "uid" not in docs.columns:
-        docs = docs.withColumn("uid", F.monotonically_increasing_id())
+    uid = F.col("uid") if numbered else F.monotonically_increasing_id()
+    docs = docs.select("doc_id", "source", "size", uid.alias("uid"))
     rows = common.stage(docs.withColumn("mix_h", F.xxhash64(F.lit(seed), "doc_id", "size")), "mix")
     per = (rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
            .orderBy(F.col("source").asc_nulls_last()).collect())
@@ -223,12 +223,12 @@ def draw(spark, plan: list[tuple], seed: int = SEED, slots: int = SLOTS, block:
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST,
-        block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+        block: int = BLOCK, seed: int = SEED, numbered: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, pieces): rows as ``pack`` gives them plus ``source_size`` and
     ``target``; pieces has one row per run of a document's words in a slot of
     the mix: uid, shard, position, epoch, first (word of the document), n."""
     spark = docs.sparkSession
-    placed, per = pack(docs, seed)
+    placed, per = pack(docs, seed, numbered)
     sizes = [int(r["size"] or 0) for r in per]
     goal = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(per))], share, most)
     plan = [(s, *_plan(i, s, t, block, seed)) for i, (s, t) in enumerate(zip(sizes, goal))]
@@ -264,7 +264,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     cols = docs.columns
     whole = common.stage(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*cols).alias("row")), "whole")
     # Places and draws run on narrow rows; the texts move once, to be cut.
-    rows, pieces = mix(whole.select("uid", "row.doc_id", "row.source", common.word_count(F.col("row.text")).alias("size")), **how)
+    rows, pieces = mix(whole.select("uid", "row.doc_id", "row.source", common.word_count(F.col("row.text")).alias("size")), numbered=True, **how)
     per = (pieces.groupBy("uid", "epoch").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("first", "n"))).alias("runs"))
            .join(rows.select("uid", "size"), "uid"))
     part = F.col("n") < F.col("size")

@@ -135,9 +135,9 @@ def _splitters(rows: DataFrame, keys: _Keys, shards: int, ranges: int, size: int
 
 def shard(df: DataFrame, text_hash: Column, size: Column, shards: int = SHARDS, ranges: int = RANGES) -> DataFrame:
     """df with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 within
-    the shard), both by the law ``bytes``. df needs ``doc_id``; its rows move
+    the shard), both by the law ``bytes``; they replace columns so named. df needs ``doc_id``; its rows move
     once, so pass only the columns that the shards are to hold."""
-    cols = df.columns
+    cols = [c for c in df.columns if c not in ("shard", "slot")]
     rows = common.stage(df.select(
         F.struct(*cols).alias("row"), F.shiftrightunsigned(text_hash, 2).alias("h"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("d"),
