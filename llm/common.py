@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,33 +88,59 @@ def ordered(spark: SparkSession, rows: int, per_part: int = 512, most: int = 163
 BLOOM_BITS = 1 << 20
 
 
-def bloom(keys: DataFrame) -> Callable[[Column], Column]:
-    """A test "may be among the keys" for 64-bit hashes, from a frame with one
-    column ``h``. It is an array literal of fixed greatest size; with far more
-    keys it lets more through, so an exact join always follows."""
-    n, n_bits = keys.distinct().count(), 64
-    while n_bits < min(48 * n, BLOOM_BITS):
-        n_bits *= 2
+def _bloom_bits(h: Column, n_bits: int) -> list[Column]:
+    return [F.shiftrightunsigned(h, s).bitwiseAND(F.lit(n_bits - 1).cast("long")) for s in _BLOOM_SHIFTS]
+
 
-    def bits(h: Column) -> list[Column]:
-        return [F.shiftrightunsigned(h, s).bitwiseAND(F.lit(n_bits - 1).cast("long")) for s in (0, 21, 42)]
+_BLOOM_SHIFTS = (0, 21, 42)
 
-    def cell(b: Column) -> Column:
-        return F.shiftright(b, 6).cast("int")
 
-    def bit(b: Column) -> Column:
-        low = b.bitwiseAND(F.lit(63).cast("long")).cast("int")
-        return F.call_function("shiftleft", F.lit(1).cast("long"), low)
+def _bloom_cell(b: Column) -> Column:
+    return F.shiftright(b, 6).cast("int")
 
-    found = (keys.select(F.explode(F.array(*bits(F.col("h")))).alias("b"))
-             .groupBy(cell(F.col("b")).alias("i")).agg(F.bit_or(bit(F.col("b"))).alias("m")))
+
+def _bloom_bit(b: Column) -> Column:
+    low = b.bitwiseAND(F.lit(63).cast("long")).cast("int")
+    return F.call_function("shiftleft", F.lit(1).cast("long"), low)
+
+
+def _bloom_cells(keys: DataFrame) -> list[int]:
+    """The filter's bits for a frame with one column ``h`` of 64-bit hashes."""
+    n, n_bits = keys.distinct().count(), 64
+    while n_bits < min(48 * n, BLOOM_BITS):
+        n_bits *= 2
+    found = (keys.select(F.explode(F.array(*_bloom_bits(F.col("h"), n_bits))).alias("b"))
+             .groupBy(_bloom_cell(F.col("b")).alias("i")).agg(F.bit_or(_bloom_bit(F.col("b"))).alias("m")))
     cells = [0] * (n_bits // 64)
     for r in found.collect():  # at most BLOOM_BITS / 64 rows
         cells[r.i] = r.m
+    return cells
+
+
+def bloom(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test "may be among the keys" in SQL functions alone. The filter is an
+    array literal of fixed greatest size; with far more keys it lets more
+    through, so an exact join always follows."""
+    cells = _bloom_cells(keys)
     lits = ",".join("(-9223372036854775807L - 1L)" if m == -(1 << 63) else f"{m}L" for m in cells)
     table = F.expr(f"array({lits})")
 
     def may(h: Column) -> Column:
-        tests = [F.get(table, cell(b)).bitwiseAND(bit(b)) != 0 for b in bits(h)]
+        tests = [F.get(table, _bloom_cell(b)).bitwiseAND(_bloom_bit(b)) != 0 for b in _bloom_bits(h, 64 * len(cells))]
         return tests[0] & tests[1] & tests[2]
     return may
+
+
+def bloom_udf(keys: DataFrame) -> Callable[[Column], Column]:
+    """The same test in numpy: the filter travels with the tasks and stays out
+    of the plan, which the driver keeps and logs many times over."""
+    cells = np.array(_bloom_cells(keys), np.int64).view(np.uint64)
+
+    @F.pandas_udf("boolean")
+    def may(h: pd.Series) -> pd.Series:
+        x, ok = h.to_numpy().view(np.uint64), np.ones(len(h), bool)
+        for s in _BLOOM_SHIFTS:
+            b = (x >> np.uint64(s)) & np.uint64(64 * len(cells) - 1)
+            ok &= (cells[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63)) & np.uint64(1)) > 0
+        return pd.Series(ok)
+    return may

@@ -292,7 +292,7 @@ def _shingle_sets(rids: DataFrame, docs: DataFrame, reps: DataFrame, width: int)
     (doc_id, hash of the text) is exact."""
     ends = common.stage(rids.distinct().join(reps.select("rid", "doc", "th"), "rid"), "ends")
     texts = docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc"), F.xxhash64("text").alias("th"), "text")
-    texts = texts.where(common.bloom(ends.select(F.col("th").alias("h")))(F.col("th")))
+    texts = texts.where(common.bloom_udf(ends.select(F.col("th").alias("h")))(F.col("th")))
     return (texts.join(ends, ["doc", "th"]).select("rid", "text")
             .mapInArrow(_sets(width), "rid long, s binary").dropDuplicates(["rid"]))
 
