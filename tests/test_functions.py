@@ -1,6 +1,5 @@
 """Scalar Column functions against literal tables and plain-Python brute force."""
 
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,32 +30,6 @@ REPLY_TABLE = [
 ]
 
 
-def _python_parse(reply):
-    """The evaluated pipeline's reading, in plain Python (test oracle)."""
-    t = str(reply or "").strip()
-    if not t:
-        return ""
-    found = re.findall(r"label\s*:\s*(no\s+hallucination|hallucination)", t, re.I)
-    if not found:
-        return ""
-    return NEGATIVE_LABEL if re.sub(r"\s+", " ", found[-1]).lower().startswith("no") \
-        else POSITIVE_LABEL
-
-
-def _python_refusal(reply):
-    t = str(reply or "").strip()
-    if not t:
-        return False
-    pat = "|".join(labels.REFUSAL_BODIES)
-    return bool(re.search(pat, t, re.I)) and not _python_parse(t)
-
-
-def test_reply_table_python_oracle_agrees():
-    for reply, label, refusal in REPLY_TABLE:
-        assert _python_parse(reply) == label, reply
-        assert _python_refusal(reply) == refusal, reply
-
-
 def test_parse_and_refusal(spark):
     df = spark.createDataFrame([(r,) for r, _, _ in REPLY_TABLE] + [(None,)], "r string")
     out = df.select("r", labels.parse_label("r").alias("label"),
@@ -68,9 +41,10 @@ def test_parse_and_refusal(spark):
 
 
 def test_dotless_i_and_long_s_follow_python(spark):
-    for reply in ["label: hallucınation", "Label: no hallucination", "LABEL:HALLUCINATION"]:
+    for reply, label in [("label: hallucınation", POSITIVE_LABEL), ("Label: no hallucination", NEGATIVE_LABEL),
+                         ("LABEL:HALLUCINATION", POSITIVE_LABEL)]:
         got = spark.range(1).select(labels.parse_label(F.lit(reply))).first()[0]
-        assert got == _python_parse(reply), reply
+        assert got == label, reply
 
 
 def test_judged_equals_parsed_without_scores(spark):

@@ -83,7 +83,7 @@ def test_unknown_method_fails(spark):
     import pytest
     with pytest.raises(Exception) as e:
         bad.collect()
-    assert "is not a method" in str(e.value)
+    assert "no prompt template has this name" in str(e.value)
 
 
 def test_lengths_counts_first(spark):

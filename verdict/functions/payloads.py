@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schemas import RESPONSE_BODY
 from .templates import as_messages
@@ -23,8 +24,14 @@ def request_body(model, max_tokens, prompt, takes_sampling, temperature,
         F.when(ts, _col(top_p)).alias("top_p")))
 
 
+_DAMAGED = "_corrupt_record"
+
+
 def parse_body(body) -> Column:
-    return F.from_json(_col(body), RESPONSE_BODY)
+    """The body's fields; ``_corrupt_record`` holds a text that is cut off,
+    damaged or wrongly typed."""
+    return F.from_json(_col(body), StructType([*RESPONSE_BODY.fields, StructField(_DAMAGED, StringType())]),
+                       {"columnNameOfCorruptRecord": _DAMAGED})
 
 
 def reply_text(parsed) -> Column:
@@ -38,9 +45,9 @@ def usage_tokens(parsed, field: str) -> Column:
 
 
 def body_error(body, parsed) -> Column:
-    """A body that is not a JSON object is an error row, as a raised parse
-    error is in the evaluated pipeline."""
+    """A body that is not a whole, rightly typed JSON object is an error row:
+    it counts as no call and can be owed again."""
     b = _col(body)
-    ok = F.coalesce(_col(parsed).isNotNull() & clean_or_empty(b).startswith("{"),
-                    F.lit(False))
+    ok = F.coalesce(_col(parsed).isNotNull() & _col(parsed).getField(_DAMAGED).isNull()
+                    & clean_or_empty(b).startswith("{"), F.lit(False))
     return F.when(ok, F.lit("")).otherwise(F.lit("JSONDecodeError: body is not a JSON object"))

@@ -111,7 +111,7 @@ def render_by_method(method: Column, fields: dict[str, Column],
         expr = F.when(method == name, branch) if expr is None else expr.when(method == name, branch)
     known = ", ".join(sorted(templates))
     return expr.otherwise(F.raise_error(F.concat(
-        F.coalesce(method, F.lit("null")), F.lit(f" is not a method. Choose one of {known}."))))
+        F.coalesce(method, F.lit("null")), F.lit(f": no prompt template has this name; known are {known}"))))
 
 
 def as_messages(prompt: Column, system: str = SYSTEM) -> Column:

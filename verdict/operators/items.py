@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +29,16 @@ def position_within(df: DataFrame, group_cols: list[str], order_col: str,
     counts = keyed.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = (Window.partitionBy(*group_cols).orderBy("_bucket")
               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*group_cols, "_bucket",
+    # Null keys and null ordinals are values like any other (they sort first),
+    # so the join compares null-safe and no row is lost.
+    keys = [*group_cols, "_bucket"]
+    offsets = counts.select(*[F.col(c).alias(f"_of_{i}") for i, c in enumerate(keys)],
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(keys)]
     local = Window.partitionBy(*group_cols, "_bucket").orderBy(order_col, *tie_break)
-    return (keyed.join(offsets, [*group_cols, "_bucket"])
+    return (keyed.join(offsets, reduce(and_, same))
             .withColumn(out, F.col("_offset") + F.row_number().over(local) - 1)
-            .drop("_bucket", "_offset"))
+            .drop("_bucket", "_offset", *[f"_of_{i}" for i in range(len(keys))]))
 
 
 def build_items(corpus: DataFrame, settings: Settings, item_ids: str = "ordinal",

@@ -26,11 +26,6 @@ def prompt_spec(items: DataFrame, settings: Settings, keep: tuple[str, ...] = ()
         "direction", "answer", *keep)
 
 
-def configured_direction_names(settings: Settings) -> list[str]:
-    names = settings.language_names()
-    return sorted({f"{names.get(a, a)} to {names.get(b, b)}" for a, b in settings.directions()})
-
-
 def _shot_values(settings: Settings) -> list[int]:
     return sorted({s for _, s in settings.prompt_methods() if s})
 
@@ -51,11 +46,8 @@ def _draw(items: DataFrame, settings: Settings) -> DataFrame:
     No sort, no join. A slot whose label has no item is null."""
     shot_values = _shot_values(settings)
     y = F.col("answer") == F.lit(settings.positive_label)
-    # Only configured directions take examples, which bounds the result (and
-    # the broadcast of it) by the settings, whatever the items hold.
-    known = configured_direction_names(settings)
-    exploded = items.filter(F.col("direction").isin(known)).select(
-        *_EXAMPLE_FIELDS, "direction",
+    # Every direction the items hold takes examples, configured or not.
+    exploded = items.select(*_EXAMPLE_FIELDS, "direction",
                             F.explode(F.array(*[F.lit(int(s)) for s in shot_values]))
                             .alias("shots"))
     slots = []
@@ -114,11 +106,10 @@ def build_prompts(items: DataFrame, settings: Settings,
                                               "source_text", "target_text"))
     if methods:
         spec = spec.filter(F.col("method").isin(methods))
-    # The example table has at most (configured directions x shot
-    # values) rows of at most max(shots) entries: broadcast it and filter
-    # inside the array; items never shuffle for this (a shuffle join on the
-    # direction would put a whole direction in one task).
-    joined = spec.join(F.broadcast(sets), ["direction", "shots"], "left")
+    # The example table has a row per direction and shot value. Its texts
+    # have no proven size, so the planner decides by what it measures: a
+    # broadcast while small, else a shuffle join that splits skewed directions.
+    joined = spec.join(sets, ["direction", "shots"], "left")
     shown = F.filter(F.coalesce(F.col("examples"), F.array()),
                      lambda e: e["item_id"] != F.col("item_id"))
     names = settings.language_names()
@@ -196,7 +187,8 @@ def chat_messages(conversations: DataFrame, system: str = templates.SYSTEM,
     head = sizes.select("conv_id", F.lit(0).cast("long").alias("position"),
                         F.lit("system").alias("role"), F.lit(system).alias("content"),
                         "n_messages")
-    body = numbered.join(sizes, "conv_id").select(
+    of = sizes.withColumnRenamed("conv_id", "_conv")
+    body = numbered.join(of, F.col("conv_id").eqNullSafe(F.col("_conv"))).select(
         "conv_id", (F.col("_pos") + 1).cast("long").alias("position"), "role", "content",
         "n_messages")
     return head.unionByName(body)

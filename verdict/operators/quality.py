@@ -1,4 +1,4 @@
-"""Checks that fail loudly on anything that would quietly spoil a run.
+"""Data and settings checks that a build must pass.
 
 Each check is a count of offending rows (0 = pass), returned as one table
 ``(check, failures)``; ``assert_clean`` raises on any failure. The data

@@ -29,10 +29,11 @@ def _lookup(mapping: dict, key: F.Column, default=None) -> F.Column:
 
 def answer_budget(method: F.Column, model: F.Column, settings: Settings) -> F.Column:
     """The method's token cap plus the model's reasoning headroom (0 when
-    it has none)."""
+    it has none). A method without a cap fails the job: no call goes uncapped."""
     caps = {m.name: int(m.max_tokens) for m in settings.methods}
     room = {m.id: int(m.reasoning_headroom) for m in settings.models}
-    return _lookup(caps, method) + _lookup(room, model, 0)
+    unknown = F.raise_error(F.concat(F.coalesce(method, F.lit("null")), F.lit(" has no token cap")))
+    return F.coalesce(_lookup(caps, method), unknown.cast("int")) + _lookup(room, model, 0)
 
 
 def wanted_replies(prompts: DataFrame, settings: Settings, models: list[str] | None = None,

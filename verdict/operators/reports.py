@@ -27,13 +27,15 @@ def report_headline(scores: DataFrame, models: list[str] | None = None,
     """(method, shots) x model MCC, overall, one view."""
     part = scores.filter((F.col("direction") == "overall") & (F.col("view") == view))
     return (part.groupBy("method", "shots")
-            .pivot("model", _models(scores, models)).agg(F.first("mcc")))
+            .pivot("model", _models(scores, models)).agg(F.first("mcc"))
+            .orderBy("method", "shots"))
 
 
 def report_views(scores: DataFrame, method: str = "baseline") -> DataFrame:
     """R2: model x view MCC, overall, one method."""
     part = scores.filter((F.col("direction") == "overall") & (F.col("method") == method))
-    return part.groupBy("model").pivot("view", ["all", "parsed", "judged"]).agg(F.first("mcc"))
+    return (part.groupBy("model").pivot("view", ["all", "parsed", "judged"])
+            .agg(F.first("mcc")).orderBy("model"))
 
 
 def report_directions(scores: DataFrame, models: list[str] | None = None,
@@ -56,7 +58,7 @@ def report_methods(scores: DataFrame, models: list[str] | None = None,
     labelled = part.withColumn("label", ids.method_label("method", "shots"))
     ms = _models(scores, models)
     grid = labelled.groupBy("label").pivot("model", ms).agg(F.first("mcc"))
-    return grid.na.fill(0.0, subset=ms)
+    return grid.na.fill(0.0, subset=ms).orderBy("label")
 
 
 def report_shots(scores: DataFrame, view: str = VIEW) -> DataFrame:

@@ -669,7 +669,7 @@ def q_quality_checks(spark, sf_dir):
 
 def _write_log(spark, sf_dir, root):
     log = f"{root}/log"
-    (fx.replies(spark, sf_dir, CFG).repartition(4, "prompt_id")
+    (fx.replies(spark, sf_dir, CFG)
      .write.mode("overwrite").json(log))
     return log
 

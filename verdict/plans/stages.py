@@ -29,7 +29,9 @@ from ..sources import tables
 def build(corpus: DataFrame, settings: Settings, out_dir: str, item_ids: str = "make",
           check: bool = True, sort_items: bool = True) -> dict[str, str]:
     """Items (sampled per direction) and rendered prompts, written as
-    Parquet; the quality checks must pass before the prompts are kept."""
+    Parquet. Prompts are written beside their place first and move there only
+    after the quality checks pass; a failing build leaves earlier prompts as
+    they were."""
     spark = corpus.sparkSession
     paths = {"items": f"{out_dir}/items", "prompts": f"{out_dir}/prompts"}
     built = item_ops.build_items(corpus, settings, item_ids=item_ids)
@@ -41,18 +43,21 @@ def build(corpus: DataFrame, settings: Settings, out_dir: str, item_ids: str = "
                        paths["items"], columns=schemas.ITEM_COLUMNS)
     items = spark.read.parquet(paths["items"])
     rendered = prompt_ops.build_prompts(items, settings)
-    tables.write_table(rendered, paths["prompts"],
-                       columns=schemas.PROMPT_COLUMNS + ["examples_shown"],
-                       partition_by=["method"])
+    columns = schemas.PROMPT_COLUMNS + ["examples_shown"]
     if check:
-        quality.assert_clean(quality.quality_checks(items, spark.read.parquet(paths["prompts"]),
-                                                    settings))
+        unchecked = f"{out_dir}/prompts_unchecked"
+        tables.write_table(rendered, unchecked, columns=columns, partition_by=["method"])
+        rendered = spark.read.parquet(unchecked)
+        quality.assert_clean(quality.quality_checks(items, rendered, settings))
+    tables.write_table(rendered, paths["prompts"], columns=columns, partition_by=["method"])
     return paths
 
 
 def owed(spark: SparkSession, prompts_path: str, log_path: str, settings: Settings,
-         model: str, method: str | None = None, retry_failed: bool = False) -> DataFrame:
-    """What one model still owes (all methods but the review one, or one)."""
+         model: str, method: str | None = None, retry_failed: bool = False,
+         limit: int | None = None) -> DataFrame:
+    """What one model still owes (all methods but the review one, or one).
+    S2: ``limit`` takes the first of what is owed, by prompt and replicate."""
     prompts = spark.read.parquet(prompts_path)
     if method:
         prompts = prompts.filter(F.col("method") == method)
@@ -60,14 +65,19 @@ def owed(spark: SparkSession, prompts_path: str, log_path: str, settings: Settin
         prompts = prompts.filter(F.col("method") != settings.review_method)
     wanted = replies.wanted_replies(prompts, settings, models=[model])
     have = tables.read_replies(spark, log_path, model=model)
-    return replies.attach_prompts(replies.outstanding(wanted, have, retry_failed), prompts)
+    work = replies.outstanding(wanted, have, retry_failed)
+    if limit is not None:
+        work = work.orderBy("prompt_id", "replicate").limit(limit)
+    return replies.attach_prompts(work, prompts)
 
 
 def generate(spark: SparkSession, prompts_path: str, log_path: str, settings: Settings,
              produce: Callable[[dict], str], model: str, method: str | None = None,
-             buckets: int = 16, workers: int = 1, retry_failed: bool = False) -> int:
-    """Call the judge for everything still owed; resumable."""
-    work = owed(spark, prompts_path, log_path, settings, model, method, retry_failed)
+             buckets: int = 16, workers: int = 1, retry_failed: bool = False,
+             limit: int | None = None) -> int:
+    """Call the judge for everything still owed (or the first ``limit``
+    of it); resumable."""
+    work = owed(spark, prompts_path, log_path, settings, model, method, retry_failed, limit)
     return replies.collect_replies(work, produce, log_path, buckets=buckets,
                                    retry_failed=retry_failed, workers=workers)
 

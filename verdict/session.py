@@ -76,15 +76,6 @@ def parallelism(spark: SparkSession) -> int:
         return int(conf) if conf else (os.cpu_count() or 8)
 
 
-def session_key(spark: SparkSession) -> tuple:
-    """Identifies a running session (for memoizing plans built on it)."""
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001
-        app = spark.conf.get("spark.app.id", None)
-    return (app, id(spark))
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

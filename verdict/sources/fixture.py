@@ -16,7 +16,7 @@ from ..config import FIXTURE, Settings
 from ..functions import labels, text
 from ..operators import items as item_ops
 from ..operators import prompts as prompt_ops
-from ..session import parallelism, session_key
+from ..session import parallelism
 
 # Fixed values of the fixture: method and model numbers used in the reply
 # selector b, and the texts of the non-label replies.
@@ -30,32 +30,10 @@ MARKDOWN_TEXT = "**Label:** Hallucination"
 TWO_LABELS_TEXT = "Label: Hallucination?\nLabel: No hallucination"
 
 
-_PLANS: dict = {}
-
-
-def _memo(kind: str):
-    """Memoize a lazy plan per (session, directory, settings). Only the plan is
-    kept: every action still reads the parquet files; this saves the driver the
-    schema reads and expression building of an identical plan."""
-    def deco(fn):
-        def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):
-            key = (kind, *session_key(spark), sf_dir.rstrip("/"),
-                   repr(args), repr(sorted(kwargs.items())))
-            if key not in _PLANS:
-                _PLANS[key] = fn(spark, sf_dir, *args, **kwargs)
-            return _PLANS[key]
-        wrapper.__doc__ = fn.__doc__
-        wrapper.__name__ = fn.__name__
-        return wrapper
-    return deco
-
-
-@_memo("table")
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-@_memo("corpus")
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents x labels as a corpus: ordinal, src_lang, tgt_lang, class_hall,
     src_text (first half of the document), mt_text (second half)."""
@@ -81,19 +59,16 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
             parallelism(spark), "ordinal")
 
 
-@_memo("items")
 def items(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE) -> DataFrame:
     """The items: item_id is the document id."""
     return item_ops.build_items(corpus(spark, sf_dir), settings, item_ids="ordinal")
 
 
-@_memo("prompts")
 def prompts(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE) -> DataFrame:
     """Prompt keys only (no rendered text)."""
     return prompt_ops.prompt_spec(items(spark, sf_dir, settings), settings)
 
 
-@_memo("full_prompts")
 def full_prompts(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE) -> DataFrame:
     """Prompts with rendered text (examples drawn from the same items)."""
     return prompt_ops.build_prompts(items(spark, sf_dir, settings), settings)
@@ -105,7 +80,6 @@ def selector() -> F.Column:
              + F.col("_mno") * 3 + F.col("_pno") * 5) % 20)
 
 
-@_memo("replies")
 def replies(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE,
             keep_selector: bool = False) -> DataFrame:
     """The reply log: items x 6 (method, shots) x 2 models x 3 replicates."""
@@ -139,14 +113,12 @@ def replies(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE,
     return out
 
 
-@_memo("collected")
 def collected(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE) -> DataFrame:
     """The part of the log already written (b < 12)."""
     r = replies(spark, sf_dir, settings, keep_selector=True)
     return r.filter(F.col("b") < 12).drop("b", "item_id", "shots")
 
 
-@_memo("response_bodies")
 def response_bodies(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE) -> DataFrame:
     """Raw chat-completions bodies for every reply: b=6 a non-JSON error page,
     b=0 an empty choice list, b=1 no usage block, otherwise content padded with
