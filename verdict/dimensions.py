@@ -22,11 +22,6 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pdf, schema=st)
 
 
-def languages(spark: SparkSession, settings: Settings) -> DataFrame:
-    rows = sorted(settings.language_names().items())
-    return local_table(spark, rows, "code string, name string")
-
-
 def directions(spark: SparkSession, settings: Settings) -> DataFrame:
     """G1: every language against the anchor both ways, union the extra pairs.
 
@@ -55,16 +50,6 @@ def methods(spark: SparkSession, settings: Settings) -> DataFrame:
     return local_table(spark, rows, "method string, title string, shots int, max_tokens int")
 
 
-def panel(spark: SparkSession, settings: Settings) -> DataFrame:
-    rows = [(m.id, m.runtime, m.access, m.weights, m.precision, m.url,
-             m.sampling, int(m.reasoning_headroom), m.takes_sampling)
-            for m in settings.models]
-    return local_table(
-        spark, rows, "model string, runtime string, access string, weights string, "
-              "precision string, url string, sampling string, "
-              "reasoning_headroom int, takes_sampling boolean")
-
-
 def grades(spark: SparkSession, settings: Settings) -> DataFrame:
     rows = [(settings.negative_grade, False)] + [(g, True) for g in settings.positive_grades]
     return local_table(spark, rows, "grade string, positive boolean")

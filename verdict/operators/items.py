@@ -15,7 +15,7 @@ from ..functions import ids, labels, text
 
 def position_within(df: DataFrame, group_cols: list[str], order_col: str,
                     out: str = "position", bucket_width: int = 1 << 20,
-                    tie_break: tuple[str, ...] = ()) -> DataFrame:
+                    tie_break: tuple[str, ...] = (), total: str | None = None) -> DataFrame:
     """0-based position of each row within its group, in ``order_col``
     order (a unique, numeric file ordinal).
 
@@ -24,7 +24,8 @@ def position_within(df: DataFrame, group_cols: list[str], order_col: str,
     per-range counts gives each range its starting offset (a running sum over
     ranges, not rows), and rows are numbered inside their range only. No task
     holds more than ``bucket_width`` distinct ordinals, however large a group
-    is. Equal ordinals are ordered by ``tie_break``."""
+    is. Equal ordinals are ordered by ``tie_break``. ``total`` adds the number of
+    rows of the group, summed over its ranges."""
     keyed = df.withColumn("_bucket", F.floor(F.col(order_col) / F.lit(bucket_width)))
     counts = keyed.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = (Window.partitionBy(*group_cols).orderBy("_bucket")
@@ -33,7 +34,8 @@ def position_within(df: DataFrame, group_cols: list[str], order_col: str,
     # so the join compares null-safe and no row is lost.
     keys = [*group_cols, "_bucket"]
     offsets = counts.select(*[F.col(c).alias(f"_of_{i}") for i, c in enumerate(keys)],
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+                            *([F.sum("_n").over(Window.partitionBy(*group_cols)).alias(total)] if total else []))
     same = [F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(keys)]
     local = Window.partitionBy(*group_cols, "_bucket").orderBy(order_col, *tie_break)
     return (keyed.join(offsets, reduce(and_, same))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Settings
+from ..config import DEFAULT, Settings
 from . import judge
 
 VIEWS = ("all", "parsed", "judged")
@@ -67,7 +67,8 @@ def judged_counts(replies: DataFrame, prompts: DataFrame, settings: Settings,
     Scoring needs only counts, so replies are aggregated first; the partial
     aggregate runs map-side, so a prompt id holding a large share of all
     replies is reduced to a handful of rows before anything is shuffled, and
-    the join to the prompt keys sees far fewer rows than there are replies."""
+    the join to the prompt keys sees at most as many times fewer rows as there
+    are replicates."""
     read = judge.read_replies(replies, settings, refusal_score)
     counted = read.groupBy("prompt_id", "model", "method", "observed", "refusal").agg(
         F.count(F.lit(1)).alias("_n"))
@@ -153,13 +154,19 @@ def score_replies(replies: DataFrame, prompts: DataFrame, settings: Settings, vi
 
 
 def replicate_agreement(judged: DataFrame, keys=("prompt_id", "model"),
-                        by: tuple[str, ...] = ()) -> DataFrame:
+                        by: tuple[str, ...] = (), settings: Settings = DEFAULT) -> DataFrame:
     """M6: share of cells (default prompt x model) whose replicates all gave
     the same label. ``min = max`` per cell equals one distinct value (labels
     are never null), and both are decomposable, so a hot cell is combined
-    map-side."""
-    cells = judged.groupBy(*keys, *by).agg(
-        (F.min("observed") == F.max("observed")).alias("_same"))
+    map-side; labels are compared as one byte each, which a hash aggregate
+    holds. A label that the settings do not name fails the job."""
+    obs = F.col("observed")
+    unknown = F.raise_error(F.concat(obs, F.lit(" is not a label of the settings"))).cast("tinyint")
+    code = (F.when(obs == F.lit(settings.positive_label), F.lit(2))
+            .when(obs == F.lit(settings.negative_label), F.lit(1)).when(obs == "", F.lit(0))
+            .when(obs.isNotNull(), unknown)).cast("tinyint")
+    cells = judged.withColumn("_code", code).groupBy(*keys, *by).agg(
+        (F.min("_code") == F.max("_code")).alias("_same"))
     grouped = cells.groupBy(*by) if by else cells.groupBy()
     return grouped.agg(F.count(F.lit(1)).alias("cells"),
                        F.count_if("_same").alias("agreed"),

@@ -34,20 +34,25 @@ _EXAMPLE_FIELDS = ("item_id", "answer", "source_language", "target_language",
                    "source_text", "target_text")
 
 
+#: Drawn rows that may be broadcast: keys of about 100 bytes each.
+MAX_DRAWN = 1_000_000
+
+
 def _draw(items: DataFrame, settings: Settings) -> DataFrame:
-    """W3 core: one row per (direction, shots) with one column per slot.
+    """W3 core: (direction, shots, slot, item_id), one row per filled slot.
 
     Slot k takes the positive label when k is even, the negative when odd, and
     is an independent draw with replacement: the item of that label with the
-    smallest ``md5(seed|direction|shots|slot|id)``. Each item is exploded into
-    the shot counts the settings use, and every slot is a conditional
-    ``min(struct(hash, id, ...))`` in one aggregation: decomposable, so the
-    partial aggregate leaves one row per group per task before the shuffle.
-    No sort, no join. A slot whose label has no item is null."""
+    smallest ``md5(seed|direction|shots|slot|id)``. Only ids, directions and
+    labels are read; each is exploded into the shot counts the settings use,
+    and every slot is a conditional ``min(struct(hash, id))`` in one
+    aggregation: decomposable, so the partial aggregate leaves one row per
+    group per task before the shuffle. A slot whose label has no item is
+    absent."""
     shot_values = _shot_values(settings)
     y = F.col("answer") == F.lit(settings.positive_label)
     # Every direction the items hold takes examples, configured or not.
-    exploded = items.select(*_EXAMPLE_FIELDS, "direction",
+    exploded = items.select("item_id", "answer", "direction",
                             F.explode(F.array(*[F.lit(int(s)) for s in shot_values]))
                             .alias("shots"))
     slots = []
@@ -56,43 +61,46 @@ def _draw(items: DataFrame, settings: Settings) -> DataFrame:
                               F.col("shots").cast("string"), F.lit(str(k)),
                               F.col("item_id").cast("string")))
         fits = (F.lit(k) < F.col("shots")) & (y == F.lit(k % 2 == 0))
-        slots.append(F.min(F.when(fits, F.struct(h.alias("h"), *_EXAMPLE_FIELDS)))
-                     .alias(f"_s{k}"))
-    return exploded.groupBy("direction", "shots").agg(*slots)
-
-
-def _slot_cols(settings: Settings) -> list[str]:
-    return [f"_s{k}" for k in range(max(_shot_values(settings), default=0))]
+        slots.append(F.min(F.when(fits, F.struct(h.alias("h"), "item_id"))).alias(f"_s{k}"))
+    drawn = exploded.groupBy("direction", "shots").agg(*slots)
+    rows = drawn.select("direction", "shots", F.posexplode(
+        F.array(*[F.col(f"_s{k}") for k in range(len(slots))])).alias("slot", "_b"))
+    return rows.filter(F.col("_b").isNotNull()).select("direction", "shots", "slot", "_b.item_id")
 
 
 def draw_examples(items: DataFrame, settings: Settings) -> DataFrame:
-    """The worked examples, one row per (direction, shots, slot)."""
+    """The worked examples, one row per (direction, shots, slot).
+
+    The texts of the drawn items come by a broadcast of the drawn keys, so no
+    text is sorted or shuffled. Their number is checked while the query runs;
+    beyond ``MAX_DRAWN`` it fails and asks for one call per part of the
+    directions, which gives the same draws. Of items that repeat an id the
+    least row is shown."""
     drawn = _draw(items, settings)
-    rows = drawn.select("direction", "shots", F.posexplode(
-        F.array(*[F.col(c) for c in _slot_cols(settings)])).alias("slot", "_b"))
-    return rows.filter(F.col("_b").isNotNull()).select(
-        "direction", "shots", "slot", *[F.col(f"_b.{c}").alias(c) for c in _EXAMPLE_FIELDS])
+    fits = drawn.agg(F.count(F.lit(1))).scalar() <= F.lit(MAX_DRAWN)
+    checked = drawn.filter(F.when(fits, F.lit(True)).otherwise(F.raise_error(F.lit(
+        f"more than {MAX_DRAWN} drawn examples: build prompts for some directions at a time")).cast("boolean")))
+    keys = checked.select("shots", "slot", F.col("direction").alias("_dir"), F.col("item_id").alias("_id"))
+    y = F.col("answer") == F.lit(settings.positive_label)
+    found = items.select(*_EXAMPLE_FIELDS, "direction").join(
+        F.broadcast(keys), (F.col("direction") == F.col("_dir")) & F.col("item_id").eqNullSafe(F.col("_id"))
+        & (y == (F.col("slot") % 2 == 0)))
+    one = found.groupBy("direction", "shots", "slot").agg(F.min(F.struct(*_EXAMPLE_FIELDS)).alias("_b"))
+    return one.select("direction", "shots", "slot", "_b.*")
 
 
 def example_sets(items: DataFrame, settings: Settings) -> DataFrame:
     """P15 input: per (direction, shots) the slot-ordered array of rendered
-    examples, straight from the one draw aggregation. At most (directions x
-    shot values) rows of at most max(shots) entries each."""
+    examples. At most (directions x shot values) rows of at most max(shots)
+    entries each."""
     names = settings.language_names()
-    drawn = _draw(items, settings)
-    entries = []
-    for k, c in enumerate(_slot_cols(settings)):
-        b = F.col(c)
-        rendered = templates.render(templates.EXAMPLE, {
-            "source": ids.language_name(b["source_language"], names),
-            "target": ids.language_name(b["target_language"], names),
-            "source_text": b["source_text"], "target_text": b["target_text"],
-            "answer": b["answer"]})
-        entries.append(F.when(b.isNotNull(), F.struct(F.lit(k).alias("slot"),
-                                                      b["item_id"].alias("item_id"),
-                                                      rendered.alias("text"))))
-    return drawn.select("direction", "shots", F.filter(F.array(*entries),
-                                                       lambda e: e.isNotNull()).alias("examples"))
+    rendered = templates.render(templates.EXAMPLE, {
+        "source": ids.language_name("source_language", names),
+        "target": ids.language_name("target_language", names),
+        "source_text": F.col("source_text"), "target_text": F.col("target_text"),
+        "answer": F.col("answer")})
+    return draw_examples(items, settings).groupBy("direction", "shots").agg(
+        F.sort_array(F.collect_list(F.struct("slot", "item_id", rendered.alias("text")))).alias("examples"))
 
 
 def build_prompts(items: DataFrame, settings: Settings,
@@ -148,11 +156,15 @@ def prompt_lengths(prompts: DataFrame, approx_accuracy: int | None = None) -> Da
 
 
 def first_per_method(prompts: DataFrame) -> DataFrame:
-    """The first prompt of each method, in table order (shots, then item)."""
-    row = F.struct("prompt_id", "shots", "answer", "prompt")
-    first = prompts.groupBy("method").agg(
-        F.min_by(row, F.struct("shots", "item_id")).alias("_r"))
-    return first.select("method", "_r.prompt_id", "_r.shots", "_r.answer", "_r.prompt")
+    """The first prompt of each method, in table order (shots, then item).
+    The first is found on keys alone; its text comes by a broadcast of those
+    keys, one per method of the settings."""
+    keys = ["shots", "item_id", "prompt_id"]
+    first = prompts.groupBy("method").agg(F.min(F.struct(*keys)).alias("_k"))
+    first = first.select("method", "_k.*")
+    rows = prompts.join(F.broadcast(first), ["method", *keys])
+    one = rows.groupBy("method").agg(F.min(F.struct("prompt_id", "shots", "answer", "prompt")).alias("_r"))
+    return one.select("method", "_r.*")
 
 
 def inspect_prompt(prompts: DataFrame, items: DataFrame, method: str | None = None,
@@ -174,21 +186,18 @@ def chat_messages(conversations: DataFrame, system: str = templates.SYSTEM,
     per message: the system message at position 0, then the turns in order
     (turn, then role and text for equal turns), with the list's length.
 
-    Positions come from ``position_within`` (bounded tasks, no window over a
-    whole conversation) and lengths from a decomposable count, so no
-    conversation is ever gathered into one task, however long it is."""
+    Positions and lengths come from ``position_within`` (bounded tasks, no
+    window over a whole conversation), so no conversation is ever gathered into
+    one task, however long it is; the first turn brings the system message."""
     from .items import position_within
     turns = conversations.select("conv_id", "turn",
                                  F.coalesce("role", F.lit("")).alias("role"),
                                  F.coalesce("text", F.lit("")).alias("content"))
     numbered = position_within(turns, ["conv_id"], "turn", "_pos", bucket_width,
-                               tie_break=("role", "content"))
-    sizes = turns.groupBy("conv_id").agg((F.count(F.lit(1)) + 1).alias("n_messages"))
-    head = sizes.select("conv_id", F.lit(0).cast("long").alias("position"),
-                        F.lit("system").alias("role"), F.lit(system).alias("content"),
-                        "n_messages")
-    of = sizes.withColumnRenamed("conv_id", "_conv")
-    body = numbered.join(of, F.col("conv_id").eqNullSafe(F.col("_conv"))).select(
-        "conv_id", (F.col("_pos") + 1).cast("long").alias("position"), "role", "content",
-        "n_messages")
-    return head.unionByName(body)
+                               tie_break=("role", "content"), total="_n")
+    head = F.struct(F.lit(0).cast("long").alias("position"), F.lit("system").alias("role"),
+                    F.lit(system).alias("content"))
+    body = F.struct((F.col("_pos") + 1).cast("long").alias("position"), "role", "content")
+    listed = F.when(F.col("_pos") == 0, F.array(head, body)).otherwise(F.array(body))
+    return (numbered.select("conv_id", (F.col("_n") + 1).alias("n_messages"), F.explode(listed).alias("_m"))
+            .select("conv_id", "_m.position", "_m.role", "_m.content", "n_messages"))

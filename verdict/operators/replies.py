@@ -9,7 +9,7 @@ function inside ``mapInPandas``, one failure recorded per row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -239,39 +239,60 @@ def call_judge(work: DataFrame, produce: Callable[[dict], str],
     return work.select(*needed).mapInPandas(run, REPLY_OUT)
 
 
+def call_judge_partitions(work: DataFrame,
+                          answer: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+                          ) -> DataFrame:
+    """F1 with a partition function, for batched inference: ``answer`` gets the
+    owed rows of a partition as frames and yields frames with the work keys,
+    ``response`` (None where a call failed) and, optionally, ``error``. It may
+    cut its batches as it likes; runtime and temperature come back by the work
+    keys it returns."""
+    cols = [f.name for f in REPLY_OUT.fields]
+
+    def run(batches):
+        for pdf in answer(batches):
+            pdf = pdf.copy()
+            failed = pdf["response"].isna()
+            pdf["response"] = pdf["response"].astype(object).where(~failed, None)
+            if "error" not in pdf:
+                pdf["error"] = ""
+            pdf["error"] = pdf["error"].fillna("").mask(failed & (pdf["error"].fillna("") == ""), "no reply")
+            pdf["refusal"] = pd.Series("", index=pdf.index, dtype=object).where(~failed, None)
+            pdf["truncated"] = [r is not None and "Label:" not in r for r in pdf["response"]]
+            for c in ("runtime", "temperature"):
+                if c not in pdf:
+                    pdf[c] = None
+            yield pdf[cols]
+
+    return work.mapInPandas(run, REPLY_OUT)
+
+
 def collect_replies(work: DataFrame, produce: Callable[[dict], str], log_path: str,
                     buckets: int = 16, retry_failed: bool = False, workers: int = 1,
-                    staging: str | None = None, tasks: int | None = None) -> int:
-    """F1 + A6, durable: the owed list is written once to the shared folder,
-    partitioned into ``buckets`` hash buckets of the reply key; each bucket is
-    then one appending job that reads only its own partition and anti-joins
-    only its own slice of the log. A failure loses at most one bucket's calls
-    and a rerun owes only what no committed bucket holds. Each bucket's calls
-    are spread over ``tasks`` partitions by the reply key (default: the
-    cluster's parallelism), so every core calls, whatever the file layout.
-    Returns the number of buckets written."""
+                    staging: str | None = None, tasks: int | None = None,
+                    owed: bool = False) -> int:
+    """F1 + A6, durable: what is still owed is computed once, in one read of
+    the log (not at all if ``owed`` says that ``work`` holds just that), and
+    written to the shared folder in ``buckets`` hash buckets of the reply key;
+    each bucket is then one appending job that reads only its own partition. A
+    failure loses at most one bucket's calls and a rerun owes only what no
+    committed bucket holds. Each bucket's calls are spread over ``tasks``
+    partitions by the reply key (default: the cluster's parallelism, as calls
+    take time whatever their bytes). Returns the number of buckets written."""
     from ..session import parallelism, scratch_dir
     from ..sources import tables
     spark = work.sparkSession
     staging = staging or scratch_dir(spark, "owed")
-
-    def bucket_of(df: DataFrame) -> F.Column:
-        return F.pmod(F.xxhash64(*[df[k] for k in WORK_KEYS]), F.lit(buckets))
-
-    staged = work.withColumn("_bucket", bucket_of(work))
+    if not owed:
+        work = outstanding(work, tables.read_replies(spark, log_path), retry_failed)
+    staged = work.withColumn("_bucket", F.pmod(F.xxhash64(*WORK_KEYS), F.lit(buckets)))
     staged.write.mode("overwrite").partitionBy("_bucket").parquet(staging)
-    written = 0
-    for b in range(buckets):
-        # The schema is known: an empty owed list writes no file to infer from.
-        todo = (spark.read.schema(staged.schema).parquet(staging)
-                .filter(F.col("_bucket") == b).drop("_bucket"))
-        have = tables.read_replies(spark, log_path)
-        have = have.filter(bucket_of(have) == b)
-        todo = outstanding(todo, have, retry_failed)
-        if todo.isEmpty():
-            continue
-        spread = todo.repartition(tasks or parallelism(spark),
-                                  *WORK_KEYS)
+    # The schema is known: an empty owed list writes no file to infer from.
+    todo = spark.read.schema(staged.schema).parquet(staging)
+    # At most one row per bucket: which of them hold work.
+    filled = [r[0] for r in todo.select("_bucket").distinct().orderBy("_bucket").collect()]
+    for b in filled:
+        spread = todo.filter(F.col("_bucket") == b).drop("_bucket").repartition(
+            tasks or parallelism(spark), *WORK_KEYS)
         tables.append_replies(call_judge(spread, produce, workers=workers), log_path)
-        written += 1
-    return written
+    return len(filled)

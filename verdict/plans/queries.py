@@ -1,8 +1,9 @@
 """The registered queries: name -> (Spark builder, DuckDB oracle SQL or None).
 
-Each builder takes (spark, sf_dir) and returns a lazy DataFrame over the
-driver's tables (documents, labels, conversations) through the derived
-fixture. Each oracle is independent SQL over the same parquet views.
+Each builder takes (spark, sf_dir) and returns a DataFrame over the driver's
+tables (documents, labels, conversations) through the derived fixture; those
+that scan a written corpus or stream a written log run jobs as they are built.
+Each oracle is SQL over the same parquet views.
 Computed columns carry the same alias on both sides.
 """
 
@@ -674,6 +675,12 @@ def _write_log(spark, sf_dir, root):
     return log
 
 
+def _write_prompt_keys(spark, sf_dir, root):
+    """The static side of the stream join, derived once and not per batch."""
+    path = tables.write_table(fx.prompts(spark, sf_dir, CFG), f"{root}/prompts")
+    return spark.read.parquet(path)
+
+
 @register("stream_judgements", S.with_ctes(
     "SELECT prompt_id, model, replicate, method, shots, direction, answer, observed, "
     "parsed, refusal FROM judgements", ["judgements"]))
@@ -681,7 +688,7 @@ def q_stream_judgements(spark, sf_dir):
     """The reply log as a file stream, one file per micro-batch."""
     root = scratch_dir(spark, "stream-judgements")
     log = _write_log(spark, sf_dir, root)
-    q = streaming.stream_judgements(spark, log, fx.prompts(spark, sf_dir, CFG), CFG,
+    q = streaming.stream_judgements(spark, log, _write_prompt_keys(spark, sf_dir, root), CFG,
                                     f"{root}/judgements", f"{root}/checkpoint",
                                     max_files_per_trigger=1)
     q.awaitTermination()
@@ -695,7 +702,7 @@ def q_stream_counts(spark, sf_dir):
     """Running confusion counts kept as streaming state across batches."""
     root = scratch_dir(spark, "stream-counts")
     log = _write_log(spark, sf_dir, root)
-    q = streaming.stream_counts(spark, log, fx.prompts(spark, sf_dir, CFG), CFG,
+    q = streaming.stream_counts(spark, log, _write_prompt_keys(spark, sf_dir, root), CFG,
                                 f"{root}/counts", f"{root}/checkpoint",
                                 max_files_per_trigger=1)
     q.awaitTermination()

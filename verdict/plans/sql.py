@@ -2,8 +2,9 @@
 
 The oracle side of every registered query is plain SQL over the driver's
 tables; these fragments are the common table expressions it starts from.
-They are written independently of the Spark code paths (CASE expressions,
-``unnest`` lists) so that agreement means something.
+They state the logic anew (CASE expressions, ``unnest`` lists) but take the
+fixed values (patterns, prompt wording, white space) from the library; the
+tests pin those by literal expected text.
 """
 
 from __future__ import annotations

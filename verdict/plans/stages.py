@@ -79,29 +79,39 @@ def generate(spark: SparkSession, prompts_path: str, log_path: str, settings: Se
     of it); resumable."""
     work = owed(spark, prompts_path, log_path, settings, model, method, retry_failed, limit)
     return replies.collect_replies(work, produce, log_path, buckets=buckets,
-                                   retry_failed=retry_failed, workers=workers)
+                                   workers=workers, owed=True)
 
 
 def review(spark: SparkSession, items_path: str, prompts_path: str, log_path: str,
            settings: Settings, produce: Callable[[dict], str], model: str, reviewer: str,
-           buckets: int = 16, workers: int = 1) -> int:
-    """E2, second round: ``model`` reviews ``reviewer``'s baseline replies."""
-    log = tables.read_replies(spark, log_path)
+           buckets: int = 16, workers: int = 1, limit: int | None = None) -> int:
+    """E2, second round: ``model`` reviews ``reviewer``'s baseline replies (or
+    the first ``limit`` owed reviews). Of a reply logged twice the latest is
+    reviewed, once."""
+    log = tables.read_replies(spark, log_path, schema=schemas.LOG).withColumn(
+        "logged_at", F.coalesce("logged_at", F.timestamp_seconds(F.lit(0))))
     work = replies.review_prompts(spark.read.parquet(prompts_path),
                                   spark.read.parquet(items_path), log, settings,
                                   model=model, reviewer=reviewer,
-                                  collected=log.filter(F.col("model") == model))
+                                  collected=log.filter(F.col("model") == model),
+                                  order_col="logged_at")
+    if limit is not None:
+        work = work.orderBy("prompt_id", "replicate").limit(limit)
     work = work.withColumn("runtime", F.lit(settings.model(model).runtime)).withColumn(
         "temperature", F.lit(float(settings.temperature)))
-    return replies.collect_replies(work, produce, log_path, buckets=buckets, workers=workers)
+    return replies.collect_replies(work, produce, log_path, buckets=buckets, workers=workers,
+                                   owed=True)
 
 
 def evaluate(spark: SparkSession, log_path: str, prompts_path: str, settings: Settings,
              out_dir: str, refusal_score: str | None = None) -> dict[str, str]:
-    """Judgements, then the scores and agreement read from them."""
+    """Judgements, then the scores and agreement read from them.
+    ``refusal_score`` names a column of the log (F2), usually
+    ``refusal_score``; where it is null the patterns decide."""
     paths = {"judgements": f"{out_dir}/judgements", "scores": f"{out_dir}/scores",
              "agreement": f"{out_dir}/agreement", "summary": f"{out_dir}/summary"}
-    judged = judge.judgements(tables.read_replies(spark, log_path),
+    log = tables.read_replies(spark, log_path, schema=schemas.LOG)
+    judged = judge.judgements(log,
                               spark.read.parquet(prompts_path), settings,
                               refusal_score=refusal_score)
     tables.write_table(judged, paths["judgements"], columns=schemas.JUDGEMENT_COLUMNS,
@@ -109,6 +119,6 @@ def evaluate(spark: SparkSession, log_path: str, prompts_path: str, settings: Se
     j = spark.read.parquet(paths["judgements"])
     tables.write_table(metrics.score_everything(j, settings), paths["scores"],
                        columns=schemas.SCORE_COLUMNS)
-    tables.write_table(metrics.replicate_agreement(j), paths["agreement"])
+    tables.write_table(metrics.replicate_agreement(j, settings=settings), paths["agreement"])
     tables.write_table(judge.judge_summary(j), paths["summary"])
     return paths

@@ -1,7 +1,7 @@
 """Explicit schemas of every table. Nothing is inferred at read time."""
 
 from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, IntegerType,
-                               LongType, StringType, StructField, StructType)
+                               LongType, StringType, StructField, StructType, TimestampType)
 
 
 def _s(*fields) -> StructType:
@@ -18,15 +18,17 @@ ITEM_COLUMNS = ["item_id", "source_language", "target_language", "direction",
 PROMPT_COLUMNS = ["prompt_id", "item_id", "method", "shots", "direction",
                   "answer", "prompt"]
 
-REPLY_COLUMNS = ["prompt_id", "model", "replicate", "runtime", "temperature",
-                 "error", "refusal", "truncated", "response"]
-
 REPLIES = _s(("prompt_id", StringType()), ("model", StringType()),
              ("method", StringType()), ("replicate", IntegerType()),
              ("runtime", StringType()), ("temperature", DoubleType()),
              ("error", StringType()), ("refusal", StringType()),
              ("truncated", BooleanType()), ("response", StringType()))
 
+# What a log may hold besides: a classifier's refusal score (F2) and the time a
+# reply was appended (Q15). Both read as null from logs without them.
+LOG = StructType(REPLIES.fields + _s(("refusal_score", DoubleType()),
+                                     ("logged_at", TimestampType())).fields)
+
 JUDGEMENT_COLUMNS = ["prompt_id", "model", "replicate", "method", "shots",
                      "direction", "answer", "observed", "parsed", "refusal"]
 
@@ -34,16 +36,6 @@ SCORE_COLUMNS = ["model", "method", "shots", "direction", "view", "refusals",
                  "unparsed", "n", "mcc", "precision", "recall", "f1",
                  "accuracy"]
 
-SCORES = StructType([
-    StructField("model", StringType()), StructField("method", StringType()),
-    StructField("shots", IntegerType()), StructField("direction", StringType()),
-    StructField("view", StringType()), StructField("refusals", LongType()),
-    StructField("unparsed", LongType()), StructField("n", LongType()),
-    StructField("mcc", DoubleType()), StructField("precision", DoubleType()),
-    StructField("recall", DoubleType()), StructField("f1", DoubleType()),
-    StructField("accuracy", DoubleType()),
-])
-
 WORK_KEYS = ["model", "method", "prompt_id", "replicate"]
 
 MESSAGE = StructType([StructField("role", StringType()),

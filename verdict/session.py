@@ -98,9 +98,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh, unique folder under the shared checkpoint root."""
+    """A fresh, unique folder under the shared checkpoint root; Spark makes it
+    on its file system when something is written."""
     root = checkpoint_root(spark)
-    path = f"{root}/verdict/{label}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
-    return path
+    return f"{root}/verdict/{label}-{uuid.uuid4().hex[:12]}"

@@ -16,7 +16,6 @@ from ..config import FIXTURE, Settings
 from ..functions import labels, text
 from ..operators import items as item_ops
 from ..operators import prompts as prompt_ops
-from ..session import parallelism
 
 # Fixed values of the fixture: method and model numbers used in the reply
 # selector b, and the texts of the non-label replies.
@@ -50,13 +49,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     # source, the rest the translation.
     half = F.floor(F.length("text") / 2).cast("int")
     # A driver table may be a single row group (one scan task); the corpus is
-    # spread over the cluster before anything is multiplied out of it.
+    # spread before anything is multiplied out of it, over as many tasks as
+    # its bytes ask for.
     return d.join(lab, "doc_id").select(
         F.col("doc_id").alias("ordinal"), F.col("lang").alias("src_lang"),
         tgt.alias("tgt_lang"), grade.alias("class_hall"),
         F.left("text", half).alias("src_text"),
-        F.substr("text", half + 1).alias("mt_text")).repartition(
-            parallelism(spark), "ordinal")
+        F.substr("text", half + 1).alias("mt_text")).repartition("ordinal")
 
 
 def items(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE) -> DataFrame:
@@ -69,11 +68,6 @@ def prompts(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE) -> D
     return prompt_ops.prompt_spec(items(spark, sf_dir, settings), settings)
 
 
-def full_prompts(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE) -> DataFrame:
-    """Prompts with rendered text (examples drawn from the same items)."""
-    return prompt_ops.build_prompts(items(spark, sf_dir, settings), settings)
-
-
 def selector() -> F.Column:
     """b = (item_id*31 + replicate*17 + shots*7 + mno*3 + pno*5) % 20."""
     return ((F.col("item_id") * 31 + F.col("replicate") * 17 + F.col("shots") * 7

@@ -105,10 +105,13 @@ def write_table(df: DataFrame, path: str, columns: list[str] | None = None,
 
 
 def append_replies(df: DataFrame, path: str) -> str:
-    """Append replies to the log, partitioned by method and model. Each
-    task writes its own file and the job commits atomically, so concurrent
+    """Append replies to the log, partitioned by method and model, with the
+    time of the append and a classifier's refusal score where there is one.
+    Each task writes its own file and the job commits atomically, so concurrent
     writers need no lock."""
-    cols = [f.name for f in schemas.REPLIES.fields]
+    if "logged_at" not in df.columns:
+        df = df.withColumn("logged_at", F.current_timestamp())
+    cols = [f.name for f in schemas.LOG.fields if f.name in df.columns]
     return write_table(df.select(*cols), path, partition_by=["method", "model"],
                        mode="append")
 
