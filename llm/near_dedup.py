@@ -12,8 +12,10 @@ near copies), are compared exhaustively by sketch, the larger ones in pairs of
 blocks. With two children a pair at 0.85 is missed by a tree in about 3 of 100
 cases, at any depth, and by four trees in 1 of a million.
 
-A leaf reports a spanning forest of its candidates (estimate within 3.5
-standard errors of the threshold, or above), not all pairs. Every reported
+A leaf reports a spanning forest of its candidates, not all pairs. A candidate
+is a pair whose sketch estimate is above a cut that all trees share; it refuses
+at most ``REFUSED`` (1 of 10 million) of the pairs at the threshold, fewer
+above it, which adds to what the trees miss. Every reported
 pair is confirmed on the full shingle sets. Where a forest edge fails, its leaf
 is looked at again: the members that still have a candidate in another
 component come together with their sets and are compared exactly, best
@@ -28,6 +30,7 @@ all-null group has component null. Repeated rows are copies of each other.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 
 import numpy as np
@@ -46,6 +49,8 @@ TREES, CHILDREN, LEAF = 4, 2, 512
 DEPTH = TOKENS // (TREES * CHILDREN)
 #: A child that holds this share of its parent is one family, not a crowd.
 FAMILY = 0.6
+#: Share of the pairs at the threshold that the sketch may refuse unseen.
+REFUSED = 1e-7
 _SEED = 8
 
 
@@ -178,9 +183,17 @@ def _similar(n: np.ndarray, sk: np.ndarray, least: float, ratio: float):
 
 
 def _estimates(percent: int) -> tuple[float, float]:
-    """(least estimate of a candidate, least ratio of the set sizes)."""
+    """(least estimate of a candidate, least ratio of the set sizes). The
+    estimate is the lowest that leaves a binomial tail of at most ``REFUSED``."""
     p = percent / 100
-    return p - 3.5 * (p * (1 - p) / SKETCH) ** 0.5, p - 1e-9
+    agree = p + (1 - p) / 256  # other minhashes share a byte by chance
+    least, tail = 0, 0.0
+    while least < SKETCH:
+        tail += math.comb(SKETCH, least) * agree ** least * (1 - agree) ** (SKETCH - least)
+        if tail > REFUSED:
+            break
+        least += 1
+    return least / SKETCH, p - 1e-9
 
 
 def _unpack(members, extra: tuple = ()) -> list:
