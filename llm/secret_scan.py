@@ -32,11 +32,12 @@ FIT_ROWS = 20_000
 GRAMS, USUAL = 1 << 16, 1e-6
 TREES, DEPTH, LEAF, SEED = 25, 9, 4, 7
 CUT = 0.5
-_RUN = re.compile(r"\S*\d\S*")
+_RUN = re.compile(r"\S{8,}")
 _VALUE = re.compile(r"[A-Za-z0-9+/_\-]{8,}={0,2}")
 _ASSIGNED = re.compile(r"([A-Za-z_][\w.\-]*)[\"']?\s*[:=]\s*[\"']?$")
 _WORD = re.compile(r"[^\W\d_]+")
 _BESIDE = 48  # characters looked at on either side for words and names
+_PATH = 256  # characters of a longer path kept as they are
 #: Names that secrets are assigned to (general vocabulary).
 SECRET_NAMES = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth", "credential", "private"]
 BUCKETS = 8
@@ -44,17 +45,35 @@ BUCKETS = 8
 KNOWN_FORMATS = re.compile(r"AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}")
 
 
+def _paths(run: str):
+    """Place in a run to what precedes it. Of a long one the end stays, after
+    the signs and names that ``features`` looks for in the rest: the copies of
+    one run's paths would grow with its square."""
+    marks = {}
+
+    def path(at: int) -> str:
+        if at <= _PATH:
+            return run[:at]
+        if not marks:
+            low = run.lower() if run.isascii() else "".join(c.lower() if len(c.lower()) == 1 else c for c in run)
+            marks.update((m, k + len(m)) for m in ("/", "@", *SECRET_NAMES) if (k := low.find(m)) >= 0)
+            marks.setdefault("", 0)
+        return " ".join(m for m, end in marks.items() if end <= at) + " " + run[at - _PATH:at]
+    return path
+
+
 def candidates(text: str | None) -> list[tuple[int, str, str, str, str]]:
     """(start, value, path, word before, word after) of each candidate."""
     out = []
     for m in _RUN.finditer(text or ""):
+        path_to = _paths(m.group())
         for v in _VALUE.finditer(m.group()):
             if not any(c.isdigit() for c in v.group()):
                 continue
             at = m.start() + v.start()
             left, right = text[max(0, at - _BESIDE):at], text[at + len(v.group()):at + len(v.group()) + _BESIDE]
             name = _ASSIGNED.search(left)
-            path = name.group(1) if name else m.group()[:v.start()]
+            path = name.group(1) if name else path_to(v.start())
             before = _WORD.findall(left[:name.start()] if name else left)
             after = _WORD.findall(right)
             out.append((at, v.group(), path, before[-1] if before else "", after[0] if after else ""))
