@@ -1,8 +1,12 @@
 """Secret scans: candidates by pattern, false positives removed by a random
 forest trained from labelled findings.
 
-A candidate is a run of 8 or more key characters that holds a digit, in a run
-of text without white space. Its features: length, shares of letter kinds and
+Candidates: runs of 8 or more key characters with a digit, or of ``LONG`` or
+more with a letter, and every value assigned to the name of a secret, whatever
+its signs, digits or length (between quotes, or up to white space or another
+name assigned after ``&``, ``;`` or ``,``, without closing signs at its end;
+names inside such a value do not count anew). Of two that start together the
+longer stands; others may overlap. Features: length, shares of letter kinds and
 their transitions, entropy, dictionary coverage (the share of its four-letter
 runs that are usual in the corpus' words, from one count over all texts in a
 table of fixed size), the path (the name it is assigned to, or what precedes it
@@ -35,11 +39,19 @@ CUT = 0.5
 _RUN = re.compile(r"\S{8,}")
 _VALUE = re.compile(r"[A-Za-z0-9+/_\-]{8,}={0,2}")
 _ASSIGNED = re.compile(r"([A-Za-z_][\w.\-]*)[\"']?\s*[:=]\s*[\"']?$")
+#: An assignment's sign and its value, quoted or not.
+_SIGN = re.compile(r"[:=]+>?")
+_NAME = re.compile(r"([A-Za-z_][\w.\-]*)[\"']?\s*$")
+_GIVEN = re.compile(r"""\s*(?:"([^"\n]+)"|'([^'\n]+)'|["']?((?:(?![&;,][\w.\-]+[:=])\S)+))""")
+_CLOSING = ".,;:)]}>\"'`"
+LONG = 20
 _WORD = re.compile(r"[^\W\d_]+")
 _BESIDE = 48  # characters looked at on either side for words and names
 _PATH = 256  # characters of a longer path kept as they are
 #: Names that secrets are assigned to (general vocabulary).
 SECRET_NAMES = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth", "credential", "private"]
+#: Names too short to be looked for inside others.
+SHORT_NAMES = ["pw"]
 BUCKETS = 8
 #: Formats that mark a finding as a true one when no human labels are given.
 KNOWN_FORMATS = re.compile(r"AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}")
@@ -62,21 +74,50 @@ def _paths(run: str):
     return path
 
 
+def is_secret_name(path: str) -> bool:
+    low = path.lower()
+    return any(s in low for s in SECRET_NAMES) or low in SHORT_NAMES
+
+
+def _assigned(text: str):
+    """(start, end, name) of every value assigned to the name of a secret."""
+    taken = 0  # so that values never overlap, which could grow with the square
+    for m in _SIGN.finditer(text):
+        if m.start() < taken:
+            continue
+        left = text[max(0, m.start() - _BESIDE):m.start()]
+        low = left.lower()
+        if not any(s in low for s in (*SECRET_NAMES, *SHORT_NAMES)):
+            continue
+        name = _NAME.search(left)
+        value = _GIVEN.match(text, m.end()) if name and is_secret_name(name.group(1)) else None
+        if value:
+            at, end = value.span(value.lastindex)
+            taken = end
+            if value.lastindex == 3:
+                end = at + (len(value.group(3).rstrip(_CLOSING)) or end - at)
+            yield at, end, name.group(1)
+
+
 def candidates(text: str | None) -> list[tuple[int, str, str, str, str]]:
-    """(start, value, path, word before, word after) of each candidate."""
-    out = []
-    for m in _RUN.finditer(text or ""):
+    """(start, value, path, word before, word after) of each candidate, in order."""
+    text, spans = text or "", {}
+    for m in _RUN.finditer(text):
         path_to = _paths(m.group())
         for v in _VALUE.finditer(m.group()):
-            if not any(c.isdigit() for c in v.group()):
-                continue
-            at = m.start() + v.start()
-            left, right = text[max(0, at - _BESIDE):at], text[at + len(v.group()):at + len(v.group()) + _BESIDE]
-            name = _ASSIGNED.search(left)
-            path = name.group(1) if name else path_to(v.start())
-            before = _WORD.findall(left[:name.start()] if name else left)
-            after = _WORD.findall(right)
-            out.append((at, v.group(), path, before[-1] if before else "", after[0] if after else ""))
+            value = v.group()
+            if any(c.isdigit() for c in value) or len(value) >= LONG and any(c.isalpha() for c in value):
+                spans[m.start() + v.start()] = m.start() + v.end(), path_to(v.start())
+    for at, end, name in _assigned(text):
+        if at not in spans or end > spans[at][0]:
+            spans[at] = end, name
+    out = []
+    for at, (end, path) in sorted(spans.items()):
+        left, right = text[max(0, at - _BESIDE):at], text[end:end + _BESIDE]
+        name = _ASSIGNED.search(left)
+        before = _WORD.findall(left[:name.start()] if name else left)
+        after = _WORD.findall(right)
+        out.append((at, text[at:end], name.group(1) if name else path, before[-1] if before else "", after[0] if after else ""))
     return out
 
 
@@ -104,7 +145,7 @@ def features(value: str, path: str, before: str, after: str, usual: np.ndarray)
     grams = _grams(value.encode())
     covered = float(usual[grams].mean()) if len(grams) else 0.0
     low = path.lower()
-    words = [float(low != ""), float(any(s in low for s in SECRET_NAMES)), float("://" in low or "/" in low), float("@" in low)]
+    words = [float(low != ""), float(is_secret_name(path)), float("://" in low or "/" in low), float("@" in low)]
     near = [0.0] * (2 * BUCKETS)
     for k, w in enumerate((before, after)):
         if w:
@@ -195,7 +236,7 @@ def findings(docs: DataFrame) -> DataFrame:
             out = []
             for t in b.column("text").to_pylist():
                 out.append([{"start": at, "value": v, "path": p, "before": w, "after": z,
-                             "label": int(bool(KNOWN_FORMATS.fullmatch(v)) or any(s in p.lower() for s in SECRET_NAMES))}
+                             "label": int(bool(KNOWN_FORMATS.fullmatch(v)) or is_secret_name(p))}
                             for at, v, p, w, z in candidates(t)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, kind)], names=["doc_id", "found"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _FOUND)
