@@ -30,9 +30,10 @@ def fit_rows(labels: DataFrame, label: str, most: int = FIT_ROWS) -> DataFrame:
 
 
 def fit_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row (doc_id, label, fold, text) for each fit row's documents; the
-    broadcast side has at most FIT_ROWS rows."""
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    """One row (doc_id, label, fold, text) for each fit row found in docs, so at
+    most FIT_ROWS; of an id that repeats, the text with the smallest hash."""
+    found = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    return found.groupBy("doc_id", "label", "fold").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def scored(batches, score):

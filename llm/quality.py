@@ -175,7 +175,8 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), labelled.held_out(F.col("doc_id")).alias("held_out"), "text")
     pools = common.stage(src.mapInArrow(_pool(vectors), "doc_id long, held_out boolean, f array<float>"), "pools")
     rows = (pools.select("doc_id", "f").join(F.broadcast(labelled.fit_rows(labels, "quality")), "doc_id")
-            .orderBy("doc_id", "f").collect())  # at most FIT_ROWS rows (and their copies)
+            .groupBy("doc_id", "label", "fold").agg(F.min("f").alias("f"))  # one row of an id that repeats
+            .orderBy("doc_id").collect())  # at most FIT_ROWS rows
     x = np.array([r.f for r in rows], float).reshape(len(rows), N_FEATURES)
     y, at = np.array([r.label for r in rows], float), np.array([r.fold for r in rows], int)
     net = Network(x, y, at == CALIBRATION_FOLD)

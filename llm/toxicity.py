@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple:
         single = texts.withColumn("k", key("text")).dropDuplicates(["label", "k"])
         lexicon = learn_lexicon(common.stage(single.select("label", "text"), "toxic-single"))
         found = (texts.mapInArrow(_features(lexicon, ["doc_id", "label"]), "doc_id long, label int, f array<double>")
-                 .orderBy("doc_id", "f").collect())  # at most FIT_ROWS rows (and their copies)
+                 .orderBy("doc_id", "f").collect())  # at most FIT_ROWS rows
     x = np.array([r.f for r in found], float).reshape(len(found), N_FEATURES)
     return lexicon, fit_logistic(x, np.array([r.label for r in found], float))
 
