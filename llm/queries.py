@@ -85,5 +85,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+#: The word vocabulary of op11.
+WORD_TOKENIZER = "word_bpe_49k.json"
+
+
+def _vocabulary(path: str | None) -> str:
+    """A tokenizers vocabulary, read on the driver from where it is installed."""
+    import public_tokenizers
+    with open(path or public_tokenizers.path(WORD_TOKENIZER), encoding="utf-8") as f:
+        return f.read()
+
+
+def op11_packing(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    from . import packing
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.token_pieces(docs, _vocabulary(model)))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
