@@ -102,5 +102,10 @@ def op11_packing(spark: SparkSession, sf_dir: str, model: str | None = None) ->
     return packing.pack(packing.token_pieces(docs, _vocabulary(model)))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import divergence
+    return divergence.audit(common.table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}

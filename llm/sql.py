@@ -61,4 +61,37 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINC
 FROM docs LEFT JOIN sizes USING (row) JOIN least USING (row)
 """
 
-ORACLE_SQL = {"op8_near_dedup": NEAR_DEDUP, "op4_line_dedup": LINE_DEDUP, "op10_decontamination": DECONTAMINATION}
+DIVERGENCE = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+words AS (SELECT row, lang, source, unnest(ts) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+vocab AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, v.v,
+         sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total,
+         sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, k.term) AS lang_n,
+         sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang) AS lang_total
+  FROM groups g JOIN kept k USING (lang) JOIN vocab v USING (lang)
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+shares AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v) AS p,
+         1 + (1000000000::HUGEINT * (lang_n + 2)) // (lang_total + 2 * v) AS q FROM grid),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+         coalesce((SELECT sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) FROM shares x JOIN shares y
+                   ON x.lang = y.lang AND x.term = y.term WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+tops AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM tops))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLE_SQL = {"op12_divergence": DIVERGENCE, "op8_near_dedup": NEAR_DEDUP, "op4_line_dedup": LINE_DEDUP, "op10_decontamination": DECONTAMINATION}
