@@ -11,7 +11,7 @@ extend.
 
 Documents are counted in each task before anything is shuffled, so a frequent
 prefix or a large source is a few rows a task. The prefixes that are left go to
-the tasks as sorted arrays if they fit ``PREFIX_BYTES``; beyond that the counts
+the tasks as sorted hashes if they fit ``LEFT_BYTES``; beyond that the counts
 of a level are joined with them instead, with the same result.
 
 Each (lang, source) group and each language is then a smoothed distribution in
@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +43,11 @@ from . import common, word_runs
 
 LEAST, TOP = 10, 10
 #: Bytes of the first level's prefixes.
-FIRST = 4
-#: Broadcast prefixes up to this many bytes; join beyond.
-PREFIX_BYTES = 32 << 20
+FIRST = 8
+#: Broadcast the prefixes left up to this many bytes of hashes; join beyond.
+LEFT_BYTES = 32 << 20
 #: Bytes of text that a task counts at once.
-CHUNK = 4 << 20
+CHUNK = 8 << 20
 #: Terms of a block, sources of a tile.
 BLOCK, TILE = 2048, 64
 #: Smoothing and scale of the distributions (fixed values of the audit).
@@ -97,15 +98,22 @@ def _prefixes(data, starts, lens, width: int):
     return hi, lo, tail, (lens > width).astype(np.uint64)
 
 
-class _Left:
-    """The prefixes that a level left, by language."""
+def _parent_keys(hi: np.ndarray, lo: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the first ``width`` bytes (KEY at most). Two prefixes may
+    share one; a term let through by that is still counted out by its own
+    documents, of which no more hold it than hold its prefix."""
+    return word_runs.mixed(*word_runs.cut(hi, lo, width))
 
-    def __init__(self, rows: dict[str, list[bytes]] | None):
-        self.sets = None if rows is None else {k: set(v) for k, v in rows.items()}
 
-    def keep(self, lang: str, prefixes: list[bytes]) -> np.ndarray:
-        mine = self.sets.get(lang, ())
-        return np.fromiter((p in mine for p in prefixes), bool, len(prefixes))
+def _left_keys(alive: DataFrame, width: int) -> dict[str, np.ndarray]:
+    """The hashes of the prefixes left, by language."""
+    found = alive.select("lang", "prefix").toArrow().combine_chunks()
+    out = {}
+    for lang in found.column("lang").unique().to_pylist():
+        mine = found.filter(pc.equal(found.column("lang"), lang)).column("prefix").combine_chunks()
+        data, offs = word_runs.column_bytes(mine)
+        out[lang] = np.unique(_parent_keys(*word_runs.packed(data, offs[:-1], np.diff(offs)), width))
+    return out
 
 
 def _count_level(before: int, width: int, left):
@@ -119,21 +127,24 @@ def _count_level(before: int, width: int, left):
         return low, a[long], (b - a)[long], row[long]
 
     def counted(low, a, lens, row, groups):
-        """Rows of output of one chunk, and its (document, prefix) pairs' parts."""
+        """The distinct prefixes of a chunk (bytes, whether more follows) and
+        its (document, prefix) pairs with their occurrences."""
         cols = _prefixes(low, a, lens, width)
         at, code = word_runs.distinct(*cols)
-        names = [low[a[i]:a[i] + min(lens[i], width)].tobytes() for i in at]
-        goes_on = cols[3][at].astype(bool)
-        lang_of = np.array([g[2] for g in groups], np.int64)
-        if left is not None and before:
-            ok = np.zeros((max(lang_of, default=-1) + 1, len(at)), bool)
-            parents = [n[:before] for n in names]
+        if left is not None and before and len(at):
+            lang_of = np.array([g[2] for g in groups], np.int64)
+            ok = np.zeros((int(lang_of.max()) + 1, len(at)), bool)
+            parent = _parent_keys(cols[0][at], cols[1][at], before)
             for lang, i in {g[0]: g[2] for g in groups}.items():
-                ok[i] = left.value.keep(lang, parents)
+                ok[i] = np.isin(parent, left.value[lang]) if lang in left.value else False
             some = ok[lang_of[row], code]
             row, code = row[some], code[some]
         pair, n = np.unique(row * np.int64(len(at)) + code, return_counts=True)
-        return names, goes_on, pair // max(1, len(at)), pair % max(1, len(at)), n
+        if width <= word_runs.KEY:
+            names = word_runs.unpacked(cols[0][at], cols[1][at]).tolist()
+        else:
+            names = [low[a[i]:a[i] + min(lens[i], width)].tobytes() for i in at]
+        return names, cols[3][at].astype(bool), pair // max(1, len(at)), pair % max(1, len(at)), n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, groups, size = [], [], 0
@@ -157,9 +168,11 @@ def _count_level(before: int, width: int, left):
         langs: dict[str, int] = {}
         own = [(lang, source, langs.setdefault(lang, len(langs))) for lang, source in groups]
         names, goes_on, doc, code, n = counted(*chunk(texts, own), own)
-        ids: dict[tuple[str, str], int] = {}
-        group = np.array([ids.setdefault(g, len(ids)) for g in groups], np.int64)
-        return names, goes_on, group[doc], code, n, list(ids)
+        # A prefix that goes on is counted for its language, a term by source.
+        ids: dict[tuple[str, str | None], int] = {}
+        by_source = np.array([ids.setdefault(g, len(ids)) for g in groups], np.int64)
+        by_lang = np.array([ids.setdefault((g[0], None), len(ids)) for g in groups], np.int64)
+        return names, goes_on, np.where(goes_on[code], by_lang[doc], by_source[doc]), code, n, list(ids)
 
     def long_text(text, g):
         names: dict[tuple[bytes, bool], int] = {}
@@ -169,9 +182,9 @@ def _count_level(before: int, width: int, left):
             for c, k in zip(code.tolist(), n.tolist()):
                 i = names.setdefault((some[c], bool(goes_on[c])), len(names))
                 total[i] = total.get(i, 0) + k
-        code = np.arange(len(names))
-        return ([k[0] for k in names], np.array([k[1] for k in names], bool), np.zeros(len(names), np.int64), code,
-                np.array([total[i] for i in range(len(names))], np.int64), [g])
+        goes_on = np.array([k[1] for k in names], bool)
+        return ([k[0] for k in names], goes_on, goes_on.astype(np.int64), np.arange(len(names)),
+                np.array([total[i] for i in range(len(names))], np.int64), [g, (g[0], None)])
 
     return run
 
@@ -194,16 +207,14 @@ def _rows(names, goes_on, group, code, n, groups) -> pa.RecordBatch:
 _COUNTS = "lang string, source string, prefix binary, whole boolean, docs long, n long"
 
 
-def kept_counts(docs: DataFrame, least: int = LEAST, first: int = FIRST, prefix_bytes: int = PREFIX_BYTES) -> DataFrame:
+def kept_counts(docs: DataFrame, least: int = LEAST, first: int = FIRST, left_bytes: int = LEFT_BYTES) -> DataFrame:
     """(lang, source, term, n): occurrences of each kept term in the groups that
     hold it. docs: lang, source, text without nulls."""
     spark = docs.sparkSession
     found, before, width, left, alive = None, 0, first, None, None
     while True:
         rows = docs.select("lang", "source", "text").mapInArrow(_count_level(before, width, left), _COUNTS)
-        # A prefix that goes on is counted for its language; a term by source.
-        rows = (rows.withColumn("source", F.when(F.col("whole"), F.col("source")))
-                .groupBy("lang", "source", "prefix", "whole").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
+        rows = rows.groupBy("lang", "source", "prefix", "whole").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
         if before and left is None:
             parent = alive.select("lang", F.col("prefix").alias("parent"))
             rows = (rows.withColumn("parent", F.substring("prefix", 1, before))
@@ -215,15 +226,10 @@ def kept_counts(docs: DataFrame, least: int = LEAST, first: int = FIRST, prefix_
                  .select("lang", "source", F.col("prefix").cast("string").alias("term"), "n"))
         found = terms if found is None else found.unionAll(terms)
         alive = enough.where(~F.col("whole")).drop("whole")
-        size = alive.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("prefix") + F.octet_length("lang")).alias("bytes")).first()
-        if not size.n:
+        n = alive.count()
+        if not n:
             return found
-        left = None
-        if size.bytes + 64 * size.n <= prefix_bytes:
-            by_lang: dict[str, list[bytes]] = {}
-            for r in alive.collect():  # at most prefix_bytes
-                by_lang.setdefault(r.lang, []).append(bytes(r.prefix))
-            left = spark.sparkContext.broadcast(_Left(by_lang))
+        left = spark.sparkContext.broadcast(_left_keys(alive, width)) if 8 * n <= left_bytes else None
         before, width = width, 2 * width
 
 
@@ -313,13 +319,13 @@ def _terms(counts: DataFrame, groups: DataFrame) -> DataFrame:
     return both.where("p > q").select("lang", "source", "item", apart(F.col("p"), F.col("q")).alias("value"))
 
 
-def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, first: int = FIRST, prefix_bytes: int = PREFIX_BYTES,
+def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, first: int = FIRST, left_bytes: int = LEFT_BYTES,
           block: int = BLOCK) -> DataFrame:
     """lang, source, part, item, value, rank: how far each source stands from
     the others of its language (part ``pair``), and its ``top`` terms above the
     language's share (part ``term``)."""
     docs = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    counts = common.stage(kept_counts(docs, least, first, prefix_bytes), "terms")
+    counts = common.stage(kept_counts(docs, least, first, left_bytes), "terms")
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     by_lang = counts.groupBy("lang").agg(F.sum("n").alias("lang_total"))
     terms = counts.select("lang", "term").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))

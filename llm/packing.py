@@ -4,11 +4,13 @@ Documents become token ids and an end id; only those longer than a sequence are
 cut, into whole sequences and a shorter last piece. Whole pieces are sequences
 of their own. The others are dealt to partitions of some ``PART`` pieces by the
 hash of a row id, and each partition is packed best-fit decreasing. Dual
-feasible functions over the partition's lengths bound its sequences from below:
-where the count meets the bound, the partition is certified and keeps all but
-its emptiest sequence (what rounding up left open); a partition with a gap
-keeps its full sequences only. What is given up is exchanged: dealt anew over
-all such partitions, and packed again. A round counts only if it needs fewer
+feasible functions over the partition's lengths bound its sequences from below: a
+partition whose count meets the bound is certified, no order of its own pieces
+does better. It keeps all but its emptiest sequence (what rounding up left
+open) if its volume makes the bound, and its full sequences if long pieces make
+it, for shorter pieces of other partitions may fill the rest. A partition with
+a gap gives up all. What is given up is exchanged: dealt anew over fewer and
+larger partitions, and packed again. A round counts only if it needs fewer
 sequences than it took apart; the rounds end there, or where the total meets
 the bound over all lengths.
 
@@ -24,6 +26,8 @@ rows.
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -32,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, word_tokens
 
 CAPACITY, END = 4096, 1
-#: Pieces of a partition, about; rounds of exchange at most.
-PART, ROUNDS = 4096, 12
+#: Pieces of a partition, about; each exchange doubles them, up to the second
+#: number. Rounds at most.
+PART, MOST_PART, ROUNDS = 4096, 65_536, 12
 #: k of the rounding functions u(k) that bound a partition.
 ROUNDINGS = range(1, 33)
 SEED = 11
@@ -50,16 +55,12 @@ def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, min(capacity, n - s)) for s in range(0, n, capacity)]
 
 
-_TOKENS: dict[str, object] = {}
-
-
-def _counter(spec: str) -> object:
-    """One per worker process and vocabulary: its table of words stays warm."""
-    from . import word_tokens
-    if spec not in _TOKENS:
-        _TOKENS.clear()
-        _TOKENS[spec] = word_tokens.WordTokens(spec)
-    return _TOKENS[spec]
+def _counter(spec: str) -> word_tokens.WordTokens:
+    """One for each Python worker and vocabulary: its table of words stays warm."""
+    home = sys.modules.setdefault("_llm_word_tokens", types.ModuleType("_llm_word_tokens")).__dict__
+    if spec not in home:
+        home[spec] = word_tokens.WordTokens(spec)
+    return home[spec]
 
 
 def _tokenize(spec, capacity: int, end: int, keep_ids: bool):
@@ -151,9 +152,11 @@ def _pack_part(part: int, lengths: np.ndarray, capacity: int, round_no: int):
     bins = int(at.max()) + 1
     bound = lower_bound(np.bincount(lengths, minlength=capacity + 1))
     fill = np.bincount(at, size, bins).astype(np.int64)
-    loose = fill < capacity
+    loose = np.ones(bins, bool)
     if bins == bound:
-        loose &= np.arange(bins) == fill.argmin()
+        loose = fill < capacity
+        if bound == -(-int(size.sum()) // capacity):
+            loose &= np.arange(bins) == fill.argmin()
     by_bin = np.argsort(at, kind="stable")
     before = np.cumsum(size[by_bin]) - size[by_bin]
     first = np.searchsorted(at[by_bin], np.arange(bins))
@@ -197,7 +200,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part: int = PART, rounds:
     for k in range(rounds):
         if not left:
             break
-        packed = _round(todo, left, capacity, part, k)
+        packed = _round(todo, left, capacity, max(part, min(part << k, MOST_PART)), k)
         got = packed.agg(F.sum("pk_bins").alias("bins"), F.sum(F.col("pk_open").cast("long")).alias("left"),
                          F.count_distinct(F.when(F.col("pk_open"), F.col("pk_sequence"))).alias("open")).first()
         if loose is not None and got.bins >= taken:

@@ -94,4 +94,33 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 FROM ranked WHERE part = 'pair' OR rank <= 10
 """
 
-ORACLE_SQL = {"op12_divergence": DIVERGENCE, "op8_near_dedup": NEAR_DEDUP, "op4_line_dedup": LINE_DEDUP, "op10_decontamination": DECONTAMINATION}
+#: CRC-32 of a decimal number's text, bit by bit (reflected, polynomial 0xEDB88320).
+_CRC = """xor(4294967295, list_reduce(
+  list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+    lambda c: list_transform(range(8), lambda i: (ascii(c) >> i::INT) & 1)))),
+  lambda crc, bit: xor(crc >> 1, 3988292384 * xor(crc & 1, bit))))"""
+
+CONVERSATION_TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, turn, left(sha256(strlen(r) || ':' || r || t), 32) AS tid, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)),
+own AS (SELECT conv_id, list({{'tid': tid, 'words': words}} ORDER BY turn NULLS FIRST, tid) AS ts FROM turns GROUP BY conv_id),
+heads AS (SELECT *, {_CRC} % 4 AS h FROM own),
+built AS (SELECT a.conv_id, list_concat(coalesce(b.ts, [])[1:a.h], a.ts[a.h + 1:]) AS ts
+          FROM heads a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 20),
+steps AS (SELECT conv_id, d, len(ts) = d AS ends, array_to_string(list_transform(ts[1:d], lambda x: x.tid), '') AS k,
+                 CASE WHEN d > 0 THEN ts[d].words ELSE 0 END AS words
+          FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM built)),
+nodes AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+          FROM steps GROUP BY k, d),
+kids AS (SELECT left(k, 32 * (d - 1)) AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+full_nodes AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids c USING (k)),
+trees AS (SELECT left(k, 32 * a) AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved
+          FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM full_nodes) GROUP BY 1)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children,
+       CAST(t.n_leaves AS BIGINT) AS n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN trees t USING (k) LEFT JOIN full_nodes p ON n.d > 0 AND p.k = left(n.k, 32 * (n.d - 1))
+"""
+
+ORACLE_SQL = {"op13_conversation_trie": CONVERSATION_TRIE, "op12_divergence": DIVERGENCE, "op8_near_dedup": NEAR_DEDUP, "op4_line_dedup": LINE_DEDUP, "op10_decontamination": DECONTAMINATION}

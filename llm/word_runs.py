@@ -52,6 +52,11 @@ def packed(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.n
     return hi, lo
 
 
+def cut(hi: np.ndarray, lo: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the first ``width`` bytes."""
+    return hi & _TOP[min(width, 8)], lo & _TOP[min(max(width - 8, 0), 8)]
+
+
 def unpacked(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     """The bytes of keys (numpy drops the zeros at the end)."""
     return np.stack([hi, lo], 1).astype(">u8").view("S16")[:, 0]

@@ -14,7 +14,7 @@ def prose(seed: int, n: int) -> str:
     return " ".join(r.choice(WORDS) + str(r.randrange(50)) for _ in range(n))
 
 
-def write(folder, docs, labels=(), bench=(), vectors=()):
+def write(folder, docs, labels=(), bench=(), vectors=(), turns=()):
     """Tables as Parquet; documents carry extra columns with clashing names."""
     extra = ["row", "size", "uid", "h", "th", "n", "part", "score", "slot", "shard", "label"]
     base = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()),
@@ -23,6 +23,7 @@ def write(folder, docs, labels=(), bench=(), vectors=()):
     pq.write_table(pa.Table.from_pylist(rows, base), f"{folder}/documents.parquet")
     for name, cols, kinds, data in (("labels", ["doc_id", "quality", "toxic"], [pa.int64(), pa.int32(), pa.int32()], labels),
                                     ("benchmark", ["item_id", "text"], [pa.int64(), pa.string()], bench),
+                                    ("conversations", ["conv_id", "turn", "role", "text"], [pa.int64(), pa.int64(), pa.string(), pa.string()], turns),
                                     ("embeddings", ["vec_id", "embedding", "label"], [pa.int64(), pa.list_(pa.float32()), pa.int32()], vectors)):
         pq.write_table(pa.Table.from_pylist([dict(zip(cols, r)) for r in data], pa.schema(list(zip(cols, kinds)))), f"{folder}/{name}.parquet")
     return str(folder)
@@ -44,7 +45,11 @@ def odd(tmp_path_factory):
     vectors = [(100 * i, unit[i], 0) for i in range(15)] + [(i + 1, unit[i], 0) for i in range(30)] + [(1, unit[0], 0)]
     vectors += [(5000, None, 0), (5100, [], 0), (5200, [0.0, 0.0, 0.0], 0), (5300, [1.0, float("nan"), 0.0], 0),
                 (5400, [1.0, None, 0.0], 0), (5500, [1.0, float("inf"), 2.0], 0), (None, unit[3], 0)]
-    return write(tmp_path_factory.mktemp("odd"), docs, labels, bench, vectors)
+    talk = [("user", "hello there"), ("assistant", "hello, you"), ("user", None), (None, "what?"), ("user", p)]
+    turns = [(c, t, *talk[(t + c // 7) % 5]) for c in range(45) if c not in (20, 33) for t in range(c % 6 + 1)]
+    turns += [(20, None, "user", "null turn"), (20, 0, "user", "x y"), (20, 0, "user", "x y"), (20, 0, "user", "a b"), (20, 9, "", ""),
+              (-7, 1, "user", "below zero"), (-20, 1, "user", "base"), (-20, 2, "user", "more"), (None, 0, "user", "nobody"), (None, None, None, None)]
+    return write(tmp_path_factory.mktemp("odd"), docs, labels, bench, vectors, turns)
 
 
 @pytest.fixture(scope="session")
@@ -54,6 +59,6 @@ def empty(tmp_path_factory):
 
 def duck(folder):
     con = duckdb.connect()
-    for t in ("documents", "labels", "benchmark", "embeddings"):
+    for t in ("documents", "labels", "benchmark", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{os.path.join(folder, t)}.parquet')")
     return con

