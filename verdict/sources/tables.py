@@ -8,51 +8,45 @@ model and method.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schemas
+from ..session import scratch_dir
+from . import splittable
+from .ordinals import totals_before
 
 
 def read_corpus(spark: SparkSession, path: str, fmt: str = "csv",
                 schema: StructType = schemas.CORPUS) -> DataFrame:
     """A1: the labelled corpus. TSV with quoted multi-line fields, or Parquet.
 
-    Item numbering follows file order, which Spark rows do not carry, so the
-    corpus must bring an ``ordinal``. For a Parquet corpus without one, the
-    file order and each row's index within its file give one
-    (``with_file_ordinal``); a multi-line TSV has no row index, so it must
-    carry the column. A multi-line TSV is read one task per file: shard a
-    large corpus into many files, or use Parquet."""
+    A TSV is read by many tasks a file (``splittable``). Item numbering follows
+    file order, which Spark rows do not carry: a corpus without an ``ordinal``
+    (a TSV whose ``schema`` has none, or such a Parquet corpus) gets its place
+    over all files in the order of their paths."""
     if fmt == "csv":
-        return (spark.read.schema(schema)
-                .options(sep="\t", header=True, multiLine=True, escape='"')
-                .csv(path))
+        own = "ordinal" in schema.fieldNames()
+        return splittable.read_delimited(spark, path, schema, ordinal=None if own else "ordinal")
     df = spark.read.parquet(path)
     if "ordinal" not in df.columns:
         df = with_file_ordinal(df)
     return df
 
 
-ROWS_PER_FILE_BITS = 40
-
-
 def with_file_ordinal(df: DataFrame, out: str = "ordinal") -> DataFrame:
-    """A numeric file-order ordinal for a Parquet scan: the rank of the file
-    path (in path order) times 2^40, plus the row's index within its file.
-
-    The ranking runs over one row per input file, so its size is the file
-    count of the scan, which the file index knows before anything runs; that
-    bound is what allows the broadcast."""
+    """A Parquet scan's rows numbered from 0 in file order: by path, then by
+    row index within the file. Rows are counted per file, the counts summed in
+    two levels, and joined back by path; the planner broadcasts them or not by
+    their size (one row a file)."""
     keyed = df.withColumn("_file", F.col("_metadata.file_path")).withColumn(
         "_row", F.col("_metadata.row_index"))
-    files = keyed.select("_file").distinct()
-    ranked = files.withColumn("_rank", F.row_number().over(
-        Window.orderBy("_file")).cast("long") - 1)
-    return (keyed.join(F.broadcast(ranked), "_file")
-            .withColumn(out, F.shiftleft(F.col("_rank"), ROWS_PER_FILE_BITS) + F.col("_row"))
-            .drop("_file", "_row", "_rank"))
+    per_file = keyed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = totals_before(per_file, ["_file"], "_n", "_first", scratch_dir(df.sparkSession, "files"))
+    return (keyed.join(before.select("_file", "_first"), "_file")
+            .withColumn(out, F.col("_first") + F.col("_row"))
+            .drop("_file", "_row", "_first"))
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str],
