@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -50,15 +51,39 @@ def test_rows_and_order_equal_the_one_task_read(spark, tmp_path, tiny_splits, se
     assert [r["at"] for r in got] == list(range(len(want)))
 
 
-def test_quotes_at_every_border(spark, tmp_path, tiny_splits):
+TRICKY = 'a\tb\tc\n"1\n\n""\n2"\t"x"\t""\n5" disk\tp"q\t"\n"\nlast\t"a\tb"\t"end"'
+RECORDS = ["a\tb\tc", '"1\n\n""\n2"\t"x"\t""', '5" disk\tp"q\t"\n"', 'last\t"a\tb"\t"end"']
+
+
+def test_records_of_tricky_text_in_spark(spark, tmp_path, tiny_splits):
     path = tmp_path / "one.tsv"
-    path.write_text('a\tb\tc\n"1\n\n""\n2"\t"x"\t""\n5" disk\tp"q\t"\n"\nlast\t"a\tb"\t"end"')
+    path.write_text(TRICKY)
     want = [tuple(r) for r in one_task(spark, str(path)).collect()]
     assert want[0][0] == '1\n\n"\n2' and want[1][0] == '5" disk' and len(want) == 3
-    for size in (3, 10, 17):
-        tiny_splits(size)
-        got = splittable.read_delimited(spark, str(path), SCHEMA, ordinal="at").orderBy("at").collect()
-        assert [tuple(r)[:3] for r in got] == want, size
+    tiny_splits(17)
+    got = splittable.read_delimited(spark, str(path), SCHEMA, ordinal="at").orderBy("at").collect()
+    assert [tuple(r)[:3] for r in got] == want
+
+
+def test_quotes_at_every_border():
+    """The three steps by hand, with range borders at every set of lines."""
+    lines = TRICKY.split("\n")
+    for mask in range(1 << (len(lines) - 1)):
+        owner = [0]
+        for i in range(1, len(lines)):
+            owner.append(i if mask >> (i - 1) & 1 else owner[-1])
+        def batch(**cols):
+            return iter([pa.RecordBatch.from_pydict({"file": ["f"] * len(lines), "range": owner, **cols})])
+        ranges = pa.Table.from_batches(list(splittable._compose("\t")(batch(
+            quoted=[x if '"' in x else None for x in lines], empty=[x == "" for x in lines]))))
+        told = {r["range"]: r for r in splittable._settle(ranges).to_pylist()}
+        cut = pa.Table.from_batches(list(splittable._cut("\t")(batch(
+            value=lines, case=[told[o]["case"] for o in owner], number=[told[o]["number"] for o in owner])))).to_pylist()
+        found = {}
+        for r in sorted(cut, key=lambda r: r["range"]):
+            assert r["whole"] <= (r["number"] not in found)
+            found.setdefault(r["number"], []).append(r["record"])
+        assert ["\n".join(found[k]) for k in sorted(found)] == RECORDS, mask
 
 
 def test_windows_line_ends_and_empty_files(spark, tmp_path, tiny_splits):

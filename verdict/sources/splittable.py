@@ -93,20 +93,18 @@ def _compose(sep: str):
     return run
 
 
-def _scan(ranges: DataFrame) -> DataFrame:
-    """(file, range, case, number): how each range begins, and the number of
-    records before it in its file. Grouped by file: a row a range, in order."""
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("range")
-        case, number, cases, numbers = OUTSIDE, 0, [], []
-        for r in rows.to_pylist():
-            cases.append(case)
-            numbers.append(number)
-            number += r[f"records_{case}"]
-            case = r[f"end_{case}"]
-        return pa.table({"file": rows.column("file"), "range": rows.column("range"), "case": pa.array(cases, pa.int32()),
-                         "number": pa.array(numbers, pa.int64())})
-    return ranges.groupBy("file").applyInArrow(run, "file string, range long, case int, number long")
+def _settle(rows: pa.Table) -> pa.Table:
+    """One file's ranges in order: how each begins, and the number of records
+    before it. A row a range."""
+    rows = rows.sort_by("range")
+    case, number, cases, numbers = OUTSIDE, 0, [], []
+    for r in rows.to_pylist():
+        cases.append(case)
+        numbers.append(number)
+        number += r[f"records_{case}"]
+        case = r[f"end_{case}"]
+    return pa.table({"file": rows.column("file"), "range": rows.column("range"), "case": pa.array(cases, pa.int32()),
+                     "number": pa.array(numbers, pa.int64())})
 
 
 _CUT = "file string, number long, range long, whole boolean, record string"
@@ -164,7 +162,7 @@ def read_records(spark: SparkSession, path: str, sep: str = "\t", broadcast_rang
      .write.parquet(ranges_at))
     ranges = spark.read.parquet(ranges_at)
     cases_at = scratch_dir(spark, "cases")
-    _scan(ranges).write.parquet(cases_at)
+    ranges.groupBy("file").applyInArrow(_settle, "file string, range long, case int, number long").write.parquet(cases_at)
     cases = spark.read.parquet(cases_at)
     if cases.count() <= broadcast_ranges:
         told = lines.join(F.broadcast(cases), ["file", "range"])  # lines stay where and as they are
@@ -188,8 +186,6 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType, sep: str
     records = read_records(spark, path, sep, broadcast_ranges)
     if header:
         records = records.where("number > 0").withColumn("number", F.col("number") - 1)
-    # A record of one field may be cut short by the parser's own line ends, so
-    # those within quotes are given to it as they stand.
     fields = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
     # A trailing line end belongs to the line, not to the last field.
     text = F.when(F.endswith("record", F.lit("\r")), F.expr("substring(record, 1, length(record) - 1)")).otherwise(F.col("record"))
