@@ -64,7 +64,7 @@ def test_stream_counts(spark, scratch):
     q = streaming.stream_counts(spark, log, prompts, FIXTURE, f"{scratch}/counts",
                                 f"{scratch}/ckpt", max_files_per_trigger=1)
     q.awaitTermination()
-    counts = spark.read.parquet(f"{scratch}/counts")
+    counts = streaming.Published(spark, f"{scratch}/counts").read()
     # Scores derived from the running counts equal scoring every reply at once.
     from verdict.operators import metrics
     got = streaming.scores_from_counts(counts)
@@ -131,3 +131,73 @@ def test_bucketed_log_and_prompts_score_without_shuffling_replies(spark):
     want = metrics.score_replies(fx.replies(spark, SF_SMALL), fx.prompts(spark, SF_SMALL), FIXTURE)
     cols = sorted(want.columns)
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
+def repeated(spark, replies, seconds):
+    """The log with a time of logging; some replies are logged again."""
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.lit(seconds))
+    return replies.withColumn("logged_at", at)
+
+
+def test_a_reply_logged_twice_counts_once_across_a_restart(spark, scratch):
+    r = fx.replies(spark, SF_SMALL)
+    log, prompts = f"{scratch}/log", fx.prompts(spark, SF_SMALL)
+    sink, ckpt = f"{scratch}/judged", f"{scratch}/ckpt"
+
+    def run():
+        streaming.stream_judgements(spark, log, prompts, FIXTURE, sink, ckpt, dedupe_within="10 minutes").awaitTermination()
+    half = r.filter(F.col("replicate") == 1)
+    repeated(spark, half, 0).unionByName(repeated(spark, half.filter("method = 'span'"), 5)).write.json(log, mode="append")
+    run()
+    repeated(spark, r, 60).write.json(log, mode="append")  # all again, after a restart
+    run()
+    got, want = spark.read.parquet(sink), judge.judgements(r, prompts, FIXTURE)
+    cols = sorted(want.columns)
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    # Once the time has moved past the keys, they are let go and a repeat is a new reply.
+    repeated(spark, half.limit(1).withColumn("prompt_id", F.lit("later")), 10_000).write.json(log, mode="append")
+    run()
+    repeated(spark, half, 10_060).write.json(log, mode="append")
+    run()
+    assert spark.read.parquet(sink).count() == want.count() + judge.judgements(half, prompts, FIXTURE).count()
+
+
+def test_published_tables_are_whole_and_replay_changes_nothing(spark, scratch):
+    import pytest
+    p = streaming.Published(spark, f"{scratch}/table")
+    with pytest.raises(FileNotFoundError):
+        p.read()
+    assert p.publish(spark.range(3), 0) and p.read().count() == 3
+    held = p.read()
+    assert not p.publish(spark.range(99), 0) and p.read().count() == 3
+    # A write that dies leaves the pointer where it was.
+    spark.range(50).write.parquet(f"{scratch}/table/epochs/1")
+    assert p.read().count() == 3 and p.current() == 0
+    assert p.publish(spark.range(5), 1) and p.read().count() == 5
+    assert held.count() == 3  # a reader of the epoch before goes on
+    assert p.publish(spark.range(7), 2) and p.current() == 2 and p.read().count() == 7
+
+
+def test_agreement_of_the_stream_equals_batch(spark, scratch):
+    from verdict.operators import metrics
+    log, r = f"{scratch}/log", fx.replies(spark, SF_SMALL)
+    cells, ckpt = f"{scratch}/cells", f"{scratch}/ckpt"
+
+    def run():
+        streaming.stream_agreement(spark, log, FIXTURE, cells, ckpt, dedupe_within="1 hour", expiry="1 hour").awaitTermination()
+    repeated(spark, r.filter("replicate < 3"), 0).write.json(log, mode="append")
+    run()
+    assert spark.read.schema(streaming.CELLS).parquet(cells).count() == 0  # nothing is complete yet
+    repeated(spark, r.filter("replicate > 1 and not (model = 'org/beta' and replicate = 3)"), 30).write.json(log, mode="append")
+    run()
+    done = spark.read.parquet(cells)
+    assert done.where("complete").count() == done.count() == r.filter("model = 'org/alpha'").select("prompt_id").distinct().count()
+    # Late enough, what is incomplete expires; the last file only moves the time on.
+    for hours in (9, 18):
+        repeated(spark, r.limit(1).withColumn("prompt_id", F.lit(f"later-{hours}")), hours * 3600).write.json(log, mode="append")
+        run()
+    got = spark.read.parquet(cells).where("prompt_id not like 'later%'")
+    assert got.where("not complete").select("model").distinct().collect()[0][0] == "org/beta"
+    seen = r.filter("not (model = 'org/beta' and replicate = 3)")
+    want = metrics.replicate_agreement(judge.judgements(seen, fx.prompts(spark, SF_SMALL), FIXTURE), settings=FIXTURE)
+    assert streaming.agreement_from_cells(got).collect() == want.collect()

@@ -9,7 +9,9 @@ function inside ``mapInPandas``, one failure recorded per row.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +21,7 @@ from .. import schemas
 from ..config import Settings
 from ..functions import ids, labels, payloads, templates, text
 from ..schemas import WORK_KEYS
+from ..sources.reply_log import ReplyLog
 
 
 def _lookup(mapping: dict, key: F.Column, default=None) -> F.Column:
@@ -193,52 +196,89 @@ def review_prompts(prompts: DataFrame, items: DataFrame, first_round: DataFrame,
 REPLY_OUT = schemas.REPLIES
 
 
-def call_judge(work: DataFrame, produce: Callable[[dict], str],
-               system: str = templates.SYSTEM, workers: int = 1) -> DataFrame:
-    """run ``produce(record) -> reply text`` over the owed rows, partition
-    by partition (``mapInPandas``). The record carries the work keys, the
-    prompt, ``messages`` (system + user) and ``max_tokens``. A row whose call
-    raises is kept with ``error = 'Type: message'`` and no reply; the pass goes
-    on. ``workers`` > 1 keeps that many calls in flight per task (calls wait on
-    the network, not the CPU). Spark may re-run a task, so consumers
-    de-duplicate on the reply key."""
-    cols = [f.name for f in REPLY_OUT.fields]
-
-    def attempt(rec):
-        rec["messages"] = [{"role": "system", "content": system},
-                           {"role": "user", "content": rec.get("prompt") or ""}]
-        try:
-            return produce(rec), ""
-        except Exception as problem:  # noqa: BLE001 - recorded per row
-            return None, f"{type(problem).__name__}: {problem}"
-
-    def run(batches):
-        pool = None
-        if workers > 1:
-            from concurrent.futures import ThreadPoolExecutor
-            pool = ThreadPoolExecutor(max_workers=workers)
-        for pdf in batches:
-            recs = pdf.to_dict("records")
-            results = list(pool.map(attempt, recs)) if pool else [attempt(r) for r in recs]
-            out = []
-            for rec, (reply, error) in zip(recs, results):
-                out.append({
-                    "prompt_id": rec["prompt_id"], "model": rec["model"],
-                    "method": rec["method"], "replicate": int(rec["replicate"]),
-                    "runtime": rec.get("runtime"), "temperature": rec.get("temperature"),
-                    "error": error, "refusal": "" if reply is not None else None,
-                    # A failed call has no reply, so it was not cut off.
-                    "truncated": reply is not None and "Label:" not in reply,
-                    "response": reply})
-            yield pd.DataFrame(out, columns=cols)
-        if pool:
-            pool.shutdown()
+Ask = Callable[[list[dict]], list]
+
+
+def settle(ask: Ask, group: list[dict]) -> list[tuple[str | None, str]]:
+    """(reply, error) of every record of a group. A reply that is an exception
+    is that record's failure. If the whole call fails, its halves are asked
+    anew down to single records, so one bad record costs no other its reply."""
+    try:
+        replies = list(ask(group))
+        if len(replies) != len(group):
+            raise ValueError(f"{len(replies)} replies to {len(group)} records")
+    except Exception as e:  # noqa: BLE001 - recorded with the record
+        replies = [e]
+        if len(group) > 1:
+            half = len(group) // 2
+            return settle(ask, group[:half]) + settle(ask, group[half:])
+    return [(None, f"{type(r).__name__}: {r}") if isinstance(r, BaseException) else (r, "" if r is not None else "no reply")
+            for r in replies]
+
+
+def in_order(ask: Ask, groups: Iterator[list[dict]], in_flight: int) -> Iterator[tuple[list[dict], list]]:
+    """Groups with their settled replies, in order, with at most ``in_flight``
+    of them asked at a time."""
+    if in_flight < 2:
+        for g in groups:
+            yield g, settle(ask, g)
+        return
+    with ThreadPoolExecutor(in_flight) as threads:
+        waiting: deque = deque()
+        for g in groups:
+            waiting.append((g, threads.submit(settle, ask, g)))
+            if len(waiting) >= in_flight:
+                first, answer = waiting.popleft()
+                yield first, answer.result()
+        for g, answer in waiting:
+            yield g, answer.result()
+
+
+def call_judge_batches(work: DataFrame, ask: Ask, size: int = 32, in_flight: int = 1,
+                       system: str = templates.SYSTEM) -> DataFrame:
+    """F1 in batches: ``ask(records) -> replies`` gets up to ``size`` owed
+    records at a time, ``in_flight`` such calls at once in each task, and gives
+    a reply, or an exception in its place, for each. A record carries the work
+    keys, the prompt, ``messages`` and ``max_tokens``. Failures are kept per
+    row as 'Type: message' without a reply; the pass goes on. Spark may re-run
+    a task, so consumers de-duplicate on the reply key."""
+    names = REPLY_OUT.fieldNames()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def groups() -> Iterator[list[dict]]:
+            held: list[dict] = []
+            for frame in frames:
+                for rec in frame.to_dict("records"):
+                    rec["messages"] = [dict(role="system", content=system), dict(role="user", content=rec.get("prompt") or "")]
+                    held.append(rec)
+                    if len(held) == size:
+                        yield held
+                        held = []
+            if held:
+                yield held
+
+        for asked, answers in in_order(ask, groups(), in_flight):
+            rows = pd.DataFrame([{k: rec.get(k) for k in names} for rec in asked], columns=names)
+            rows["response"] = pd.Series([r for r, _ in answers], dtype=object)
+            rows["error"] = [e for _, e in answers]
+            rows["refusal"] = pd.Series([None if e else "" for _, e in answers], dtype=object)
+            # A failed call has no reply, so it was not cut off.
+            rows["truncated"] = [not e and "Label:" not in r for r, e in answers]
+            yield rows
 
     needed = [c for c in ("prompt_id", "model", "method", "replicate", "runtime",
                           "temperature", "max_tokens", "prompt") if c in work.columns]
     return work.select(*needed).mapInPandas(run, REPLY_OUT)
 
 
+def call_judge(work: DataFrame, produce: Callable[[dict], str],
+               system: str = templates.SYSTEM, workers: int = 1) -> DataFrame:
+    """``produce(record) -> reply text`` over the owed rows, one record a
+    call and ``workers`` calls in flight per task (they wait on the network,
+    not the CPU)."""
+    return call_judge_batches(work, lambda records: [produce(r) for r in records], 1, workers, system)
+
+
 def call_judge_partitions(work: DataFrame,
                           answer: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
                           ) -> DataFrame:
@@ -296,3 +336,31 @@ def collect_replies(work: DataFrame, produce: Callable[[dict], str], log_path: s
             tasks or parallelism(spark), *WORK_KEYS)
         tables.append_replies(call_judge(spread, produce, workers=workers), log_path)
     return len(filled)
+
+
+def collect_committed(work: DataFrame, log: ReplyLog, ask: Ask, size: int = 32, in_flight: int = 1,
+                      slices: int = 1, retry_failed: bool = False, tasks: int | None = None) -> int:
+    """F1 + A6 + J3, exactly once: what of ``work`` the log's index does not
+    hold is written to the shared folder by bucket and slice, and each slice is
+    asked in batches by one job and committed. A run that ends early keeps
+    every committed slice and owes the rest, within a bucket, too; whatever a
+    killed job wrote stays invisible; a second writer doubles nothing. Records
+    that fail are logged with their error. Returns the replies committed."""
+    from ..session import parallelism, scratch_dir
+    spark = work.sparkSession
+    commits = log.commits()
+    since = {b: cs[-1]["version"] for b, cs in commits.items()}
+    todo_at = scratch_dir(spark, "owed")
+    todo = log.outstanding(work, retry_failed, commits).withColumns({
+        "_bucket": log.bucket_of("prompt_id"),
+        "_slice": F.pmod(F.xxhash64(F.lit("slice"), *WORK_KEYS), F.lit(slices)).cast("int")})
+    todo.write.partitionBy("_bucket", "_slice").parquet(todo_at)
+    todo = spark.read.schema(todo.schema).parquet(todo_at)
+    units = todo.select("_bucket", "_slice").distinct().orderBy("_bucket", "_slice").collect()  # at most buckets x slices
+    done = 0
+    for u in units:
+        part = todo.where((F.col("_bucket") == u["_bucket"]) & (F.col("_slice") == u["_slice"])).drop("_bucket", "_slice")
+        spread = part.repartition(tasks or parallelism(spark), *WORK_KEYS)
+        done += log.append(call_judge_batches(spread, ask, size, in_flight), u["_bucket"], since.get(u["_bucket"], 0))
+        since[u["_bucket"]] = log.version(u["_bucket"])
+    return done

@@ -23,6 +23,7 @@ from ..operators import prompts as prompt_ops
 from ..session import scratch_dir
 from ..sources import fixture as fx
 from ..sources import tables
+from ..sources.reply_log import ReplyLog
 from ..streaming import replies as streaming
 from . import sql as S
 
@@ -380,14 +381,28 @@ def _owed_text(spark, sf_dir):
     return replies.attach_prompts(owed, prompt_ops.build_prompts(i, CFG))
 
 
-@register("outstanding_replies", S.with_ctes(
+_OWED_TEXT = S.with_ctes(
     "SELECT model, method, prompt_id, replicate, runtime, temperature, max_tokens, prompt "
-    "FROM owed_text", ["replies_b"], _OUTSTANDING))
+    "FROM owed_text", ["replies_b"], _OUTSTANDING)
+
+
+@register("outstanding_replies", _OWED_TEXT)
 def q_outstanding_replies(spark, sf_dir):
     return _owed_text(spark, sf_dir).select("model", "method", "prompt_id", "replicate",
                                              "runtime", "temperature", "max_tokens", "prompt")
 
 
+@register("outstanding_indexed", _OWED_TEXT)
+def q_outstanding_indexed(spark, sf_dir):
+    """J3 from the committed log's key index: the collected replies go into a
+    log, and what is owed is found without reading them again."""
+    log = ReplyLog(spark, scratch_dir(spark, "log"), buckets=4)
+    log.load(fx.collected(spark, sf_dir, CFG))
+    owed = log.outstanding(replies.wanted_replies(fx.prompts(spark, sf_dir, CFG), CFG))
+    return replies.attach_prompts(owed, prompt_ops.build_prompts(_items(spark, sf_dir), CFG)).select(
+        "model", "method", "prompt_id", "replicate", "runtime", "temperature", "max_tokens", "prompt")
+
+
 _SAMPLING = " OR ".join(f"model = {S.q(m.id)}" for m in CFG.models if m.takes_sampling) or "false"
 
 
@@ -489,18 +504,43 @@ def stub_judge(record: dict) -> str:
     return "Label: Hallucination" if k == 1 else "Label: No hallucination"
 
 
-@register("generate_replies", S.with_ctes(
+_GENERATED = S.with_ctes(
     "SELECT prompt_id, model, method, replicate, runtime, temperature, "
     "CASE WHEN length(prompt) % 3 = 0 THEN 'RuntimeError: stub judge unavailable' ELSE '' END AS error, "
     "CASE WHEN length(prompt) % 3 = 0 THEN NULL ELSE '' END AS refusal, "
     "false AS truncated, "
     f"CASE length(prompt) % 3 WHEN 1 THEN 'Label: ' || {POS} WHEN 2 THEN 'Label: ' || {NEG} END "
-    "AS response FROM owed_text", ["replies_b"], _OUTSTANDING))
+    "AS response FROM owed_text", ["replies_b"], _OUTSTANDING)
+
+
+@register("generate_replies", _GENERATED)
 def q_generate_replies(spark, sf_dir):
     """F1 with a deterministic stub in place of the model."""
     return replies.call_judge(_owed_text(spark, sf_dir), stub_judge)
 
 
+@register("committed_replies", _GENERATED)
+def q_committed_replies(spark, sf_dir):
+    """F1 + A6: the owed replies collected in batches into a committed log, by
+    a first run over one model and a second one over all that is still owed."""
+    log = ReplyLog(spark, scratch_dir(spark, "log"), buckets=2)
+    work = _owed_text(spark, sf_dir)
+
+    def ask(records):
+        return [_or_error(stub_judge, r) for r in records]
+    replies.collect_committed(work.where(F.col("model") == MODELS[0]), log, ask)
+    replies.collect_committed(work, log, ask, slices=2)
+    return log.read().select("prompt_id", "model", "method", "replicate", "runtime", "temperature",
+                             "error", "refusal", "truncated", "response")
+
+
+def _or_error(produce, record):
+    try:
+        return produce(record)
+    except Exception as e:  # noqa: BLE001 - becomes the record's error
+        return e
+
+
 # ---------------------------------------------------------------------------
 # Judgements: summaries, reading, classifier scores, severity
 # ---------------------------------------------------------------------------
@@ -564,11 +604,14 @@ def q_severity_recall(spark, sf_dir):
     return metrics.severity_recall(j, _items(spark, sf_dir), CFG)
 
 
-@register("replicate_agreement", S.with_ctes(
+_AGREEMENT = S.with_ctes(
     "SELECT count(*) AS cells, count(*) FILTER (WHERE same) AS agreed, "
     "count(*) FILTER (WHERE same) / count(*) AS agreement FROM ("
     "SELECT prompt_id, model, min(observed) = max(observed) AS same FROM judgements "
-    "GROUP BY prompt_id, model) c", ["judgements"]))
+    "GROUP BY prompt_id, model) c", ["judgements"])
+
+
+@register("replicate_agreement", _AGREEMENT)
 def q_replicate_agreement(spark, sf_dir):
     # min/max of the label per cell are the same over the collapsed rows.
     return metrics.replicate_agreement(
@@ -706,7 +749,18 @@ def q_stream_counts(spark, sf_dir):
                                 f"{root}/counts", f"{root}/checkpoint",
                                 max_files_per_trigger=1)
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/counts")
+    return streaming.Published(spark, f"{root}/counts").read()
+
+
+@register("stream_agreement", _AGREEMENT)
+def q_stream_agreement(spark, sf_dir):
+    """M6 on the stream: cells finished one by one as their replies come in."""
+    root = scratch_dir(spark, "stream-agreement")
+    log = _write_log(spark, sf_dir, root)
+    q = streaming.stream_agreement(spark, log, CFG, f"{root}/cells", f"{root}/checkpoint")
+    q.awaitTermination()
+    return streaming.agreement_from_cells(spark.read.parquet(f"{root}/cells"))
+
 
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}

@@ -9,39 +9,63 @@ full score table derived from them equals scoring every reply seen in one
 batch. Progress lives in the checkpoint, so a restarted query resumes where it
 stopped and a lost executor only re-runs its micro-batch.
 
-Replies carry no event time, so there is no watermark or window; the counts
-state is bounded by the number of (model, method, shots, direction) groups.
+A reply's event time is when it was logged (``logged_at``; where the log has
+none, when its file was written). With ``dedupe_within`` a reply logged again
+within that time of the first counts once, the first as it came. Its key is
+let go when the watermark (that much behind the newest time of the
+micro-batches before) has passed that time, and a repeat after that is a new
+reply; one logged before the watermark is late and left out. The state is one
+key per reply of that time; without it, the counts state is bounded by the
+number of groups.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schemas
 from ..config import Settings
+from ..functions import labels
 from ..operators import judge, metrics
+from ..schemas import WORK_KEYS
 
 
 def reply_stream(spark: SparkSession, path: str, fmt: str = "json",
-                 max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schemas.REPLIES).format(fmt)
+                 max_files_per_trigger: int | None = None,
+                 dedupe_within: str | None = None) -> DataFrame:
+    """The log as a stream, each reply once if ``dedupe_within`` says so."""
+    reader = spark.readStream.schema(schemas.LOG).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(path)
+    rows = reader.load(path)
+    rows = rows.withColumn("logged_at", F.coalesce("logged_at", F.col("_metadata.file_modification_time")))
+    if dedupe_within:
+        rows = rows.withWatermark("logged_at", dedupe_within).dropDuplicatesWithinWatermark(WORK_KEYS)
+    return rows
+
+
+def _start(writer, available_now: bool) -> StreamingQuery:
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def stream_judgements(spark: SparkSession, log_path: str, prompts: DataFrame,
                       settings: Settings, sink_path: str, checkpoint_path: str,
                       fmt: str = "json", max_files_per_trigger: int | None = None,
-                      available_now: bool = True) -> StreamingQuery:
+                      available_now: bool = True, dedupe_within: str | None = None) -> StreamingQuery:
     """Every new reply file -> judgements appended to ``sink_path``."""
-    stream = reply_stream(spark, log_path, fmt, max_files_per_trigger)
+    stream = reply_stream(spark, log_path, fmt, max_files_per_trigger, dedupe_within)
     judged = judge.judgements(stream, prompts, settings)
     writer = (judged.writeStream.format("parquet").outputMode("append")
               .option("path", sink_path).option("checkpointLocation", checkpoint_path))
-    writer = writer.trigger(availableNow=True) if available_now else writer
-    return writer.start()
+    return _start(writer, available_now)
 
 
 def running_counts(judged: DataFrame, settings: Settings,
@@ -53,22 +77,138 @@ def running_counts(judged: DataFrame, settings: Settings,
     return metrics.confusion(judged, list(group_cols), settings)
 
 
+#: Published tables that stay: the current one, and the one a reader may still hold.
+KEPT_EPOCHS = 2
+
+
+class Published:
+    """A small result table, published whole epoch by epoch: each epoch is
+    written to a folder of its own, and one pointer file, replaced by a rename,
+    names the current one. A reader sees an epoch or the one before it, never
+    part of one. Publishing an epoch that is current or older does nothing, so
+    a replayed micro-batch changes nothing."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        jvm = spark._jvm
+        self._path, self._conf = jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+        self._fs = self._path(self.path).getFileSystem(self._conf)
+
+    def current(self) -> int | None:
+        at = self._path(f"{self.path}/current")
+        if not self._fs.exists(at):
+            return None
+        stream = self._fs.open(at)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())["epoch"]
+        finally:
+            stream.close()
+
+    def publish(self, table: DataFrame, epoch: int) -> bool:
+        now = self.current()
+        if now is not None and epoch <= now:
+            return False
+        table.write.mode("overwrite").parquet(f"{self.path}/epochs/{epoch}")
+        draft = self._path(f"{self.path}/drafts/{uuid.uuid4().hex}")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(json.dumps({"epoch": epoch}).encode()))
+        out.close()
+        rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        files = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+        files.rename(draft, self._path(f"{self.path}/current"), how)
+        for s in self._fs.listStatus(self._path(f"{self.path}/epochs")):
+            if int(s.getPath().getName()) <= epoch - KEPT_EPOCHS:
+                self._fs.delete(s.getPath(), True)
+        return True
+
+    def read(self) -> DataFrame:
+        epoch = self.current()
+        if epoch is None:
+            raise FileNotFoundError(f"nothing published at {self.path}")
+        return self.spark.read.parquet(f"{self.path}/epochs/{epoch}")
+
+
 def stream_counts(spark: SparkSession, log_path: str, prompts: DataFrame,
                   settings: Settings, sink_path: str, checkpoint_path: str,
                   fmt: str = "json", max_files_per_trigger: int | None = None,
-                  available_now: bool = True) -> StreamingQuery:
-    """Running counts; each micro-batch rewrites the (small) complete
-    result table, so the sink always holds the counts of every reply seen."""
-    stream = reply_stream(spark, log_path, fmt, max_files_per_trigger)
+                  available_now: bool = True, dedupe_within: str | None = None) -> StreamingQuery:
+    """Running counts; each micro-batch publishes the (small) complete
+    result table, so ``Published(spark, sink_path).read()`` always holds the
+    counts of every reply seen up to one moment."""
+    stream = reply_stream(spark, log_path, fmt, max_files_per_trigger, dedupe_within)
     counts = running_counts(judge.judgements(stream, prompts, settings), settings)
 
     def publish(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(sink_path)
+        Published(batch.sparkSession, sink_path).publish(batch, epoch)
 
     writer = (counts.writeStream.outputMode("complete").foreachBatch(publish)
               .option("checkpointLocation", checkpoint_path))
-    writer = writer.trigger(availableNow=True) if available_now else writer
-    return writer.start()
+    return _start(writer, available_now)
+
+
+#: Cells of M6 as a stream emits them.
+CELLS = "prompt_id string, model string, replies int, judged int, same boolean, complete boolean"
+_CELL_STATE = "replies int, judged int, least string, greatest string"
+
+
+def _cell(replicates: int, expiry_ms: int):
+    """A cell (prompt, model) until all its replies are in, or it expires."""
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        replies, judged, least, greatest = state.get if state.exists else (0, 0, None, None)
+        if not state.hasTimedOut:
+            newest = 0
+            for f in frames:
+                replies += len(f)
+                newest = max(newest, int(f["logged_ms"].max()))
+                seen = f["observed"].dropna()
+                judged += len(seen)
+                if len(seen):
+                    least = min([seen.min(), *([least] if least is not None else [])])
+                    greatest = max([seen.max(), *([greatest] if greatest is not None else [])])
+            if replies < replicates:
+                state.update((replies, judged, least, greatest))
+                state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + expiry_ms)
+                return
+        if state.exists:
+            state.remove()
+        yield pd.DataFrame([(*key, replies, judged, None if not judged else least == greatest, replies >= replicates)],
+                           columns=["prompt_id", "model", "replies", "judged", "same", "complete"])
+    return run
+
+
+def agreement_cells(replies: DataFrame, settings: Settings, expiry: str = "1 day") -> DataFrame:
+    """M6 as a stream: one row per (prompt, model) once as many replies as the
+    settings' replicates have come, failed ones included, or ``expiry`` after
+    its last one. State: counts and two labels a cell that waits. A reply later
+    than its cell's row begins a new cell; de-duplicate the stream where
+    replies may be logged twice. ``replies`` needs a watermark on ``logged_at``."""
+    observed = labels.parse_label("response", settings.positive_label, settings.negative_label)
+    rows = replies.select("prompt_id", "model", "logged_at", F.unix_millis("logged_at").alias("logged_ms"),
+                          F.when(~labels.has_error("error"), F.coalesce(observed, F.lit(""))).alias("observed"))
+    expiry_ms = int(pd.Timedelta(expiry).total_seconds() * 1000)
+    return rows.groupBy("prompt_id", "model").applyInPandasWithState(
+        _cell(settings.replicates, expiry_ms), CELLS, _CELL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_agreement(spark: SparkSession, log_path: str, settings: Settings, sink_path: str, checkpoint_path: str,
+                     fmt: str = "json", max_files_per_trigger: int | None = None, available_now: bool = True,
+                     dedupe_within: str | None = None, late: str = "1 day", expiry: str = "1 day") -> StreamingQuery:
+    """M6 over the growing log: finished cells appended to ``sink_path``."""
+    stream = reply_stream(spark, log_path, fmt, max_files_per_trigger, dedupe_within)
+    if not dedupe_within:
+        stream = stream.withWatermark("logged_at", late)
+    writer = (agreement_cells(stream, settings, expiry).writeStream.format("parquet").outputMode("append")
+              .option("path", sink_path).option("checkpointLocation", checkpoint_path))
+    return _start(writer, available_now)
+
+
+def agreement_from_cells(cells: DataFrame) -> DataFrame:
+    """M6's table from the cells that have a judged reply."""
+    judged = cells.where("judged > 0")
+    return judged.agg(F.count(F.lit(1)).alias("cells"), F.count_if("same").alias("agreed"),
+                      (F.count_if("same") / F.count(F.lit(1))).alias("agreement"))
 
 
 def scores_from_counts(counts: DataFrame, views=metrics.VIEWS) -> DataFrame:
