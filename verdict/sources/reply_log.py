@@ -239,8 +239,9 @@ class ReplyLog:
         """Takes in replies from elsewhere, one commit a bucket. Returns their number."""
         since = {b: v for b, v, _ in self._names()}
         at = scratch_dir(self.spark, "load")
-        replies.withColumn("_bucket", self.bucket_of("prompt_id")).write.partitionBy("_bucket").parquet(at)
-        staged = self.spark.read.schema(replies.schema.add("_bucket", "int")).parquet(at)
+        staged = replies.withColumn("_bucket", self.bucket_of("prompt_id"))
+        staged.write.partitionBy("_bucket").parquet(at)
+        staged = self.spark.read.schema(staged.schema).parquet(at)
         filled = [r[0] for r in staged.select("_bucket").distinct().orderBy("_bucket").collect()]  # at most one a bucket
         return sum(self.append(staged.where(F.col("_bucket") == b).drop("_bucket"), b, since.get(b, 0)) for b in filled)
 
