@@ -6,41 +6,49 @@ models), never by the data, which is what makes broadcasting them safe.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .config import Settings
 
 
+def literal(value) -> str:
+    """A value as SQL text."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
+def _values(rows: list[tuple], schema: str) -> str:
+    """A SELECT over literal rows, typed by ``schema``. No rows: none of them."""
+    fields = StructType.fromDDL(schema).fields
+    names = ", ".join(f"`{f.name}`" for f in fields)
+    typed = ", ".join(f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in fields)
+    body = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows or [(None,) * len(fields)])
+    return f"SELECT {typed} FROM VALUES {body} AS t({names})" + ("" if rows else " WHERE false")
+
+
 def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table held in the plan itself (LocalTableScan): no RDD and no
-    Python worker when it is scanned."""
-    st = StructType.fromDDL(schema)
-    pdf = pd.DataFrame(rows, columns=[f.name for f in st.fields])
-    return spark.createDataFrame(pdf, schema=st)
+    Python worker when it is scanned. One SQL text, as a call per value costs
+    more than the table."""
+    return spark.sql(_values(rows, schema))
 
 
 def directions(spark: SparkSession, settings: Settings) -> DataFrame:
-    """G1: every language against the anchor both ways, union the extra pairs.
-
-    Built with ``explode`` over the language table, then ``unionByName`` of the
-    extra pairs, in configuration order (``position``)."""
-    anchor = settings.anchor[0]
-    langs = local_table(spark, [(i, code) for i, (code, _) in enumerate(settings.languages)],
-                        "i int, code string")
-    both = langs.select(
-        F.posexplode(F.array(
-            F.struct(F.col("code").alias("source_language"),
-                     F.lit(anchor).alias("target_language")),
-            F.struct(F.lit(anchor).alias("source_language"),
-                     F.col("code").alias("target_language")))).alias("k", "pair"),
-        "i").select((F.col("i") * 2 + F.col("k")).alias("position"), "pair.*")
+    """G1: every language against the anchor both ways, union the extra pairs,
+    in configuration order (``position``)."""
+    anchor = literal(settings.anchor[0])
+    langs = _values([(i, code) for i, (code, _) in enumerate(settings.languages)], "i int, code string")
     base = 2 * len(settings.languages)
-    extra = local_table(spark, [(base + j, s, t) for j, (s, t) in enumerate(settings.extra_pairs)],
-                        "position int, source_language string, target_language string")
-    return both.unionByName(extra)
+    extra = _values([(base + j, s, t) for j, (s, t) in enumerate(settings.extra_pairs)],
+                    "position int, source_language string, target_language string")
+    pair = "named_struct('source_language', {}, 'target_language', {})".format
+    return spark.sql(f"SELECT 2 * i + k AS position, pair.* FROM ({langs}) LATERAL VIEW "
+                     f"posexplode(array({pair('code', anchor)}, {pair(anchor, 'code')})) AS k, pair "
+                     f"UNION ALL {extra}")
 
 
 def methods(spark: SparkSession, settings: Settings) -> DataFrame:

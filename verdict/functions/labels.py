@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import NEGATIVE_LABEL, POSITIVE_LABEL
+from ..dimensions import literal
 from .text import WS, _col, clean, clean_or_empty
 
 # ---------------------------------------------------------------------------
@@ -55,11 +56,14 @@ def binary_label(grade, negative_grade: str, positive: str = POSITIVE_LABEL,
 def parse_label(reply, positive: str = POSITIVE_LABEL,
                 negative: str = NEGATIVE_LABEL) -> Column:
     """The last label line in the reply; '' when there is none."""
-    found = F.regexp_extract_all(F.coalesce(_col(reply), F.lit("")),
-                                 F.lit(label_pattern()), F.lit(1))
-    last = F.try_element_at(found, F.lit(-1))
     # A match starts with 'no' or 'ha' (any case); one lookup on those two
     # letters, so the regex runs once per reply.
+    if isinstance(reply, str):
+        return F.expr(f"coalesce(try_element_at(map('no', {literal(negative)}, 'ha', {literal(positive)}), lower(left(try_element_at("
+                      f"regexp_extract_all(coalesce({reply}, ''), {literal(label_pattern())}, 1), -1), 2))), '')")
+    found = F.regexp_extract_all(F.coalesce(reply, F.lit("")),
+                                 F.lit(label_pattern()), F.lit(1))
+    last = F.try_element_at(found, F.lit(-1))
     kind = F.create_map(F.lit("no"), F.lit(negative), F.lit("ha"), F.lit(positive))
     return F.coalesce(F.try_element_at(kind, F.lower(F.left(last, F.lit(2)))), F.lit(""))
 

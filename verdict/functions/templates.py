@@ -12,6 +12,8 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..dimensions import literal
+
 
 # ---------------------------------------------------------------------------
 # The wording every prompt is rendered from. They must equal the
@@ -31,47 +33,32 @@ TEMPLATES = {
     "baseline": ("Source ({source}): {source_text}\n"
                  "Translation ({target}): {target_text}\n\n"
                  "Does the translation contain hallucinated content?\n\n"
-                 "End your reply with exactly one line:\n"
-                 "Label: Hallucination\n"
-                 "or\n"
-                 "Label: No hallucination"),
+                 + ANSWER_FORMAT),
     "fewshot": ("{examples}"
                 "Source ({source}): {source_text}\n"
                 "Translation ({target}): {target_text}\n\n"
                 "Does the translation contain hallucinated content?\n\n"
-                "End your reply with exactly one line:\n"
-                "Label: Hallucination\n"
-                "or\n"
-                "Label: No hallucination"),
+                + ANSWER_FORMAT),
     "translate": ("Source ({source}): {source_text}\n"
                   "Translation ({target}): {target_text}\n\n"
                   "First, translate both the source and the translation into English.\n"
                   "Then compare them and decide whether the translation introduces "
                   "content the source does not support.\n\n"
-                  "End your reply with exactly one line:\n"
-                  "Label: Hallucination\n"
-                  "or\n"
-                  "Label: No hallucination"),
+                  + ANSWER_FORMAT),
     "span": ("Source ({source}): {source_text}\n"
              "Translation ({target}): {target_text}\n\n"
              "List every span of the translation that is not supported by the "
              'source, one per line, prefixed with "Span:". If there are none, write '
              '"Span: none".\n'
              "Then give your label.\n\n"
-             "End your reply with exactly one line:\n"
-             "Label: Hallucination\n"
-             "or\n"
-             "Label: No hallucination"),
+             + ANSWER_FORMAT),
     "debate": ("Source ({source}): {source_text}\n"
                "Translation ({target}): {target_text}\n\n"
                "Another reviewer judged this as: {other_label}\n"
                "Their reasoning: {other_reasoning}\n\n"
                "Do you agree? Judge it yourself, saying briefly where you differ if "
                "you do.\n\n"
-               "End your reply with exactly one line:\n"
-               "Label: Hallucination\n"
-               "or\n"
-               "Label: No hallucination"),
+               + ANSWER_FORMAT),
 }
 
 EXAMPLE = ("Example\n"
@@ -89,9 +76,22 @@ def fields_of(template: str) -> set[str]:
     return {f for _, f in parts(template) if f}
 
 
-def render(template: str, fields: dict[str, Column]) -> Column:
-    """``concat`` of the template's literals and the given columns. Every
-    column is coalesced to '' because ``concat`` is null if any part is."""
+def _render_sql(template: str, fields: dict[str, str]) -> str:
+    pieces = [x for lit, field in parts(template)
+              for x in ([literal(lit)] if lit else []) + ([f"coalesce({fields[field]}, '')"] if field else [])]
+    return f"concat({', '.join(pieces)})"
+
+
+def _as_text(fields: dict) -> bool:
+    return all(isinstance(f, str) for f in fields.values())
+
+
+def render(template: str, fields: dict[str, Column] | dict[str, str]) -> Column:
+    """``concat`` of the template's literals and the given columns, or SQL texts
+    of them (one call to the JVM then). Every column is coalesced to '' because
+    ``concat`` is null if any part is."""
+    if _as_text(fields):
+        return F.expr(_render_sql(template, fields))
     pieces = []
     for lit, field in parts(template):
         if lit:
@@ -101,7 +101,7 @@ def render(template: str, fields: dict[str, Column]) -> Column:
     return F.concat(*pieces)
 
 
-def render_by_method(method: Column, fields: dict[str, Column],
+def render_by_method(method: Column, fields: dict[str, Column] | dict[str, str],
                      templates: dict[str, str] = TEMPLATES) -> Column:
     """One prompt per row, the template chosen by the row's method. An unknown
     method fails the job, as it fails the evaluated pipeline."""

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..dimensions import literal
 from . import judge
 
 VIEWS = ("all", "parsed", "judged")
@@ -20,19 +21,15 @@ CELLS = ("tp", "fp", "fn", "tn")
 GROUP = ["model", "method", "shots"]
 
 
-def _view_masks(settings: Settings):
-    y = F.col("answer") == F.lit(settings.positive_label)
-    obs = F.col("observed")
-    parsed = F.col("parsed")
-    # 'all': an unparsed reply counts as the opposite of the truth.
-    pred_all = (F.when(obs == F.lit(settings.positive_label), F.lit(True))
-                .when(obs == F.lit(settings.negative_label), F.lit(False))
-                .otherwise(~y))
-    pred = obs == F.lit(settings.positive_label)
-    return y, {
-        "all": (F.lit(True), pred_all),
-        "parsed": (parsed, pred),
-        "judged": (parsed & ~F.col("refusal"), pred),
+def _view_masks(settings: Settings) -> dict[str, tuple[str, str]]:
+    """Per view, as SQL text: which rows it holds, and whether the row was read
+    as positive (in ``all`` an unreadable reply counts against its truth)."""
+    y = f"answer = {literal(settings.positive_label)}"
+    pred = f"observed = {literal(settings.positive_label)}"
+    return {
+        "all": ("true", f"CASE WHEN {pred} THEN true WHEN observed = {literal(settings.negative_label)} THEN false ELSE NOT ({y}) END"),
+        "parsed": ("parsed", pred),
+        "judged": ("parsed AND NOT refusal", pred),
     }
 
 
@@ -41,21 +38,17 @@ def confusion(judged: DataFrame, group_cols: list[str], settings: Settings,
     """One pass: tp/fp/fn/tn of every view, and refusals / unparsed of the
     whole group, per group. With ``weight``, each row stands for that many
     judgements (see ``judged_counts``)."""
-    y, views = _view_masks(settings)
+    y = f"answer = {literal(settings.positive_label)}"
 
-    def n(cond):
-        if weight is None:
-            return F.count_if(cond)
-        return F.sum(F.when(cond, F.col(weight)).otherwise(F.lit(0)).cast("long"))
+    def n(cond, name):
+        of = f"count_if({cond})" if weight is None else f"sum(CAST(CASE WHEN {cond} THEN {weight} ELSE 0 END AS BIGINT))"
+        return F.expr(of).alias(name)
 
     aggs = []
-    for v, (member, pred) in views.items():
-        aggs += [n(member & y & pred).alias(f"{v}_tp"),
-                 n(member & ~y & pred).alias(f"{v}_fp"),
-                 n(member & y & ~pred).alias(f"{v}_fn"),
-                 n(member & ~y & ~pred).alias(f"{v}_tn")]
-    aggs += [n(F.col("refusal")).alias("refusals"),
-             n(~F.col("parsed")).alias("unparsed")]
+    for v, (member, pred) in _view_masks(settings).items():
+        for name, truth, said in (("tp", y, pred), ("fp", f"NOT ({y})", pred), ("fn", y, f"NOT ({pred})"), ("tn", f"NOT ({y})", f"NOT ({pred})")):
+            aggs.append(n(f"({member}) AND ({truth}) AND ({said})", f"{v}_{name}"))
+    aggs += [n("refusal", "refusals"), n("NOT parsed", "unparsed")]
     return judged.groupBy(*group_cols).agg(*aggs)
 
 
@@ -86,38 +79,23 @@ def resum(counts: DataFrame, group_cols: list[str], **constants) -> DataFrame:
     return out
 
 
-def _d(c: str) -> F.Column:
-    return F.col(c).cast("double")
-
 
 def score(counts: DataFrame, group_cols: list[str], views=VIEWS) -> DataFrame:
     """M1 + M3: unpack the views and compute n, MCC, precision, recall, F1 and
     accuracy. A view row is kept only when truth and prediction both take
     two values, which also rules out every zero denominator."""
-    packed = F.array(*[F.struct(F.lit(v).alias("view"),
-                                *[F.col(f"{v}_{c}").alias(c) for c in CELLS])
-                       for v in views])
-    def keep(v):
-        return (((v["tp"] + v["fn"]) > 0) & ((v["tn"] + v["fp"]) > 0)
-                & ((v["tp"] + v["fp"]) > 0) & ((v["tn"] + v["fn"]) > 0))
-
+    packed = ", ".join("named_struct('view', " + literal(v) + ", " + ", ".join(f"'{c}', {v}_{c}" for c in CELLS) + ")" for v in views)
     # Degenerate views are dropped inside the array, before the explode.
-    rows = counts.select(*group_cols, "refusals", "unparsed",
-                         F.explode(F.filter(packed, keep)).alias("_v"))
-    tp, fp, fn, tn = (F.col(f"_v.{c}") for c in CELLS)
-    dtp, dfp, dfn, dtn = (_d(f"_v.{c}") for c in CELLS)
-    n = tp + fp + fn + tn
-    return rows.select(
-        *group_cols, F.col("_v.view").alias("view"),
-        F.col("refusals").cast("long").alias("refusals"),
-        F.col("unparsed").cast("long").alias("unparsed"),
-        n.cast("long").alias("n"),
-        F.try_divide(dtp * dtn - dfp * dfn,
-                     F.sqrt((dtp + dfp) * (dtp + dfn) * (dtn + dfp) * (dtn + dfn))).alias("mcc"),
-        F.try_divide(dtp, dtp + dfp).alias("precision"),
-        F.try_divide(dtp, dtp + dfn).alias("recall"),
-        F.try_divide(F.lit(2.0) * dtp, F.lit(2.0) * dtp + dfp + dfn).alias("f1"),
-        F.try_divide(dtp + dtn, _d("_v.tp") + dfp + dfn + dtn).alias("accuracy"))
+    keep = "v.tp + v.fn > 0 AND v.tn + v.fp > 0 AND v.tp + v.fp > 0 AND v.tn + v.fn > 0"
+    rows = counts.selectExpr(*group_cols, "refusals", "unparsed", f"explode(filter(array({packed}), v -> {keep})) AS _v")
+    rows = rows.selectExpr(*group_cols, "refusals", "unparsed", "_v.view AS view", "_v.tp + _v.fp + _v.fn + _v.tn AS n",
+                           *(f"CAST(_v.{c} AS DOUBLE) AS {c}" for c in CELLS))
+    return rows.selectExpr(
+        *group_cols, "view", "CAST(refusals AS BIGINT) AS refusals", "CAST(unparsed AS BIGINT) AS unparsed",
+        "CAST(n AS BIGINT) AS n",
+        "try_divide(tp * tn - fp * fn, sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))) AS mcc",
+        "try_divide(tp, tp + fp) AS precision", "try_divide(tp, tp + fn) AS recall",
+        "try_divide(2.0D * tp, 2.0D * tp + fp + fn) AS f1", "try_divide(tp + tn, tp + fp + fn + tn) AS accuracy")
 
 
 def score_everything(judged: DataFrame, settings: Settings, views=VIEWS,

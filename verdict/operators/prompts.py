@@ -6,24 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..dimensions import literal
 from ..functions import ids, templates, text
 
 
-def _method_rows(settings: Settings) -> F.Column:
-    return F.array(*[F.struct(F.lit(m).alias("method"), F.lit(int(s)).alias("shots"))
-                     for m, s in settings.prompt_methods()])
-
-
 def prompt_spec(items: DataFrame, settings: Settings, keep: tuple[str, ...] = ()) -> DataFrame:
     """G2 + P6: one row per item per (method, shots), review method excluded.
 
     The (method, shots) list comes from the settings and is exploded per item:
     a generator, no join."""
-    expanded = items.select(*items.columns, F.explode(_method_rows(settings)).alias("_m"))
+    methods = ", ".join(f"named_struct('method', {literal(m)}, 'shots', {int(s)})" for m, s in settings.prompt_methods())
+    expanded = items.selectExpr("*", f"explode(array({methods})) AS _m")
     return expanded.select(
         ids.prompt_id("item_id", "_m.method", "_m.shots").alias("prompt_id"),
-        "item_id", F.col("_m.method").alias("method"), F.col("_m.shots").alias("shots"),
-        "direction", "answer", *keep)
+        F.expr("item_id"), F.expr("_m.method AS method"), F.expr("_m.shots AS shots"),
+        F.expr("direction"), F.expr("answer"), *keep)
 
 
 def _shot_values(settings: Settings) -> list[int]:
@@ -95,10 +92,9 @@ def example_sets(items: DataFrame, settings: Settings) -> DataFrame:
     entries each."""
     names = settings.language_names()
     rendered = templates.render(templates.EXAMPLE, {
-        "source": ids.language_name("source_language", names),
-        "target": ids.language_name("target_language", names),
-        "source_text": F.col("source_text"), "target_text": F.col("target_text"),
-        "answer": F.col("answer")})
+        "source": ids.language_name_sql("source_language", names),
+        "target": ids.language_name_sql("target_language", names),
+        "source_text": "source_text", "target_text": "target_text", "answer": "answer"})
     return draw_examples(items, settings).groupBy("direction", "shots").agg(
         F.sort_array(F.collect_list(F.struct("slot", "item_id", rendered.alias("text")))).alias("examples"))
 
@@ -118,15 +114,14 @@ def build_prompts(items: DataFrame, settings: Settings,
     # have no proven size, so the planner decides by what it measures: a
     # broadcast while small, else a shuffle join that splits skewed directions.
     joined = spec.join(sets, ["direction", "shots"], "left")
-    shown = F.filter(F.coalesce(F.col("examples"), F.array()),
-                     lambda e: e["item_id"] != F.col("item_id"))
+    shown = F.expr("filter(coalesce(examples, array()), e -> e.item_id <> item_id)")
     names = settings.language_names()
     fields = {
-        "source": ids.language_name("source_language", names),
-        "target": ids.language_name("target_language", names),
-        "source_text": F.col("source_text"), "target_text": F.col("target_text"),
-        "examples": F.array_join(F.transform(F.col("_shown"), lambda e: e["text"]), ""),
-        "other_label": F.lit(""), "other_reasoning": F.lit(""),
+        "source": ids.language_name_sql("source_language", names),
+        "target": ids.language_name_sql("target_language", names),
+        "source_text": "source_text", "target_text": "target_text",
+        "examples": "array_join(transform(_shown, e -> e.text), '')",
+        "other_label": "''", "other_reasoning": "''",
     }
     return (joined.withColumn("_shown", shown)
             .select("prompt_id", "item_id", "method", "shots", "direction", "answer",

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..config import Settings
+from ..dimensions import literal
 from ..functions import ids, labels, payloads, templates, text
 from ..schemas import WORK_KEYS
 from ..sources.reply_log import ReplyLog
@@ -48,16 +49,14 @@ def wanted_replies(prompts: DataFrame, settings: Settings, models: list[str] | N
     panel = [settings.model(m) for m in models] if models else list(settings.models)
     reps = replicates or settings.replicates
     temp = settings.temperature if temperature is None else temperature
-    arr = F.array(*[F.struct(F.lit(m.id).alias("model"), F.lit(m.runtime).alias("runtime"))
-                    for m in panel])
-    meth = F.lit(method) if method else F.col("method")
-    per_model = prompts.select("prompt_id", meth.alias("method"), F.explode(arr).alias("_p"))
-    rows = per_model.select("prompt_id", "method", "_p",
-                            F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("replicate"))
+    arr = ", ".join(f"named_struct('model', {literal(m.id)}, 'runtime', {literal(m.runtime)})" for m in panel)
+    meth = literal(method) if method else "method"
+    per_model = prompts.selectExpr("prompt_id", f"{meth} AS method", f"explode(array({arr})) AS _p")
+    rows = per_model.selectExpr("prompt_id", "method", "_p.model AS model", "_p.runtime AS runtime",
+                                f"explode(sequence(1, {int(reps)})) AS replicate")
     return rows.select(
-        "prompt_id", F.col("_p.model").alias("model"), "method", "replicate",
-        F.col("_p.runtime").alias("runtime"), F.lit(float(temp)).alias("temperature"),
-        answer_budget(F.col("method"), F.col("_p.model"), settings).alias("max_tokens"))
+        *map(F.expr, ("prompt_id", "model", "method", "replicate", "runtime", f"CAST({float(temp)} AS DOUBLE) AS temperature")),
+        answer_budget(F.col("method"), F.col("model"), settings).alias("max_tokens"))
 
 
 def outstanding(wanted: DataFrame, collected: DataFrame, retry_failed: bool = False,

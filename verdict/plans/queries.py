@@ -41,9 +41,14 @@ def register(name: str, oracle: str | None):
     return deco
 
 
+def _log(spark, sf_dir):
+    """The reply log and the prompt keys it answers, built once."""
+    spec = fx.prompts(spark, sf_dir)
+    return fx.replies(spark, sf_dir, spec=spec), spec
+
+
 def _judged(spark, sf_dir, keep=()):
-    return judge.judgements(fx.replies(spark, sf_dir), fx.prompts(spark, sf_dir), CFG,
-                            keep=keep)
+    return judge.judgements(*_log(spark, sf_dir), CFG, keep=keep)
 
 
 # ---------------------------------------------------------------------------
@@ -102,7 +107,7 @@ _OVERALL = ("SELECT model, method, shots, 'overall' AS direction, "
     S.metrics_select(["model", "method", "shots", "direction"], "grouped"), ["judgements"],
     {"by_dir": _BY_DIR, "grouped": f"SELECT * FROM by_dir UNION ALL {_OVERALL}"}))
 def q_score_directions(spark, sf_dir):
-    return metrics.score_replies(fx.replies(spark, sf_dir), fx.prompts(spark, sf_dir), CFG)
+    return metrics.score_replies(*_log(spark, sf_dir), CFG)
 
 
 @register("score_views", S.with_ctes(
@@ -110,7 +115,7 @@ def q_score_directions(spark, sf_dir):
     {"c": f"SELECT model, method, shots, {S.confusion_select('')} FROM judgements "
           "GROUP BY model, method, shots"}))
 def q_score_views(spark, sf_dir):
-    return metrics.score_replies(fx.replies(spark, sf_dir), fx.prompts(spark, sf_dir), CFG,
+    return metrics.score_replies(*_log(spark, sf_dir), CFG,
                                  group_cols=metrics.GROUP)
 
 
@@ -118,7 +123,7 @@ def q_score_views(spark, sf_dir):
     S.metrics_select(["model"], "c"), ["judgements"],
     {"c": f"SELECT model, {S.confusion_select('')} FROM judgements GROUP BY model"}))
 def q_score_overall(spark, sf_dir):
-    return metrics.score_replies(fx.replies(spark, sf_dir), fx.prompts(spark, sf_dir), CFG,
+    return metrics.score_replies(*_log(spark, sf_dir), CFG,
                                  group_cols=["model"])
 
 
@@ -376,8 +381,8 @@ _OUTSTANDING = {**WANTED, **COLLECTED, **RENDER,
 
 def _owed_text(spark, sf_dir):
     i = _items(spark, sf_dir)
-    owed = replies.outstanding(replies.wanted_replies(fx.prompts(spark, sf_dir, CFG), CFG),
-                               fx.collected(spark, sf_dir, CFG))
+    spec = fx.prompts(spark, sf_dir, CFG, items_table=i)
+    owed = replies.outstanding(replies.wanted_replies(spec, CFG), fx.collected(spark, sf_dir, CFG, spec=spec))
     return replies.attach_prompts(owed, prompt_ops.build_prompts(i, CFG))
 
 
@@ -615,7 +620,7 @@ _AGREEMENT = S.with_ctes(
 def q_replicate_agreement(spark, sf_dir):
     # min/max of the label per cell are the same over the collapsed rows.
     return metrics.replicate_agreement(
-        metrics.judged_counts(fx.replies(spark, sf_dir), fx.prompts(spark, sf_dir), CFG))
+        metrics.judged_counts(*_log(spark, sf_dir), CFG))
 
 
 # ---------------------------------------------------------------------------
@@ -623,7 +628,7 @@ def q_replicate_agreement(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 def _scores(spark, sf_dir):
-    return metrics.score_replies(fx.replies(spark, sf_dir), fx.prompts(spark, sf_dir), CFG)
+    return metrics.score_replies(*_log(spark, sf_dir), CFG)
 
 
 def _pivot_cols(col: str, value: str, keys: list[str]) -> str:

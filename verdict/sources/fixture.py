@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FIXTURE, Settings
-from ..functions import labels, text
+from ..dimensions import literal
+from ..functions import text
 from ..operators import items as item_ops
 from ..operators import prompts as prompt_ops
 
@@ -46,24 +47,17 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     src_text (first half of the document), mt_text (second half)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    k = F.col("doc_id") % 3
-    tgt = (F.when(F.col("lang") != "en", F.lit("en")).when(k == 0, F.lit("de"))
-           .when(k == 1, F.lit("es")).otherwise(F.lit("fr")))
-    grade = (F.when((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit("1_No_hallucination"))
-             .when(k == 0, F.lit("2_Small_hallucination"))
-             .when(k == 1, F.lit("3_Partial_hallucination"))
-             .otherwise(F.lit("4_Full_hallucination")))
     # Every document is used whole: its first half (by characters) is the
-    # source, the rest the translation.
-    half = F.floor(F.length("text") / 2).cast("int")
-    # A driver table may be a single row group (one scan task); the corpus is
-    # spread before anything is multiplied out of it, over as many tasks as
-    # its bytes ask for.
-    return d.join(lab, "doc_id").select(
-        F.col("doc_id").alias("ordinal"), F.col("lang").alias("src_lang"),
-        tgt.alias("tgt_lang"), grade.alias("class_hall"),
-        F.left("text", half).alias("src_text"),
-        F.substr("text", half + 1).alias("mt_text")).repartition("ordinal")
+    # source, the rest the translation. A driver table may be a single row group
+    # (one scan task); the corpus is spread before anything is multiplied out
+    # of it, over as many tasks as its bytes ask for.
+    return d.join(lab, "doc_id").selectExpr(
+        "doc_id AS ordinal", "lang AS src_lang",
+        "CASE WHEN lang <> 'en' THEN 'en' WHEN doc_id % 3 = 0 THEN 'de' WHEN doc_id % 3 = 1 THEN 'es' ELSE 'fr' END AS tgt_lang",
+        "CASE WHEN quality = 1 AND toxic = 0 THEN '1_No_hallucination' WHEN doc_id % 3 = 0 THEN '2_Small_hallucination' "
+        "WHEN doc_id % 3 = 1 THEN '3_Partial_hallucination' ELSE '4_Full_hallucination' END AS class_hall",
+        "left(text, CAST(floor(length(text) / 2) AS INT)) AS src_text",
+        "substr(text, CAST(floor(length(text) / 2) AS INT) + 1) AS mt_text").repartition("ordinal")
 
 
 def items(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE) -> DataFrame:
@@ -71,53 +65,47 @@ def items(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE) -> Dat
     return item_ops.build_items(corpus(spark, sf_dir), settings, item_ids="ordinal")
 
 
-def prompts(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE) -> DataFrame:
-    """Prompt keys only (no rendered text)."""
-    return prompt_ops.prompt_spec(items(spark, sf_dir, settings), settings)
+def prompts(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE,
+            items_table: DataFrame | None = None) -> DataFrame:
+    """Prompt keys only (no rendered text), of ``items_table`` where a query has it."""
+    own = items(spark, sf_dir, settings) if items_table is None else items_table
+    return prompt_ops.prompt_spec(own, settings)
 
 
-def selector() -> F.Column:
-    """b = (item_id*31 + replicate*17 + shots*7 + mno*3 + pno*5) % 20."""
-    return ((F.col("item_id") * 31 + F.col("replicate") * 17 + F.col("shots") * 7
-             + F.col("_mno") * 3 + F.col("_pno") * 5) % 20)
+#: The reply selector b: which of the replies below a (prompt, model, replicate) gets.
+SELECTOR = "(item_id * 31 + replicate * 17 + shots * 7 + _mno * 3 + _pno * 5) % 20"
 
 
 def replies(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE,
-            keep_selector: bool = False) -> DataFrame:
-    """The reply log: items x 6 (method, shots) x 2 models x 3 replicates."""
-    spec = prompts(spark, sf_dir, settings)
-    mno = F.create_map(*[F.lit(x) for kv in METHOD_NUMBERS.items() for x in kv])
-    models = F.array(*[F.struct(F.lit(m.id).alias("model"), F.lit(m.runtime).alias("runtime"),
-                                F.lit(MODEL_NUMBERS[m.id]).alias("pno"))
-                       for m in settings.models])
-    per_model = spec.select("*", F.try_element_at(mno, F.col("method")).alias("_mno"),
-                            F.explode(models).alias("_p"))
-    rows = (per_model.select("*", F.explode(F.sequence(F.lit(1), F.lit(settings.replicates)))
-                             .alias("replicate")).withColumn("_pno", F.col("_p.pno"))
-            .withColumn("_b", selector()))
-    b = F.col("_b")
-    other = F.when(F.col("answer") == settings.positive_label,
-                   F.lit(settings.negative_label)).otherwise(F.lit(settings.positive_label))
-    response = (F.when(b == 0, F.lit("")).when(b == 1, F.lit(REFUSAL_TEXT))
-                .when(b == 2, F.lit(HEDGED_TEXT)).when(b == 3, F.lit(SHOUTED_TEXT))
-                .when(b == 4, F.lit(MARKDOWN_TEXT)).when(b == 5, F.lit(TWO_LABELS_TEXT))
-                .when(b == 6, F.lit(None).cast("string"))
-                .when(b <= 15, F.concat(F.lit("Label: "), F.col("answer")))
-                .otherwise(F.concat(F.lit("Label: "), other)))
-    out = rows.select(
-        "prompt_id", F.col("_p.model").alias("model"), "method", "replicate",
-        F.col("_p.runtime").alias("runtime"), F.lit(settings.temperature).alias("temperature"),
-        F.when(b == 6, F.lit(ERROR_TEXT)).otherwise(F.lit("")).alias("error"),
-        F.lit("").alias("refusal"),
-        labels.truncated(response).alias("truncated"),
-        response.alias("response"),
-        *([b.alias("b"), "item_id", "shots"] if keep_selector else []))
-    return out
-
-
-def collected(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE) -> DataFrame:
+            keep_selector: bool = False, spec: DataFrame | None = None) -> DataFrame:
+    """The reply log: items x 6 (method, shots) x 2 models x 3 replicates, over
+    the prompt keys ``spec`` where a query has them."""
+    spec = prompts(spark, sf_dir, settings) if spec is None else spec
+    q = literal
+    mno = "map(" + ", ".join(f"{q(k)}, {v}" for k, v in METHOD_NUMBERS.items()) + ")"
+    models = "array(" + ", ".join(
+        f"named_struct('model', {q(m.id)}, 'runtime', {q(m.runtime)}, 'pno', {MODEL_NUMBERS[m.id]})" for m in settings.models) + ")"
+    rows = (spec.selectExpr("*", f"try_element_at({mno}, method) AS _mno", f"explode({models}) AS _p")
+            .selectExpr("*", "_p.pno AS _pno", f"explode(sequence(1, {settings.replicates})) AS replicate")
+            .selectExpr("*", f"{SELECTOR} AS _b"))
+    positive, negative = q(settings.positive_label), q(settings.negative_label)
+    response = (f"CASE WHEN _b = 0 THEN '' WHEN _b = 1 THEN {q(REFUSAL_TEXT)} WHEN _b = 2 THEN {q(HEDGED_TEXT)} "
+                f"WHEN _b = 3 THEN {q(SHOUTED_TEXT)} WHEN _b = 4 THEN {q(MARKDOWN_TEXT)} WHEN _b = 5 THEN {q(TWO_LABELS_TEXT)} "
+                f"WHEN _b = 6 THEN NULL WHEN _b <= 15 THEN concat('Label: ', answer) "
+                f"ELSE concat('Label: ', CASE WHEN answer = {positive} THEN {negative} ELSE {positive} END) END")
+    rows = rows.selectExpr("*", f"{response} AS response")
+    return rows.selectExpr(
+        "prompt_id", "_p.model AS model", "method", "replicate", "_p.runtime AS runtime",
+        f"CAST({settings.temperature} AS DOUBLE) AS temperature",
+        f"CASE WHEN _b = 6 THEN {q(ERROR_TEXT)} ELSE '' END AS error", "'' AS refusal",
+        "coalesce(NOT contains(response, 'Label:'), false) AS truncated", "response",
+        *(["_b AS b", "item_id", "shots"] if keep_selector else []))
+
+
+def collected(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE,
+              spec: DataFrame | None = None) -> DataFrame:
     """The part of the log already written (b < 12)."""
-    r = replies(spark, sf_dir, settings, keep_selector=True)
+    r = replies(spark, sf_dir, settings, keep_selector=True, spec=spec)
     return r.filter(F.col("b") < 12).drop("b", "item_id", "shots")
 
 
