@@ -257,7 +257,7 @@ def q_direction_pairs(spark, sf_dir):
               .agg(F.count(F.lit(1)).alias("items"))
               .withColumnRenamed("src_lang", "source_language")
               .withColumnRenamed("tgt_lang", "target_language"))
-    return (F.broadcast(dirs).join(counts, ["source_language", "target_language"], "left")
+    return (dirs.join(counts, ["source_language", "target_language"], "left")
             .select("position", "source_language", "target_language",
                     ids.direction_name(ids.language_name("source_language", names),
                                        ids.language_name("target_language", names))

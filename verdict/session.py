@@ -86,7 +86,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     master = spark.conf.get("spark.master", "") or ""
-    if not master.startswith("local"):
+    if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     path = tempfile.mkdtemp(prefix="verdict-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
