@@ -201,3 +201,20 @@ def test_agreement_of_the_stream_equals_batch(spark, scratch):
     seen = r.filter("not (model = 'org/beta' and replicate = 3)")
     want = metrics.replicate_agreement(judge.judgements(seen, fx.prompts(spark, SF_SMALL), FIXTURE), settings=FIXTURE)
     assert streaming.agreement_from_cells(got).collect() == want.collect()
+
+
+def test_damaged_log_lines_are_set_aside(spark, scratch, tmp_path):
+    good = '{"prompt_id":"p%d","model":"m","method":"baseline","replicate":1,"response":"Label: x","extra":[1]}'
+    lines = [good % 0, "", good % 1, '{"prompt_id":"p2","mod', '{"prompt_id":"p3","model":"m","method":"span","replicate":"one"}',
+             '{"prompt_id":"p4","model":"m","replicate":2}', "[]", "   ", '"text"', good % 5]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.jsonl").write_text("oops\n" + good % 6)
+    replies, damaged = tables.read_log_lines(spark, str(tmp_path))
+    assert sorted(r["prompt_id"] for r in replies.collect()) == ["p0", "p1", "p5", "p6"]
+    got = sorted((r["file"][-7:], r["line"], r["reason"]) for r in damaged.collect())
+    assert got == [("a.jsonl", 3, "not JSON"), ("a.jsonl", 4, "wrong type"), ("a.jsonl", 5, "no key"),
+                   ("a.jsonl", 6, "not JSON"), ("a.jsonl", 8, "not JSON"), ("b.jsonl", 0, "not JSON")]
+    assert all(r["value"] == lines[r["line"]] for r in damaged.where("file like '%a.jsonl'").collect())
+    for _ in range(2):  # again in place of the first account
+        assert tables.quarantine(damaged, f"{scratch}/q") == 6
+    assert replies.count() + 6 == sum(bool(x.strip()) for x in lines) + 2

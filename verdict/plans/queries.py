@@ -729,6 +729,25 @@ def _write_prompt_keys(spark, sf_dir, root):
     return spark.read.parquet(path)
 
 
+@register("log_quarantine", S.with_ctes(
+    "SELECT CASE WHEN b = 0 THEN 'not JSON' WHEN b = 1 THEN 'wrong type' WHEN b = 2 THEN 'no key' ELSE 'read' END AS reason, "
+    "count(*) AS lines FROM replies_b GROUP BY 1", ["replies_b"]))
+def q_log_quarantine(spark, sf_dir):
+    """A3: the reply log as JSON lines, some cut short, some with a value of
+    the wrong type, some without a key; what is read and what is set aside."""
+    root = scratch_dir(spark, "damaged-log")
+    r = fx.replies(spark, sf_dir, CFG, keep_selector=True).drop("item_id", "shots")
+    line = F.to_json(F.struct(*[c for c in r.columns if c != "b"]))
+    spoiled = (F.when(F.col("b") == 0, F.left(line, F.length(line) - 5))
+               .when(F.col("b") == 1, F.regexp_replace(line, '"replicate":', '"replicate":"x","was":'))
+               .when(F.col("b") == 2, F.regexp_replace(line, '"model":', '"molde":')).otherwise(line))
+    r.select(spoiled.alias("value")).write.text(f"{root}/log")
+    good, damaged = tables.read_log_lines(spark, f"{root}/log")
+    tables.quarantine(damaged, f"{root}/quarantine")
+    set_aside = spark.read.schema(damaged.schema).parquet(f"{root}/quarantine").select("reason")
+    return good.select(F.lit("read").alias("reason")).unionAll(set_aside).groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @register("stream_judgements", S.with_ctes(
     "SELECT prompt_id, model, replicate, method, shots, direction, answer, observed, "
     "parsed, refusal FROM judgements", ["judgements"]))

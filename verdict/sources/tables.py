@@ -81,6 +81,44 @@ def read_replies(spark: SparkSession, path: str, method: str | None = None,
     return df
 
 
+#: What a log line that cannot be read is put down to.
+NOT_JSON, WRONG_TYPE, NO_KEY = "not JSON", "wrong type", "no key"
+QUARANTINE = ["file", "range", "line", "reason", "value"]
+
+
+def read_log_lines(spark: SparkSession, path: str, schema: StructType = schemas.LOG) -> tuple[DataFrame, DataFrame]:
+    """A3 with a quarantine: (replies, damaged) of a JSON-lines log. Every line
+    that is not blank is in one of the two. ``damaged`` keeps the line as it
+    stands, with its reason and place: file, start of its byte range, and line
+    within the range (from 0). A line is damaged if it is no JSON object, if a
+    value is not of its column's type, or if the reply's key is not whole."""
+    told = StructType([*schema.fields, StructField("_damaged", StringType())])
+    lines = (spark.read.option("lineSep", "\n").text(path)
+             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"),
+                     F.monotonically_increasing_id().alias("_at"), "value"))
+    full = lines.where(F.trim(F.col("value")) != "")
+    read = full.withColumn("_r", F.from_json("value", told, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_damaged"}))
+    keyless = " OR ".join(f"_r.{k} IS NULL" for k in schemas.WORK_KEYS)
+    is_object = F.from_json("value", "map<string,string>").isNotNull()
+    reason = (F.when(F.col("_r").isNull() | F.col("_r._damaged").isNotNull(), F.when(is_object, F.lit(WRONG_TYPE)).otherwise(F.lit(NOT_JSON)))
+              .when(F.expr(keyless), F.lit(NO_KEY)))
+    marked = read.withColumn("reason", reason)
+    replies = marked.where("reason IS NULL").select(*[F.col(f"_r.{f.name}").alias(f.name) for f in schema.fields])
+    # Lines of a range are numbered in a row; its first number is its base.
+    base = lines.groupBy("file", "range").agg(F.min("_at").alias("_base"))
+    damaged = (marked.where("reason IS NOT NULL").select("file", "range", "_at", "reason", "value")
+               .join(base, ["file", "range"]).withColumn("line", F.col("_at") - F.col("_base")))
+    return replies, damaged.select(*QUARANTINE)
+
+
+def quarantine(damaged: DataFrame, sink: str) -> int:
+    """Writes the damaged lines of a log by reason, in place of an earlier
+    account of the same log. Returns their number."""
+    write_table(damaged, sink, columns=QUARANTINE, partition_by=["reason"])
+    kept = damaged.sparkSession.read.schema(damaged.schema).parquet(sink)
+    return kept.count()
+
+
 def write_table(df: DataFrame, path: str, columns: list[str] | None = None,
                 partition_by: list[str] | None = None, mode: str = "overwrite",
                 fmt: str = "parquet") -> str:
