@@ -95,3 +95,21 @@ def test_build_items_whitelist_and_ids(spark):
     assert [r["answer"] for r in got] == ["No hallucination", "Hallucination", "Hallucination"]
     assert got[0]["source_text"] == "a" and got[0]["target_text"] == "b"
     assert got[2]["target_text"] == "" and got[2]["direction"] == "English to French"
+
+
+def test_merged_states_draw_as_the_whole_corpus(spark):
+    import random
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "b", "c"]), rng.choice(["Hallucination", "No hallucination", "No hallucination"]), rng.randrange(4))
+            for i in range(400)] + [(1000 + i, "only", "Hallucination", i % 2) for i in range(5)]
+    items = spark.createDataFrame(rows, "item_id long, direction string, answer string, part int").cache()
+    for n in (1, 7, 30, 500):
+        states = [item_ops.sample_state(items.where(f"part = {k}").drop("part"), n, 3) for k in range(4)]
+        # In two steps, as a corpus grows; the part without rows changes nothing.
+        grown = item_ops.merge_sample_states([item_ops.merge_sample_states(states[:2], n, 3), *states[2:]], n, 3)
+        got = item_ops.sample_from_state(grown, n, 3, "Hallucination")
+        want = item_ops.stratified_sample(items.drop("part"), n, 3, "Hallucination")
+        assert set(got.columns) == set(want.columns)
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert grown.groupBy().sum("_count").first()[0] == len(rows)
+    items.unpersist()

@@ -107,6 +107,52 @@ def stratified_sample(items: DataFrame, per_direction: int, seed: int,
             .drop("_rn", "_kpos", "_kneg"))
 
 
+def _draw_order(seed: int, key: str) -> list[F.Column]:
+    return [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)]
+
+
+def sample_state(items: DataFrame, per_direction: int, seed: int, direction: str = "direction",
+                 label: str = "answer", key: str = "item_id") -> DataFrame:
+    """W2 as a state to keep beside the items: of each (direction, label) the
+    ``per_direction`` first items in draw order, and how many there are
+    (``_count``, on the first of them). States of parts of a corpus merge, so a
+    corpus that grows is drawn from again without being read again."""
+    if per_direction < 1:
+        raise ValueError("a state holds a bounded number of items a direction")
+    w = Window.partitionBy(direction, label).orderBy(*_draw_order(seed, key))
+    first = items.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.lit(int(per_direction)))
+    counts = items.groupBy(direction, label).agg(F.count(F.lit(1)).alias("_n"))
+    return (first.join(counts, [direction, label])
+            .withColumn("_count", F.when(F.col("_rn") == 1, F.col("_n")).otherwise(F.lit(0)).cast("long")).drop("_n", "_rn"))
+
+
+def merge_sample_states(states: list[DataFrame], per_direction: int, seed: int, direction: str = "direction",
+                        label: str = "answer", key: str = "item_id") -> DataFrame:
+    """The state of all parts together; a group has at most ``per_direction``
+    rows of each state."""
+    both = states[0]
+    for s in states[1:]:
+        both = both.unionByName(s)
+    group = Window.partitionBy(direction, label)
+    ranked = both.withColumns({"_all": F.sum("_count").over(group), "_rn": F.row_number().over(group.orderBy(*_draw_order(seed, key)))})
+    return (ranked.filter(F.col("_rn") <= F.lit(int(per_direction)))
+            .withColumn("_count", F.when(F.col("_rn") == 1, F.col("_all")).otherwise(F.lit(0)).cast("long")).drop("_all", "_rn"))
+
+
+def sample_from_state(state: DataFrame, per_direction: int, seed: int, positive: str, direction: str = "direction",
+                      label: str = "answer", key: str = "item_id") -> DataFrame:
+    """The draw of ``stratified_sample`` over every item the state stands for
+    (or a smaller one: any number up to the state's own)."""
+    y = F.col(label) == F.lit(positive)
+    quota = state.groupBy(direction).agg(F.sum("_count").alias("_n"), F.sum(F.when(y, F.col("_count")).otherwise(F.lit(0))).alias("_pos"))
+    quota = quota.selectExpr(f"`{direction}`", "_n", "_pos", f"least({int(per_direction)}, _n) AS _wanted")
+    quota = quota.selectExpr(f"`{direction}`", "_n", "_pos", "_wanted", "least(_pos, CAST(bround(_wanted * (_pos / _n), 0) AS BIGINT)) AS _kpos")
+    quota = quota.selectExpr(f"`{direction}`", "_kpos", "least(_n - _pos, _wanted - _kpos) AS _kneg")
+    w = Window.partitionBy(direction, label).orderBy(*_draw_order(seed, key))
+    return (state.withColumn("_rn", F.row_number().over(w)).join(quota, direction)
+            .filter(F.col("_rn") <= F.when(y, F.col("_kpos")).otherwise(F.col("_kneg"))).drop("_rn", "_kpos", "_kneg", "_count"))
+
+
 def direction_balance(items: DataFrame, positive: str) -> DataFrame:
     """M8 + M15: items and hallucinated share per direction, and the number of
     distinct directions: a scalar subquery counting the aggregated rows (one

@@ -202,7 +202,7 @@ def q_item_ids(spark, sf_dir):
                       F.col("position").cast("long").alias("position"))
 
 
-@register("stratified_sample", S.with_ctes(
+_SAMPLED = S.with_ctes(
     "SELECT item_id, direction, answer FROM ("
     " SELECT i.*, q.kpos, q.kneg, row_number() OVER (PARTITION BY i.direction, i.answer "
     f"  ORDER BY md5(concat_ws('|', '{CFG.sample_seed}', CAST(i.item_id AS VARCHAR))), i.item_id) AS rn"
@@ -213,13 +213,25 @@ def q_item_ids(spark, sf_dir):
                   f"least({CFG.items_per_direction}, count(*)) AS wanted FROM items GROUP BY direction",
         "quota0": "SELECT direction, n, pos, wanted, least(pos, CAST(round_even(wanted * "
                   "(CAST(pos AS DOUBLE) / n), 0) AS BIGINT)) AS kpos FROM counts",
-        "quota": "SELECT direction, kpos, least(n - pos, wanted - kpos) AS kneg FROM quota0"}))
+        "quota": "SELECT direction, kpos, least(n - pos, wanted - kpos) AS kneg FROM quota0"})
+
+
+@register("stratified_sample", _SAMPLED)
 def q_stratified_sample(spark, sf_dir):
     s = item_ops.stratified_sample(_items(spark, sf_dir), CFG.items_per_direction,
                                    CFG.sample_seed, CFG.positive_label)
     return s.select("item_id", "direction", "answer")
 
 
+@register("sample_merged", _SAMPLED)
+def q_sample_merged(spark, sf_dir):
+    """W2 from states of three parts of the corpus, merged."""
+    i = _items(spark, sf_dir).select("item_id", "direction", "answer")
+    how = (CFG.items_per_direction, CFG.sample_seed)
+    states = [item_ops.sample_state(i.where(F.pmod(F.xxhash64("item_id"), F.lit(3)) == k), *how) for k in range(3)]
+    return item_ops.sample_from_state(item_ops.merge_sample_states(states, *how), *how, CFG.positive_label)
+
+
 @register("direction_balance", S.with_ctes(
     f"SELECT direction, count(*) AS items, count(*) FILTER (WHERE answer = {POS}) / count(*) "
     "AS hallucinated, count(*) OVER () AS directions FROM items GROUP BY direction", ["items"]))
