@@ -123,3 +123,25 @@ def test_lengths_approx_median_close(spark):
               for r in prompt_ops.prompt_lengths(p, approx_accuracy=100000).collect()}
     for m in exact:
         assert abs(exact[m] - approx[m]) <= max(2.0, 0.05 * exact[m])
+
+
+def test_length_states_merge_within_the_sketch_bound(spark):
+    import bisect
+    import random
+    from verdict.operators import prompts as prompt_ops
+    rng = random.Random(4)
+    rows = [(m, k % 5, int(rng.expovariate(1 / 60)) + (1000 if k % 17 == 0 else 0)) for m in ("baseline", "span") for k in range(12_000)]
+    df = (spark.createDataFrame(rows, "method string, part int, n int")
+          .selectExpr("method", "part", "array_join(array_repeat('w', n), ' ') AS prompt"))
+    exact = {r["method"]: r for r in prompt_ops.prompt_lengths(df).collect()}
+    # Parts come one after another, each kept as two rows.
+    state = prompt_ops.length_state(df.where("part = 0"))
+    for part in range(1, 5):
+        state = prompt_ops.merge_length_states(state.unionByName(prompt_ops.length_state(df.where(f"part = {part}"))))
+    for r in prompt_ops.lengths_from_state(state).collect():
+        want = exact[r["method"]]
+        assert (r["mean_words"], r["max_words"]) == (want["mean_words"], want["max_words"])
+        own = sorted(n for m, _, n in rows if m == r["method"])
+        low, high = bisect.bisect_left(own, r["median_words"]) / len(own), bisect.bisect_right(own, r["median_words"]) / len(own)
+        assert low - 0.03 <= 0.5 <= high + 0.03
+    assert state.selectExpr("max(octet_length(sketch))").first()[0] < 50_000

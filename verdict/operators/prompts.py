@@ -150,6 +150,35 @@ def prompt_lengths(prompts: DataFrame, approx_accuracy: int | None = None) -> Da
                  F.max("_w").alias("max_words")))
 
 
+#: Size of a length sketch: the median's rank is off by 0.9 % at most, 99 times of 100.
+SKETCH_K = 400
+
+
+def length_state(prompts: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """M12 as a state to keep beside a part of the prompts: per method the
+    number, the words in all, the longest, and a quantile sketch of bounded
+    size (some kilobytes) in which any number of prompts fits."""
+    return (prompts.select("method", text.word_count("prompt").cast("long").alias("_w")).groupBy("method")
+            .agg(F.count(F.lit(1)).alias("prompts"), F.sum("_w").alias("words"), F.max("_w").alias("longest"),
+                 F.kll_sketch_agg_bigint("_w", F.lit(k)).alias("sketch")))
+
+
+def merge_length_states(states: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """One state for all parts, from the rows of their states."""
+    return states.groupBy("method").agg(
+        F.sum("prompts").alias("prompts"), F.sum("words").alias("words"), F.max("longest").alias("longest"),
+        F.kll_merge_agg_bigint("sketch", F.lit(k)).alias("sketch"))
+
+
+def lengths_from_state(state: DataFrame) -> DataFrame:
+    """The profile of ``prompt_lengths``: mean and longest exact, the median
+    from the sketch."""
+    return state.select(
+        "method", F.bround(F.col("words") / F.col("prompts"), 0).alias("mean_words"),
+        F.kll_sketch_get_quantile_bigint("sketch", F.lit(0.5)).cast("double").alias("median_words"),
+        F.col("longest").alias("max_words"))
+
+
 def first_per_method(prompts: DataFrame) -> DataFrame:
     """The first prompt of each method, in table order (shots, then item).
     The first is found on keys alone; its text comes by a broadcast of those
