@@ -45,12 +45,13 @@ _SCOPES: list[list[str]] = []
 def stage(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write a frame once under the shared folder and read it back: cuts the
     lineage, survives lost executors, and fixes generated row ids. Inside a
-    ``scope`` the files go when it ends, unless ``keep``."""
+    ``scope`` the files go when it ends; with ``keep`` they go with the scope
+    around it, if any."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/llm/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _SCOPES and not keep:
-        _SCOPES[-1].append(path)
+    if len(_SCOPES) > keep:
+        _SCOPES[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
