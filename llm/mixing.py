@@ -32,6 +32,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
 #: Words of a block, slots of an output shard, children of a tree node.
 BLOCK, SLOTS, FANOUT = 256, 4096, 64
+#: Slots that one task draws, about.
+TASK_SLOTS = 1 << 16
 SEED = 20
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -62,8 +64,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def permute(i: np.ndarray, n: int, key: int) -> np.ndarray:
-    """A pseudorandom permutation of 0..n-1, evaluated at i."""
+def permute(i: np.ndarray, n: int, key: list[int], inverse: bool = False) -> np.ndarray:
+    """A pseudorandom permutation of 0..n-1, or its inverse, evaluated at i."""
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
     mask, x = np.uint64((1 << half) - 1), i.astype(np.uint64)
     keys = [np.uint64(int(k)) for k in np.random.SeedSequence(key).generate_state(4, np.uint64)]
@@ -71,8 +73,11 @@ def permute(i: np.ndarray, n: int, key: int) -> np.ndarray:
     while todo.any():
         y = x[todo]
         left, right = y >> np.uint64(half), y & mask
-        for k in keys:
-            left, right = right, left ^ (_mix(right ^ k) & mask)
+        for k in reversed(keys) if inverse else keys:
+            if inverse:
+                left, right = right ^ (_mix(left ^ k) & mask), left
+            else:
+                left, right = right, left ^ (_mix(right ^ k) & mask)
         x[todo] = left << np.uint64(half) | right
         todo &= x >= np.uint64(n)
     return x.astype(np.int64)
@@ -90,42 +95,46 @@ def _plan(sid: int, size: int, target: float, block: int, seed: int) -> tuple[in
     full, rest = divmod(words, size)
     if not rest:
         return n, full * n, 0  # 0: the last slot is whole
-    short, at_short = size - (n - 1) * block, None
-    key = _epoch_key(sid, full, seed)
-    # Slots of the begun epoch until `rest` words are reached; the source's
-    # short block may be among them.
+    short = size - (n - 1) * block
+    # The slots of the begun epoch until `rest` words are reached; the slot of
+    # the source's short block may be among them.
+    at_short = int(permute(np.array([n - 1]), n, _epoch_key(sid, full, seed), inverse=True)[0])
     r = -(-rest // block)
-    chunk = 1 << 16
-    for lo in range(0, min(n, r + 1), chunk):
-        at = permute(np.arange(lo, min(n, r + 1, lo + chunk)), n, key)
-        hit = np.flatnonzero(at == n - 1)
-        if len(hit):
-            at_short = lo + int(hit[0])
-            break
-    lost = block - short if at_short is not None and at_short < r else 0
+    lost = block - short if at_short < r else 0
     if r * block - lost < rest:
         r += 1
-        lost = block - short if at_short is not None and at_short < r else 0
+        lost = block - short if at_short < r else 0
     last = rest - (r * block - lost - (short if at_short == r - 1 else block))
     return n, full * n + r, last
 
 
+def _without_replacement(rng: np.random.Generator, good: int, rest: int, k: int) -> int:
+    """How many of k slots, drawn from good + rest, are good (hypergeometric), by
+    inversion: the weights come from the exact ratios of neighbours, summed from
+    12 standard deviations and 64 below the mode to as much above, beyond which
+    less lies than a double resolves."""
+    total = good + rest
+    mode, p = (k + 1) * (good + 1) // (total + 2), good / total
+    width = int(12 * (k * p * (1 - p) * (total - k) / max(1, total - 1)) ** 0.5) + 64
+    lo, hi = max(0, k - rest, mode - width), min(good, k, mode + width)
+    x = np.arange(lo, hi, dtype=np.float64)
+    step = np.log(good - x) + np.log(k - x) - np.log(x + 1) - np.log(rest - k + x + 1)
+    weight = np.concatenate([[0.0], np.cumsum(step)])
+    below = np.cumsum(np.exp(weight - weight.max()))
+    return lo + min(int(np.searchsorted(below, rng.random() * below[-1], "right")), hi - lo)
+
+
 def _hyper(rng: np.random.Generator, counts: np.ndarray, k: int) -> np.ndarray:
     """k slots drawn without replacement from the sources' counts: a
-    multinomial draw given the totals. Beyond what numpy draws exactly (1e9)
-    a rounded normal draw of the same mean and variance stands in."""
+    multinomial draw given the totals."""
     out, left = np.zeros_like(counts), int(counts.sum())
     for s, c in enumerate(counts.tolist()):
         if not k:
             break
-        rest = left - c
-        if left < 1_000_000_000:
-            x = int(rng.hypergeometric(c, rest, k)) if c and rest else (min(c, k) if c else 0)
-        else:
-            p = c / left
-            x = round(rng.normal(k * p, (k * p * (1 - p) * (left - k) / max(1, left - 1)) ** 0.5))
-            x = min(max(x, 0, k - rest), c, k)
-        out[s], k, left = x, k - x, rest
+        left -= c
+        if c:
+            out[s] = _without_replacement(rng, c, left, k)
+            k -= int(out[s])
     return out
 
 
@@ -184,8 +193,10 @@ def pack(docs: DataFrame, seed: int = SEED, numbered: bool = False) -> tuple[Dat
     and ``sid``. Equal rows are told apart by uid only; ``numbered`` docs bring
     a fixed one along.
 
-    Places are running sums in two steps (within hash buckets, then over the
-    buckets), so no source, however large, meets in one task."""
+    A source's order is by a hash of (doc_id, size), then uid. Places are running
+    sums in three steps, so neither a source nor a repeated (doc_id, size) meets
+    in one task: within the rows that share the hash and the partition they came
+    from, over such groups within hash buckets, and over the buckets."""
     spark = docs.sparkSession
     uid = F.col("uid") if numbered else F.monotonically_increasing_id()
     docs = docs.select("doc_id", "source", "size", uid.alias("uid"))
@@ -195,15 +206,20 @@ def pack(docs: DataFrame, seed: int = SEED, numbered: bool = False) -> tuple[Dat
     buckets = common.ordered(spark, sum(r.n for r in per))
     names = spark.createDataFrame([(i, r.source) for i, r in enumerate(per)], "sid int, source_name string")
     rows = rows.join(names, F.col("source").eqNullSafe(F.col("source_name"))).drop("source_name")
-    rows = rows.withColumn("bucket", F.pmod("mix_h", F.lit(buckets)).cast("int"))
-    whole = Window.partitionBy("sid", "bucket")
-    inner = whole.orderBy("mix_h", "uid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offs = (rows.groupBy("sid", "bucket").agg(F.sum("size").alias("s"))
-            .select("sid", "bucket", (F.sum("s").over(
-                Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).alias("before")))
-    placed = (rows.withColumn("run", F.sum("size").over(inner)).join(offs, ["sid", "bucket"])
-              .withColumn("start", F.coalesce("before", F.lit(0)) + F.col("run") - F.col("size"))
-              .drop("before", "run", "mix_h", "bucket"))
+    group = ["sid", "mix_h", "came"]
+    rows = rows.withColumn("came", F.shiftright("uid", 33))  # the partition, by the id's upper bits
+    groups = (rows.groupBy(*group).agg(F.sum("size").alias("s"))
+              .withColumn("bucket", F.pmod("mix_h", F.lit(buckets)).cast("int")))
+    earlier = Window.partitionBy("sid", "bucket").orderBy("mix_h", "came").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("s").over(earlier), F.lit(0))
+    offs = (groups.groupBy("sid", "bucket").agg(F.sum("s").alias("s"))
+            .select("sid", "bucket", F.coalesce(F.sum("s").over(
+                Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")))
+    groups = groups.withColumn("before", before).join(offs, ["sid", "bucket"]).select(*group, (F.col("base") + F.col("before")).alias("first"))
+    inner = Window.partitionBy(*group).orderBy("uid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = (rows.withColumn("run", F.sum("size").over(inner)).join(groups, group)
+              .withColumn("start", F.col("first") + F.col("run") - F.col("size"))
+              .drop("first", "run", "mix_h", "came"))
     return placed, per
 
 
@@ -214,9 +230,14 @@ def draw(spark, plan: list[tuple], seed: int = SEED, slots: int = SLOTS, block:
     counts, zero = np.array([p[2] for p in plan], np.int64), np.zeros(len(plan), np.int64)
     kind = "lo long, hi long, counts binary, starts binary"
     root = [(0, shards, counts.tobytes(), zero.tobytes())] if total else []
-    nodes, width = spark.createDataFrame(root, kind), shards
+    # A node is a few bytes and unfolds to many slots, so the number of tasks is
+    # stated: some TASK_SLOTS each, more where that makes over `most` of them.
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (TASK_SLOTS << 6)))
+    tasks = min(-(-total // TASK_SLOTS), most)
+    nodes, width, made = spark.createDataFrame(root, kind), shards, 1
     while width > 1:
-        nodes = nodes.mapInPandas(_split(seed, slots, total), kind).repartition("lo")
+        made = min(shards, made * FANOUT)
+        nodes = nodes.mapInPandas(_split(seed, slots, total), kind).repartition(max(1, min(made, tasks)), "lo")
         width = -(-width // FANOUT)
     return nodes.mapInPandas(_draw(plan, seed, block),
                              "shard long, position long, sid int, epoch int, block long, words int")
@@ -258,18 +279,27 @@ def taken(docs: DataFrame, **how) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix as documents: for each epoch a row of a document's words taken
-    in it (the text as it is where all are), with the columns of docs. So a
-    source above its size repeats its documents, one below gives parts."""
+    """The mix as documents with the columns of docs: for each epoch, a row for
+    each unbroken run of a document's words taken in it. A run of all words is
+    the text as it is; another is cut out of the text from its first word to
+    its last, with the white space between. So a source above its size repeats
+    its documents, one below gives parts; documents without words, and those of
+    which nothing was drawn, are not in the mix."""
     cols = docs.columns
     whole = common.stage(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*cols).alias("row")), "whole")
     # Places and draws run on narrow rows; the texts move once, to be cut.
     rows, pieces = mix(whole.select("uid", "row.doc_id", "row.source", common.word_count(F.col("row.text")).alias("size")), numbered=True, **how)
-    per = (pieces.groupBy("uid", "epoch").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("first", "n"))).alias("runs"))
+    # Runs that touch have the same distance from the words taken before them.
+    before = Window.partitionBy("uid", "epoch").orderBy("first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = (pieces.withColumn("gap", F.col("first") + F.col("n") - F.sum("n").over(before))
+            .groupBy("uid", "epoch", "gap").agg(F.min("first").alias("first"), F.sum("n").alias("n")))
+    per = (runs.groupBy("uid", "epoch").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("runs"))
            .join(rows.select("uid", "size"), "uid"))
-    part = F.col("n") < F.col("size")
-    ws = F.when(part, F.regexp_extract_all("row.text", F.lit(common.WORD), F.lit(0)))
-    cut = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice("ws", r["first"].cast("int") + 1, r["n"].cast("int")))), " ")
-    out = whole.join(per, "uid").withColumn("ws", ws).withColumn("new", F.when(part, cut).otherwise(F.col("row.text")))
+    all_words = F.col("runs")[0]["n"] == F.col("size")
+    ws = F.when(~all_words, F.regexp_extract_all("row.text", F.lit(common.WORD + "[\\x20\\x09-\\x0D]*"), F.lit(0)))
+    parts = F.transform("runs", lambda r: F.regexp_replace(
+        F.array_join(F.slice("ws", r["first"].cast("int") + 1, r["n"].cast("int")), ""), "[\\x20\\x09-\\x0D]+\\z", ""))
+    out = (whole.join(per, "uid").select("row", "runs", "size", ws.alias("ws"))
+           .select("row", F.explode(F.when(all_words, F.array("row.text")).otherwise(parts)).alias("new")))
     put = {"text": F.col("new"), "n_chars": F.char_length("new").cast("long")}
     return out.select(*[put[c].alias(c) if c in put else F.col("row").getField(c).alias(c) for c in cols])

@@ -1,6 +1,7 @@
 """Every query over small tables and over odd ones, against SQL or brute force."""
 
 import collections
+import math
 import random
 import zlib
 
@@ -60,16 +61,60 @@ def test_targets_and_permutations():
         assert sorted(mixing.permute(np.arange(n), n, [1, n]).tolist()) == list(range(n))
 
 
+def test_inverse_permutation():
+    for n in (1, 2, 7, 64, 1000, 50_001):
+        i = np.arange(min(n, 2000))
+        assert (mixing.permute(mixing.permute(i, n, [1, n]), n, [1, n], inverse=True) == i).all()
+
+
+def test_plan_by_replay():
+    """The slots of a source, drawn one by one, reach the target exactly."""
+    for size, target in ((1, 2), (255, 300), (256, 256), (257, 400), (5000, 7300), (5000, 9999), (70_001, 3_000), (70_001, 69_999)):
+        n, slots, last = mixing._plan(0, size, target, 256, 20)
+        words = 0
+        for k in range(slots):
+            block = int(mixing.permute(np.array([k % n]), n, mixing._epoch_key(0, k // n, 20))[0])
+            words += last if last and k == slots - 1 else size - (n - 1) * 256 if block == n - 1 else 256
+        assert words == target, (size, target)
+
+
+def test_draw_without_replacement():
+    """Every split of a small urn at its probability; a mean beyond 10^9."""
+    rng = np.random.default_rng(1)
+    got = collections.Counter(mixing._without_replacement(rng, 5, 7, 4) for _ in range(20_000))
+    for x in range(5):
+        assert abs(got[x] / 20_000 - math.comb(5, x) * math.comb(7, 4 - x) / math.comb(12, 4)) < 0.015
+    big = [mixing._without_replacement(rng, 30_000_000_000, 30_000_000_000, 1_000_000) for _ in range(300)]
+    assert abs(np.mean(big) - 500_000) < 150 and 400 < np.std(big) < 600
+    assert mixing._hyper(rng, np.array([3, 0, 4]), 7).tolist() == [3, 0, 4]
+
+
+def test_places_of_a_hot_document(spark):
+    """A repeated id and size: places without gap or overlap, over partitions."""
+    rows = [(1, "a", 10)] * 300 + [(None, "a", 0)] * 50 + [(i, "a", i % 7) for i in range(100)]
+    placed, _ = mixing.pack(spark.createDataFrame(rows, "doc_id long, source string, size long").repartition(5))
+    got = sorted((r.start, r["size"]) for r in placed.collect())
+    at = 0
+    for start, size in got:
+        assert start == at
+        at += size
+    assert at == 3000 + sum(i % 7 for i in range(100))
+
+
 def test_mixed_documents_hold_the_words_taken(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     rows = mixing.mixed_documents(docs, block=16).collect()
     total = sum(len(r.text.encode().split()) for r in rows)
-    sizes = collections.Counter()
+    sizes, texts = collections.Counter(), collections.defaultdict(list)
     for r in docs.collect():
         sizes[r.source] += len((r.text or "").encode().split())
+        texts[r.doc_id].append(r.text or "")
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     assert abs(total - sum(mixing.targets([sizes[s] for s in names], [(3.0, 1.0, 2.0)[i % 3] for i in range(len(names))]))) < len(names)
     assert all(r.n_chars == len(r.text) for r in rows)
+    # Each row is one unbroken piece of its document, white space as it was.
+    assert all(any(r.text in t for t in texts[r.doc_id]) for r in rows)
+    assert any(all(r.text != t for t in texts[r.doc_id]) for r in rows)
 
 
 def check_shards(rows, total):
