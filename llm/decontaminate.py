@@ -124,9 +124,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, wid
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any benchmark window, with their own columns."""
-    cols = docs.columns
-    named = docs.select(F.xxhash64("doc_id", "text").alias("_row"), *cols)
-    bad = (contamination(named, benchmark, key="_row")
+    """The documents without any benchmark window, with their own columns. Rows
+    meet their verdict by the md5 of id and text: equal rows share one."""
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
+    named = docs.select(key.alias("_row"), F.struct(*docs.columns).alias("row"))
+    bad = (contamination(named.select("_row", "row.text"), benchmark, key="_row")
            .where("contaminated").select("_row").distinct())
-    return named.join(bad, "_row", "left_anti").select(*cols)
+    return named.join(bad, "_row", "left_anti").select("row.*")

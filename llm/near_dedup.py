@@ -350,7 +350,8 @@ _NULL = (1 << 63) - 1
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, th (hash of the text),
     n_shingles, component_id (the smallest doc_id linked with it over any
-    number of links, itself included)."""
+    number of links, itself included), kept (no text in its group has a smaller
+    doc_id, ids before none, or of equal ones a smaller th)."""
     with common.scope(docs.sparkSession):
         return common.stage(_near_duplicates(docs, width, percent), "components", keep=True)
 
@@ -370,27 +371,28 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     if first.where("not ok").limit(1).count():
         links = links.unionAll(common.stage(_more_links(leaves, forest, first, docs, reps, width, percent), "more"))
     roots = components(links.select("a", "b"))
-    named = (reps.select("rid", "c1", "c2", "doc").join(roots.withColumnRenamed("v", "rid"), "rid", "left")
+    named = (reps.select("rid", "c1", "c2", F.struct("doc", "th").alias("own")).join(roots.withColumnRenamed("v", "rid"), "rid", "left")
              .withColumn("root", F.coalesce("u", "rid")))
-    group = named.groupBy("root").agg(F.min("doc").alias("component"))
-    classes = named.join(group, "root").select("c1", "c2", "component")
+    group = named.groupBy("root").agg(F.min("own").alias("least"))
+    classes = named.join(group, "root").select("c1", "c2", "least")
     out = rows.select("doc_id", "th", "n", "c1", "c2").join(classes, ["c1", "c2"], "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.nullif("component", F.lit(_NULL)))
-    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    alone = F.col("n") == 0
+    component = F.when(alone, F.col("doc_id")).otherwise(F.nullif("least.doc", F.lit(_NULL)))
+    kept = alone | ((F.coalesce("doc_id", F.lit(_NULL)) == F.col("least.doc")) & (F.col("th") == F.col("least.th")))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def kept_documents(docs: DataFrame, width: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
-    """docs without near duplicates: of each group the row with the smallest
-    doc_id stays, one of them if rows repeat; texts without words all stay, and
-    so do different texts of a group in which no row has a doc_id."""
-    cols, keys = docs.columns, ["_d", "_t"]
+    """docs without near duplicates: of each group one row stays, that with the
+    smallest doc_id (rows without one come last), then the smallest hash of the
+    text; equal rows are one. Texts without words all stay."""
+    keys = ["d", "t"]
     flags = common.stage(near_duplicates(docs, width, percent).where("n_shingles > 0").select(
-        F.coalesce("doc_id", F.lit(_NULL)).alias("_d"), F.col("th").alias("_t"),
-        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "flags")
+        F.coalesce("doc_id", F.lit(_NULL)).alias("d"), F.col("th").alias("t"), "kept"), "flags")
     drop = flags.where(~F.col("kept")).select(*keys).distinct()
-    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)), "_t": F.xxhash64("text")})
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("d"), F.xxhash64("text").alias("t"))
     again = common.stage(flags.where("kept").groupBy(*keys).count().where("count > 1").select(*keys), "again")
     if not again.limit(1).count():
-        return keyed.join(drop, keys, "left_anti").select(*cols)
+        return keyed.join(drop, keys, "left_anti").select("row.*")
     one = keyed.join(again, keys, "left_semi").dropDuplicates(keys)
-    return keyed.join(drop.unionAll(again), keys, "left_anti").unionAll(one).select(*cols)
+    return keyed.join(drop.unionAll(again), keys, "left_anti").unionAll(one).select("row.*")
