@@ -16,10 +16,13 @@ their own, kept in a bounded table of compiled runs.
 
 A text is read in chunks of ``CHUNK`` characters. A chunk's state map says what
 it does to any state it may be entered in: (head, count, tail, cut): the
-characters it feeds to the state that comes in, then, behind its first cut
-before a space, a fixed count and the characters that the state at its end has
-read since its last such cut. Maps compose associatively; the chunks of a long
-text are composed by a scan in rounds of ``ROUND`` neighbours across tasks.
+characters it feeds to the state that comes in, then, behind its first cut, a
+fixed count and the characters that the state at its end has read since its last
+cut. Head and tail hold no cut, so in prose of any script, in code, base64 or
+empty lines they are a word's length at most; only a run whose every two
+neighbours stand together in some piece (one letter repeated) stays whole. Maps
+compose associatively; the chunks of a long text are composed by a scan in
+rounds of ``ROUND`` neighbours across tasks.
 
 Nulls count as empty texts; an empty text has no tokens; a null doc_id stays
 null; repeated rows each get a count. The model's path is a parameter.
@@ -132,28 +135,33 @@ class Counter:
     def __init__(self, scores: dict[str, float]):
         self.machine, self.known = Transducer(scores), {}
 
+    def parts(self, parts: list[str]) -> int:
+        """Tokens of runs without cuts."""
+        if len(self.known) > _WORDS:
+            self.known.clear()
+        known, count, n = self.known, self.machine.count, 0
+        for p in parts:
+            m = known.get(p)
+            if m is None:
+                m = count(p)
+                if len(p) <= 64:
+                    known[p] = m
+            n += m
+        return n
+
     def run(self, run: str) -> int:
         n = self.known.get(run)
         if n is None:
-            if len(self.known) > _WORDS:
-                self.known.clear()
-            parts, known, count = self.machine.cuts(run), self.known, self.machine.count
-            n = 0
-            for p in parts:
-                m = known.get(p)
-                if m is None:
-                    m = count(p)
-                    if len(p) <= 64:
-                        known[p] = m
-                n += m
+            n = self.parts(self.machine.cuts(run))
             if len(run) <= 64:
-                known[run] = n
+                self.known[run] = n
         return n
 
     def state_map(self, chunk: str) -> tuple[str, int, str, bool]:
         """(head, count, tail, cut) of a chunk in the vocabulary's alphabet."""
         parts = chunk.split(SPACE)
-        # A cut lies before a space mark that follows another character.
+        # A cut lies before a space mark that follows another character, and
+        # wherever else no piece spans two neighbours.
         runs, gap = [parts[0]], 0
         for p in parts[1:]:
             gap += 1
@@ -164,25 +172,27 @@ class Counter:
             runs.append(SPACE * gap)
         if not parts[0]:  # begins with a space mark: nothing known of what is before
             runs = runs[1:] or [""]
+        first = self.machine.cuts(runs[0])
         if len(runs) == 1:
-            return runs[0], 0, "", False
+            return (first[0], self.parts(first[1:-1]), first[-1], True) if len(first) > 1 else (runs[0], 0, "", False)
+        last = self.machine.cuts(runs[-1])
         run, known = self.run, self.known
-        total = 0
+        total = self.parts(first[1:]) + self.parts(last[:-1])
         for r in runs[1:-1]:
             n = known.get(r)
             total += run(r) if n is None else n
-        return runs[0], total, runs[-1], True
+        return first[0], total, last[-1], True
 
     def compose(self, a: tuple, b: tuple) -> tuple:
-        """The map of a, then b. Between them lies a cut if a's last character
-        is no space mark and b's first is one."""
+        """The map of a, then b. Between them lies a cut if no piece spans a's
+        last character and b's first."""
         if not a[0] and not a[3]:
             return b
         if not b[0] and not b[3]:
             return a
         open_end = a[2] if a[3] else a[0]
         # b[0] empty and cut: cannot be, a map with a cut has a head.
-        if not open_end.endswith(SPACE) and b[0].startswith(SPACE):
+        if open_end[-1] + b[0][0] not in self.machine.pairs:
             if a[3]:
                 done = (a[0], a[1] + self.run(open_end), b[0], True)
             else:
