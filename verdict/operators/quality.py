@@ -3,14 +3,14 @@
 Each check is a count of offending rows (0 = pass), returned as one table
 ``(check, failures)``; ``assert_clean`` raises on any failure. The data
 checks are aggregations; the settings checks run over the small dimension
-tables.
+tables. A build counts most of them while it writes (``Watch``).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import dimensions
@@ -105,6 +105,59 @@ def quality_checks(items: DataFrame, prompts: DataFrame, settings: Settings) ->
     return reduce(DataFrame.unionByName, parts)
 
 
+class Watch:
+    """Q-1..Q-5 and J8 counted while a build writes its tables: the same table
+    as ``quality_checks`` without reading a text again.
+
+    Texts and answer formats are observed on the rows as they go to the sink.
+    Observed counts come from the writing stage itself, whose tasks count once
+    each, retries included. Items sorted by id have equal ids side by side, so
+    repeats are numbered on the sort's own exchange; else, and for prompts, which
+    no exchange precedes, a later pass reads the id column alone. A prompt is
+    made from one of the items row by row, so only a null id names no item."""
+
+    def __init__(self, spark: SparkSession, settings: Settings):
+        self.spark, self.settings = spark, settings
+        self._seen: list[Observation] = []
+        self._later: list[DataFrame] = []
+
+    def _observe(self, df: DataFrame, counts: dict) -> DataFrame:
+        seen = Observation()
+        self._seen.append(seen)
+        return df.observe(seen, *[c.alias(n) for n, c in counts.items()])
+
+    def items(self, items: DataFrame, by_id: bool) -> DataFrame:
+        """The items to write; ``by_id`` if they come sorted by ``item_id``."""
+        empty = lambda c: F.count_if(F.coalesce(F.col(c), F.lit("")) == "")
+        counts = {"item_without_source": empty("source_text"), "item_without_translation": empty("target_text")}
+        if not by_id:
+            return self._observe(items, counts)
+        nth = F.row_number().over(Window.partitionBy("item_id").orderBy("item_id"))
+        return self._observe(items.withColumn("_nth", nth),
+                             counts | {"item_id_repeated": F.count_if(F.col("_nth") == 2)}).drop("_nth")
+
+    def prompts(self, prompts: DataFrame, marker: str = "Label:") -> DataFrame:
+        """The prompts to write, of the settings' methods."""
+        unasked = ~F.contains("prompt", F.lit(marker))
+        methods = sorted({m for m, _ in self.settings.prompt_methods()})
+        wrong = [F.max(F.when((F.col("method") == m) & unasked, 1).otherwise(0)) for m in methods]
+        total = reduce(lambda a, b: a + b, wrong) if wrong else F.max(F.lit(0))
+        return self._observe(prompts, {
+            "prompt_rendered_empty": F.count_if(F.coalesce(F.col("prompt"), F.lit("")) == ""),
+            "prompt_with_unknown_item": F.max(F.when(F.col("item_id").isNull(), 1).otherwise(0)),
+            "method_without_answer_format": total})
+
+    def ids(self, written: DataFrame, key: str) -> None:
+        """Has the ids of a written table counted, by their column alone."""
+        self._later.append(_row(f"{key}_repeated", duplicated(written, key)))
+
+    def checks(self) -> DataFrame:
+        """(check, failures), once the watched tables are written."""
+        counted = [(n, int(v or 0)) for seen in self._seen for n, v in seen.get.items()]
+        rows = self.spark.createDataFrame(counted, "check string, failures long")
+        return reduce(DataFrame.unionByName, [rows, *self._later, *settings_checks(self.spark, self.settings)])
+
+
 def assert_clean(checks: DataFrame) -> None:
     """Raise listing every failed check (the result is a handful of rows)."""
     failed = [(r["check"], r["failures"]) for r in checks.filter(F.col("failures") > 0).collect()]

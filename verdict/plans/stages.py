@@ -29,27 +29,32 @@ from ..sources import tables
 def build(corpus: DataFrame, settings: Settings, out_dir: str, item_ids: str = "make",
           check: bool = True, sort_items: bool = True) -> dict[str, str]:
     """Items (sampled per direction) and rendered prompts, written as
-    Parquet. Prompts are written beside their place first and move there only
-    after the quality checks pass; a failing build leaves earlier prompts as
-    they were."""
+    Parquet. The quality checks are counted as the rows are written. Prompts are
+    written once, beside their place, and move there only after the checks pass;
+    a failing build leaves earlier prompts as they were."""
     spark = corpus.sparkSession
     paths = {"items": f"{out_dir}/items", "prompts": f"{out_dir}/prompts"}
+    watch = quality.Watch(spark, settings)
     built = item_ops.build_items(corpus, settings, item_ids=item_ids)
     sampled = item_ops.stratified_sample(built, settings.items_per_direction,
                                          settings.sample_seed, settings.positive_label)
     # The items table is sorted by id at the sink (a range-partitioned
     # sort; nothing upstream depends on order).
-    tables.write_table(sampled.orderBy("item_id") if sort_items else sampled,
+    if sort_items:
+        sampled = sampled.orderBy("item_id")
+    tables.write_table(watch.items(sampled, by_id=sort_items) if check else sampled,
                        paths["items"], columns=schemas.ITEM_COLUMNS)
     items = spark.read.parquet(paths["items"])
     rendered = prompt_ops.build_prompts(items, settings)
-    columns = schemas.PROMPT_COLUMNS + ["examples_shown"]
+    draft = f"{out_dir}/prompts_unchecked"
+    tables.write_table(watch.prompts(rendered) if check else rendered, draft,
+                       columns=schemas.PROMPT_COLUMNS + ["examples_shown"], partition_by=["method"])
     if check:
-        unchecked = f"{out_dir}/prompts_unchecked"
-        tables.write_table(rendered, unchecked, columns=columns, partition_by=["method"])
-        rendered = spark.read.parquet(unchecked)
-        quality.assert_clean(quality.quality_checks(items, rendered, settings))
-    tables.write_table(rendered, paths["prompts"], columns=columns, partition_by=["method"])
+        if not sort_items:
+            watch.ids(items, "item_id")
+        watch.ids(spark.read.parquet(draft), "prompt_id")
+        quality.assert_clean(watch.checks())
+    tables.put_in_place(spark, draft, paths["prompts"])
     return paths
 
 

@@ -136,6 +136,22 @@ def write_table(df: DataFrame, path: str, columns: list[str] | None = None,
     return path
 
 
+def put_in_place(spark: SparkSession, draft: str, path: str) -> str:
+    """Moves a written table to ``path`` by renames, in place of an earlier one,
+    which is deleted only once the new one stands there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    source, target, before = hadoop(draft), hadoop(path), hadoop(f"{path}_before")
+    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        fs.delete(before, True)
+        if not fs.rename(target, before):
+            raise OSError(f"cannot move the earlier table of {path}")
+    if not fs.rename(source, target):
+        raise OSError(f"cannot move {draft} to {path}")
+    fs.delete(before, True)
+    return path
+
+
 def append_replies(df: DataFrame, path: str) -> str:
     """Append replies to the log, partitioned by method and model, with the
     time of the append and a classifier's refusal score where there is one.
