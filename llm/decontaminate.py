@@ -13,14 +13,17 @@ the benchmark, the words around it; rarity, the join and the check run on
 those narrow rows. Texts are never shuffled. Only DataFrame functions.
 
 Nulls: a null text has no words; a null doc_id is a row like any other, and
-repeated rows each get their own result. An empty benchmark hits nothing.
+repeated rows each get their own result. An empty benchmark hits nothing, and
+an empty table gives no rows. Texts of any length are read whole, in one task
+each. Of windows that tie in rarity the one that begins first is the prefix;
+the result is the same for any. Further columns are left alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -111,13 +114,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, wid
     occurrence), n_items, items (sorted ids of the items found; an item without
     an id counts but has no name), contaminated."""
     rows, hits = find(docs.select(key, "text"), benchmark, size, width)
-    runs = F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("len") - 1))))
-    # Intervals first become distinct per document, then their union is counted.
-    per_doc = hits.groupBy("uid").agg(
-        F.size(runs).cast("long").alias("n_hit"),
-        F.size(F.collect_set(F.struct("item_id"))).cast("long").alias("n_items"),
-        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    return (rows.join(per_doc, "uid", "left")
+    hits = common.stage(hits, "hits")
+    # The union of a document's runs: in order of their starts, each adds what
+    # lies beyond the ends before it. No run is unfolded into its words.
+    ends = hits.groupBy("uid", "start").agg(F.max(F.col("start") + F.col("len")).alias("end"))
+    before = Window.partitionBy("uid").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce(F.max("end").over(before), F.lit(0))), F.lit(0))
+    covered = ends.select("uid", fresh.alias("fresh")).groupBy("uid").agg(F.sum("fresh").alias("n_hit"))
+    named = (hits.select("uid", "item_id").distinct().groupBy("uid")
+             .agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items")))
+    return (rows.join(covered.join(named, "uid"), "uid", "left")
             .withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_hit", "n_items")})
             .withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
             .withColumn("contaminated", F.col("n_hit") > 0))
