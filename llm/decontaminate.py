@@ -61,18 +61,19 @@ def _window_shingles(windows: DataFrame, width: int) -> DataFrame:
 
 
 def _candidates(ws: Column, width: int, known: Callable, reach: int) -> Column:
-    """Positions whose shingle may be the benchmark's, with the words around."""
-    def may(i: Column) -> Column:
-        return known(_shingle_at(ws, i, width))
-
-    def row(i: Column) -> Column:
-        first = F.greatest(i - (reach - width), F.lit(0))
-        return F.struct(i.alias("pos"), _shingle_at(ws, i, width).alias("h"), first.alias("first"),
+    """Positions whose shingle may be the benchmark's, with the words around.
+    Each shingle is hashed once."""
+    def at(i: Column) -> Column:
+        return F.struct(i.alias("pos"), _shingle_at(ws, i, width).alias("h"))
+
+    def row(c: Column) -> Column:
+        first = F.greatest(c["pos"] - (reach - width), F.lit(0))
+        return F.struct(c["pos"].alias("pos"), c["h"].alias("h"), first.alias("first"),
                         F.slice(ws, first + 1, 2 * reach).alias("around"))
 
     places = F.when(F.size(ws) >= width, F.sequence(F.lit(0), F.size(ws) - width)) \
         .otherwise(F.array().cast("array<int>"))
-    return F.transform(F.filter(places, may), row)
+    return F.transform(F.filter(F.transform(places, at), lambda c: known(c["h"])), row)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
