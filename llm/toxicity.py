@@ -2,19 +2,24 @@
 
 A text is cut into clauses, and each word becomes a symbol: insult, threat,
 target, negation, reported speech, or other. Small transducers follow one
-matter each: a negation reaches over the next words, a mention of reported
-speech to the end of the clause, a target over its neighbours. Their
-composition is one deterministic machine whose product states decide what an
-insult or threat counts as: plain, aimed at someone, negated or reported. A
-clause's matches add up, weighted by the words' severities, and a document's
-matched clauses make a dozen features for a logistic score.
+matter each: a negation reaches to the next match or contrast ("but"), a mention
+of reported speech to the end of the clause, a target over the words after it;
+one more reads the clause from its end, so that a target reaches the words
+before it too. Their composition is one machine of product states from both
+sides, which decide what an insult or threat counts as: plain, said with a
+target before it, aimed at a target after it, negated or reported. A clause's
+matches add up, weighted by the words' severities, and a document's matched
+clauses make a dozen features for a logistic score. Which of the kinds count for
+how much is learned: "you will kill" has its target before, "kill you" after.
 
 The severities and further words are learned from labelled texts: words and
 word beginnings found in many toxic texts and in next to no others. So are the
 weights of the score. Both use at most ``FIT_ROWS`` labelled rows.
 
 Null and empty texts have no matches and get the score of a text without any.
-Repeated rows get equal scores; a null doc_id is scored and not held out.
+Repeated rows get equal scores; a null doc_id is scored and not held out. Texts
+of any length are read whole, each in one task. Empty tables give no rows, and
+without labels every score is 0.5. Further columns are left alone.
 """
 
 from __future__ import annotations
@@ -34,52 +39,71 @@ from pyspark.sql import functions as F
 from . import common, labelled
 
 # Word lists of the grammar (general vocabulary of four languages).
-TARGETS = """you your yours you're u he she they them this these those people tu te toi vous votre ils elles
+TARGETS = """you your yours you're u he she they him his her hers their them this these those people tu te toi vous votre ils elles
 du dich dir ihr euch sie dein usted ustedes ellos ellas tú""".split()
+CONTRASTS = "but mais sondern aber pero sino".split()
 NEGATIONS = """not no never neither nor isn't aren't don't doesn't wasn't ne pas jamais aucun non nicht kein keine
 nie niemals nunca jamás ningún ninguna tampoco""".split()
 REPORTS = """said says say saying called calls wrote writes claimed quoted quote reportedly allegedly dit disait
 écrit appelé selon sagte sagt schrieb nannte laut dijo dice escribió llamó según""".split()
-INSULTS = """idiot idiots stupid moron morons loser losers scum trash clown pathetic worthless disgusting dumb fool
+INSULTS = """idiot idiots stupid moron morons loser losers scum trash clown pathetic worthless disgusting dumb fool fools
 imbécile crétin débile dummkopf trottel blödmann idiota imbécil estúpido""".split()
 THREATS = """kill murder hurt destroy beat stab shoot hang burn tuer frapper détruire töten umbringen schlagen
 zerstören matar golpear destruir""".split()
 
-OTHER, TARGET, NEGATION, REPORT, INSULT, THREAT = range(6)
-KINDS = ["plain", "aimed", "negated", "reported"]
-#: Words a negation reaches, and words between a target and a match.
-NEGATED_FOR, AIMED_FOR = 3, 3
+OTHER, TARGET, NEGATION, REPORT, CONTRAST, INSULT, THREAT = range(7)
+KINDS = ["plain", "led", "negated", "reported", "aimed"]
+#: Words a target reaches, before and after it.
+AIMED_FOR = 3
 #: Learned entries: the texts that must hold one, as a share of the toxic ones,
 #: and the share of its texts (smoothed) that must be toxic.
 SUPPORT, LEAST, PURITY, ENTRIES = 0.005, 3, 0.9, 4096
 BEGINNINGS = range(3, 7)
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:,\n]")
+
+
+def tokens(text: str | None) -> list[str]:
+    """Lower-cased words and clause marks; a typographic apostrophe is one."""
+    return _TOKEN.findall((text or "").lower().replace("\u2019", "'"))
+
+
 _STOPS = frozenset(".!?;:,\n")
 _STOP = -1
 
 
+def _product(transducers: list) -> tuple[list, list[list[int]], int]:
+    """Transducers (states, symbol -> next state) run side by side as one:
+    its states, the next state for each (state, symbol), and the start."""
+    states = list(itertools.product(*(range(n) for n, _ in transducers)))
+    number = {s: i for i, s in enumerate(states)}
+    step = [[number[tuple(f(x, y) for (_, f), x in zip(transducers, s))] for y in range(THREAT + 1)] for s in states]
+    return states, step, number[(0,) * len(transducers)]
+
+
 class Grammar:
-    """The composed machine: next state and output for each (state, symbol)."""
+    """The composed machine: a product read from the left, one read from the
+    right, and an output for each (left state, right state, symbol)."""
 
     def __init__(self):
-        # Each transducer: symbol -> its next state. They run side by side.
-        negation = lambda s, x: NEGATED_FOR if x == NEGATION else max(0, s - 1)
-        target = lambda s, x: AIMED_FOR if x == TARGET else max(0, s - 1)
-        report = lambda s, x: int(s or x == REPORT)
-        states = list(itertools.product(range(NEGATED_FOR + 1), range(AIMED_FOR + 1), range(2)))
-        number = {s: i for i, s in enumerate(states)}
-        self.start = number[0, 0, 0]
-        self.step, self.out = [], []
-        for n, t, r in states:
-            self.step.append([number[negation(n, x), target(t, x), report(r, x)] for x in range(6)])
-            kind = KINDS.index("reported" if r else "negated" if n else "aimed" if t else "plain")
-            self.out.append([None] * INSULT + [kind, len(KINDS) + kind])
+        negation = (2, lambda s, x: 1 if x == NEGATION else 0 if x >= CONTRAST else s)
+        target = (AIMED_FOR + 1, lambda s, x: AIMED_FOR if x == TARGET else max(0, s - 1))
+        report = (2, lambda s, x: int(s or x == REPORT))
+        left, self.step, self.start = _product([negation, target, report])
+        right, self.back, self.end = _product([target])
+        kind = lambda n, led, r, aimed: KINDS.index(
+            "reported" if r else "negated" if n else "aimed" if aimed else "led" if led else "plain")
+        none = [None] * INSULT
+        self.out = [[none + [kind(*s, t), len(KINDS) + kind(*s, t)] for (t,) in right] for s in left]
 
     def clause(self, symbols, severities, totals: list) -> bool:
         """Adds one clause's matches to totals; whether it has any."""
+        after, state = [], self.end
+        for x in reversed(symbols):
+            after.append(state)
+            state = self.back[state][x]
         state, hit = self.start, False
-        for x, w in zip(symbols, severities):
-            k = self.out[state][x]
+        for x, w, r in zip(symbols, severities, reversed(after)):
+            k = self.out[state][r][x]
             if k is not None:
                 totals[k] += w
                 hit = True
@@ -94,7 +118,7 @@ class Lexicon(dict):
         super().__init__()
         self.entries = entries
         self.fixed = {w: (k, 1.0) for k, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS),
-                                                (THREAT, THREATS), (INSULT, INSULTS)) for w in ws}
+                                                (CONTRAST, CONTRASTS), (THREAT, THREATS), (INSULT, INSULTS)) for w in ws}
         self.fixed |= {w: (_STOP, 0.0) for w in _STOPS}
 
     def __missing__(self, w: str):
@@ -119,7 +143,7 @@ N_FEATURES = 2 * len(KINDS) + 3
 
 def document_features(text: str | None, grammar: Grammar, lexicon: Lexicon) -> list[float]:
     """Totals by kind, matched clauses, their share, matches per word."""
-    found = [lexicon[t] for t in _TOKEN.findall((text or "").lower())]
+    found = [lexicon[t] for t in tokens(text)]
     totals = [0.0] * (2 * len(KINDS))
     if not any(s >= INSULT for s, _ in found):
         return totals + [0.0] * 3
@@ -153,7 +177,7 @@ def _counted(only: frozenset | None):
         n = Counter()
         for b in batches:
             for t in b.column("text").to_pylist():
-                words = {w for w in _TOKEN.findall((t or "").lower()) if w not in _STOPS}
+                words = {w for w in tokens(t) if w not in _STOPS}
                 found = {f for w in words for f in features_of(w)}
                 n.update(found if only is None else found & only)
         yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["f", "n"])
