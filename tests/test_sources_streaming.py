@@ -203,6 +203,44 @@ def test_agreement_of_the_stream_equals_batch(spark, scratch):
     assert streaming.agreement_from_cells(got).collect() == want.collect()
 
 
+def test_agreement_cells_of_one_bucket_wait_and_expire_each_alone(spark, scratch):
+    """All cells in one bucket: keys null, replies over the number, expiry of a cell while others of its bucket get replies."""
+    from pyspark.sql import Row
+    log, sink = f"{scratch}/log", f"{scratch}/cells"
+    good, bad = "Label: Hallucination", "Label: No hallucination"
+
+    def run(*rows):
+        made = [Row(prompt_id=p, model=m, replicate=1, response=r, error=e, logged_at=f"2026-01-01T{h:02d}:00:00Z") for h, p, m, r, e in rows]
+        spark.createDataFrame(made, "prompt_id string, model string, replicate int, response string, error string, logged_at string").write.json(log, mode="append")
+        stream = streaming.reply_stream(spark, log).withWatermark("logged_at", "1 hour")
+        (streaming.agreement_cells(stream, FIXTURE, "2 hours", buckets=1).writeStream.format("parquet").outputMode("append")
+         .option("path", sink).option("checkpointLocation", f"{scratch}/ckpt").trigger(availableNow=True).start().awaitTermination())
+        return sorted((r[:] for r in spark.read.schema(streaming.CELLS).parquet(sink).collect()), key=str)
+
+    # Four replies of one micro-batch are one cell; a failed reply counts, but not as judged.
+    assert run(*[(0, "a", "m", good, "")] * 3, *[(0, None, "m", bad, "")] * 3, *[(0, "b", "m", x, "") for x in (good, good, bad, good)],
+               *[(0, "c", "m", None, "503")] * 3, (0, "d", "m", good, ""), (0, "e", None, good, ""), (0, "f", "m", bad, "")) == sorted([
+                   ("a", "m", 3, 3, True, True), (None, "m", 3, 3, True, True), ("b", "m", 4, 4, False, True), ("c", "m", 3, 0, None, True)], key=str)
+    before = run((2, "d", "m", good, ""), (2, "e", None, None, "503"))
+    assert len(before) == 4
+    # The last time is 5, so f's two hours end (at 0 + 2 < 5 - 1); d and e began to wait at 2 and end at 4, not before.
+    after = run((5, "g", "m", good, ""))
+    assert [r for r in after if r not in before] == [("f", "m", 1, 1, True, False)]
+    last = run((9, "g", "m", bad, ""))
+    assert [r for r in last if r not in after] == sorted([("d", "m", 2, 2, True, False), ("e", None, 2, 1, True, False)], key=str)
+    assert [r for r in run((9, "g", "m", bad, "")) if r not in last] == [("g", "m", 3, 3, False, True)]
+
+
+def test_agreement_calls_python_by_bucket_not_by_cell(spark):
+    rows = spark.readStream.format("rate").load().selectExpr(
+        "string(value) AS prompt_id", "'m' AS model", "'' AS error", "'' AS response", "timestamp AS logged_at")
+    cells = streaming.agreement_cells(rows.withWatermark("logged_at", "1 day"), FIXTURE)
+    spark.conf.set("spark.sql.debug.maxToStringFields", 100)
+    plan = cells._jdf.queryExecution().analyzed().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert "), [_bucket#" in next(x for x in plan.split("\n") if "FlatMapGroupsInPandasWithState" in x)
+
+
 def test_damaged_log_lines_are_set_aside(spark, scratch, tmp_path):
     good = '{"prompt_id":"p%d","model":"m","method":"baseline","replicate":1,"response":"Label: x","extra":[1]}'
     lines = [good % 0, "", good % 1, '{"prompt_id":"p2","mod', '{"prompt_id":"p3","model":"m","method":"span","replicate":"one"}',
