@@ -28,6 +28,18 @@ def test_retry_failed_owes_error_rows_again(spark):
     assert replies.outstanding(w, have, retry_failed=True).count() == errors
 
 
+def test_owed_keys_and_prompts_are_merged_not_broadcast(spark):
+    """Rows made by explode look small to the planner however many they are."""
+    spec = fx.prompts(spark, SF_SMALL)
+    owed = replies.outstanding(replies.wanted_replies(spec, FIXTURE), fx.collected(spark, SF_SMALL, FIXTURE, spec=spec))
+    work = replies.attach_prompts(owed, prompt_ops.build_prompts(fx.items(spark, SF_SMALL), FIXTURE))
+    assert work.count() > 0
+    work.collect()
+    joins = [x for x in work._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("\n")
+             if "Join" in x and "prompt_id#" in x]
+    assert len(joins) == 2 and all("SortMergeJoin" in x for x in joins), joins
+
+
 def test_budget_and_bodies(spark):
     w = replies.wanted_replies(fx.prompts(spark, SF_SMALL), FIXTURE)
     caps = {(r["model"], r["method"]): r["max_tokens"]

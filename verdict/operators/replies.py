@@ -64,16 +64,19 @@ def outstanding(wanted: DataFrame, collected: DataFrame, retry_failed: bool = Fa
     """Owed minus collected on (model, method, prompt_id, replicate).
 
     By default a logged failure counts as collected (it is in the log);
-    ``retry_failed`` owes it again."""
+    ``retry_failed`` owes it again. The log grows with the run, and the planner's
+    size of rows made by ``explode`` leaves out how many it makes, so the keys
+    are merged and never sent whole through the driver by a broadcast."""
     have = collected
     if retry_failed:
         have = have.filter(~labels.has_error("error"))
-    return wanted.join(have.select(*keys), keys, "left_anti")
+    return wanted.join(have.select(*keys).hint("merge"), keys, "left_anti")
 
 
 def attach_prompts(work: DataFrame, prompts: DataFrame) -> DataFrame:
-    """The prompt text, for what is still owed only."""
-    return work.join(prompts.select("prompt_id", "prompt"), "prompt_id")
+    """The prompt text, for what is still owed only. Both sides grow with
+    the items: merged, not broadcast (see ``outstanding``)."""
+    return work.join(prompts.select("prompt_id", "prompt").hint("merge"), "prompt_id")
 
 
 def request_bodies(work: DataFrame, settings: Settings) -> DataFrame:
