@@ -40,6 +40,16 @@ def test_owed_keys_and_prompts_are_merged_not_broadcast(spark):
     assert len(joins) == 2 and all("SortMergeJoin" in x for x in joins), joins
 
 
+def test_usage_reads_each_body_once_and_lists_no_model_without_a_call(spark):
+    ok = '{"choices":[],"usage":{"prompt_tokens":3,"completion_tokens":2}}'
+    bodies = spark.createDataFrame([("a", ok), ("a", ok), ("a", "<html>"), ("b", "<html>"), (None, ok), ("c", "{}")], "model string, body string")
+    usage = replies.token_usage(replies.read_responses(bodies))
+    assert sorted(usage.collect(), key=str) == sorted([("a", 2, 6, 4), (None, 1, 3, 2), ("c", 1, 0, 0)], key=str)
+    made = replies.token_usage(replies.read_responses(fx.response_bodies(spark, SF_SMALL, FIXTURE)))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_budget_and_bodies(spark):
     w = replies.wanted_replies(fx.prompts(spark, SF_SMALL), FIXTURE)
     caps = {(r["model"], r["method"]): r["max_tokens"]

@@ -108,12 +108,14 @@ def read_responses(bodies: DataFrame) -> DataFrame:
 
 
 def token_usage(responses: DataFrame) -> DataFrame:
-    """Calls and tokens per model, successful calls only."""
-    ok = responses.filter(F.col("error") == "")
-    return ok.groupBy("model").agg(
-        F.count(F.lit(1)).alias("calls"),
-        F.sum("prompt_tokens").alias("input_tokens"),
-        F.sum("completion_tokens").alias("output_tokens"))
+    """Calls and tokens per model, successful calls only. They are told
+    apart inside the aggregate: a filter before it would be pushed below the
+    reading of the bodies and read each of them again."""
+    ok = F.col("error") == ""
+    return responses.groupBy("model").agg(
+        F.count_if(ok).alias("calls"),
+        F.sum(F.when(ok, F.col("prompt_tokens"))).alias("input_tokens"),
+        F.sum(F.when(ok, F.col("completion_tokens"))).alias("output_tokens")).filter(F.col("calls") > 0)
 
 
 def pass_cost(prompts: DataFrame, settings: Settings) -> DataFrame:

@@ -17,6 +17,7 @@ from ..dimensions import literal
 from ..functions import text
 from ..operators import items as item_ops
 from ..operators import prompts as prompt_ops
+from ..session import parallelism
 
 # Fixed values of the fixture: method and model numbers used in the reply
 # selector b, and the texts of the non-label replies.
@@ -42,9 +43,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     """documents x labels as a corpus: ordinal, src_lang, tgt_lang, class_hall,
-    src_text (first half of the document), mt_text (second half)."""
+    src_text (first half of the document), mt_text (second half). ``tasks``
+    fixes the number of tasks it is spread over, by another hash than the join's:
+    an exchange like the join's would be left out and its tasks merged by bytes."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     # Every document is used whole: its first half (by characters) is the
@@ -57,7 +60,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN quality = 1 AND toxic = 0 THEN '1_No_hallucination' WHEN doc_id % 3 = 0 THEN '2_Small_hallucination' "
         "WHEN doc_id % 3 = 1 THEN '3_Partial_hallucination' ELSE '4_Full_hallucination' END AS class_hall",
         "left(text, CAST(floor(length(text) / 2) AS INT)) AS src_text",
-        "substr(text, CAST(floor(length(text) / 2) AS INT) + 1) AS mt_text").repartition("ordinal")
+        "substr(text, CAST(floor(length(text) / 2) AS INT) + 1) AS mt_text").repartition(*([tasks, F.xxhash64("ordinal")] if tasks else ["ordinal"]))
 
 
 def items(spark: SparkSession, sf_dir: str, settings: Settings = FIXTURE) -> DataFrame:
@@ -113,8 +116,12 @@ def response_bodies(spark: SparkSession, sf_dir: str, settings: Settings = FIXTU
     """Raw chat-completions bodies for every reply: b=6 a non-JSON error page,
     b=0 an empty choice list, b=1 no usage block, otherwise content padded with
     whitespace. Token counts: prompt_tokens = length(prompt_id),
-    completion_tokens = words in the reply."""
-    r = replies(spark, sf_dir, settings, keep_selector=True)
+    completion_tokens = words in the reply. Each item makes dozens of bodies to
+    write and read, which its keys' few bytes do not show, so the items are
+    spread over a stated number of tasks, not by their bytes."""
+    tasks = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = item_ops.build_items(corpus(spark, sf_dir, tasks), settings, item_ids="ordinal")
+    r = replies(spark, sf_dir, settings, keep_selector=True, spec=prompts(spark, sf_dir, settings, items_table=own))
     b = F.col("b")
     content = F.concat(F.lit("  "), F.coalesce("response", F.lit("")), F.lit("\n"))
     usage = F.struct(F.length("prompt_id").cast("long").alias("prompt_tokens"),
