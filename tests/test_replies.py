@@ -143,3 +143,25 @@ def test_call_judge_with_workers(spark):
     one = sorted(map(tuple, replies.call_judge(owed, _stub).collect()))
     many = sorted(map(tuple, replies.call_judge(owed, _stub, workers=4).collect()))
     assert one == many and len(one) == w.count()
+
+
+def test_replies_of_single_calls_share_frames(spark):
+    """Frames, not calls, are what a task hands on: one for each record was most of its time."""
+    import pandas as pd
+    work = spark.range(1, 2502, 1, 1).selectExpr("string(id) AS prompt_id", "'m' AS model", "'span' AS method", "1 AS replicate", "'x' AS prompt")
+    taken = []
+
+    class Work:  # as call_judge_batches takes it, run here
+        columns = work.columns
+
+        def select(self, *cols):
+            return self
+
+        def mapInPandas(self, run, schema):
+            taken.extend(run(iter([work.toPandas()])))
+
+    replies.call_judge(Work(), lambda r: None if r["prompt_id"] == "7" else "Label: x")
+    assert [len(f) for f in taken] == [1000, 1000, 501]
+    rows = pd.concat(taken)
+    assert rows["prompt_id"].tolist() == [str(k) for k in range(1, 2502)]
+    assert rows.loc[rows["error"] != "", "prompt_id"].tolist() == ["7"]

@@ -201,6 +201,8 @@ REPLY_OUT = schemas.REPLIES
 
 
 Ask = Callable[[list[dict]], list]
+#: Rows of replies that a task hands on at a time.
+FRAME_ROWS = 1000
 
 
 def settle(ask: Ask, group: list[dict]) -> list[tuple[str | None, str]]:
@@ -261,14 +263,25 @@ def call_judge_batches(work: DataFrame, ask: Ask, size: int = 32, in_flight: int
             if held:
                 yield held
 
-        for asked, answers in in_order(ask, groups(), in_flight):
-            rows = pd.DataFrame([{k: rec.get(k) for k in names} for rec in asked], columns=names)
+        def table(asked: list[dict], answers: list) -> pd.DataFrame:
+            rows = pd.DataFrame(asked, columns=names)
             rows["response"] = pd.Series([r for r, _ in answers], dtype=object)
             rows["error"] = [e for _, e in answers]
             rows["refusal"] = pd.Series([None if e else "" for _, e in answers], dtype=object)
             # A failed call has no reply, so it was not cut off.
             rows["truncated"] = [not e and "Label:" not in r for r, e in answers]
-            yield rows
+            return rows
+
+        # Calls of few records share a frame: one for each would cost more than the call's rows.
+        done: tuple[list[dict], list] = [], []
+        for asked, answers in in_order(ask, groups(), in_flight):
+            done[0].extend({k: rec.get(k) for k in names} for rec in asked)
+            done[1].extend(answers)
+            if len(done[0]) >= FRAME_ROWS:
+                yield table(*done)
+                done = [], []
+        if done[0]:
+            yield table(*done)
 
     needed = [c for c in ("prompt_id", "model", "method", "replicate", "runtime",
                           "temperature", "max_tokens", "prompt") if c in work.columns]
