@@ -142,3 +142,23 @@ def test_layout_is_text(spark, scratch):
         assert json.load(f) == {"buckets": 5}
     assert log.read().count() == 0 and log.outstanding(work(spark, 2)).count() == 16
     assert log.read().select(F.max("logged_at")).first()[0] is None
+
+
+def test_index_parts_hold_every_key_once_and_sorted():
+    """A part of a bucket is looked up alone, so wanted rows with prompts are never one group."""
+    import numpy as np
+    import pyarrow as pa
+
+    from verdict.sources import reply_log
+    hashes = np.unique(np.random.default_rng(1).integers(-2**63, 2**63 - 1, 5000))
+    bits = np.arange(len(hashes)) % 14
+    row = pa.RecordBatch.from_pylist([{"bucket": 1, "model": "m", "method": None, "prompts": reply_log._pack(hashes),
+                                       "logged": reply_log._pack(bits), "fine": reply_log._pack(bits // 2)}])
+    parts = [p.to_pylist()[0] for p in reply_log._in_parts(iter([row]))]
+    assert len(parts) == reply_log.PARTS and {p["method"] for p in parts} == {None}
+    found = {}
+    for p in parts:
+        own, logged, fine = (reply_log._unpack(p[c]) for c in ("prompts", "logged", "fine"))
+        assert (np.diff(own) > 0).all() and (own % reply_log.PARTS == p["_part"]).all()
+        found |= dict(zip(own.tolist(), zip(logged.tolist(), fine.tolist())))
+    assert found == dict(zip(hashes.tolist(), zip(bits.tolist(), (bits // 2).tolist())))

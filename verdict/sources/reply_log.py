@@ -29,6 +29,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,25 @@ def _merge(keys: pa.Table) -> pa.Table:
                      "logged": pa.array([_pack(both[0])], pa.binary()), "fine": pa.array([_pack(both[1])], pa.binary())})
 
 
+#: Parts of a (bucket, model, method) by hash, each looked up by itself: wanted rows may carry prompts.
+PARTS = 64
+_INDEX_PARTS = f"{_INDEX}, _part int"
+
+
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Index rows cut into their parts."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            hashes, logged, fine = (_unpack(row[c]) for c in ("prompts", "logged", "fine"))
+            part = hashes % PARTS
+            for k in np.unique(part):
+                here = part == k
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["bucket"]], pa.int32()), pa.array([row["model"]], pa.string()), pa.array([row["method"]], pa.string()),
+                     *(pa.array([_pack(x[here])], pa.binary()) for x in (hashes, logged, fine)), pa.array([k], pa.int32())],
+                    names=[*_KEYS, "prompts", "logged", "fine", "_part"])
+
+
 def _still_owed(bits: str):
     def run(wanted: pa.Table, index: pa.Table) -> pa.Table:
         if not index.num_rows or not wanted.num_rows:
@@ -208,8 +228,10 @@ class ReplyLog:
         with ``retry_failed``, none holds without error)."""
         cols = wanted.columns
         keyed = wanted.withColumns({"bucket": self.bucket_of("prompt_id"), "_hash": F.xxhash64("prompt_id")})
+        keyed = keyed.withColumn("_part", F.pmod("_hash", F.lit(PARTS)).cast("int"))
         kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields)
-        return (keyed.groupBy(*_KEYS).cogroup(self.index(commits).groupBy(*_KEYS))
+        index = self.index(commits).mapInArrow(_in_parts, _INDEX_PARTS)
+        return (keyed.groupBy(*_KEYS, "_part").cogroup(index.groupBy(*_KEYS, "_part"))
                 .applyInArrow(_still_owed("fine" if retry_failed else "logged"), kind).select(*cols))
 
     # -- appending ---------------------------------------------------------
