@@ -27,6 +27,11 @@ def prompt_id(item, method, shots) -> Column:
                     F.when(s.isNotNull() & (s != 0), s.cast("string")).otherwise(F.lit("")))
 
 
+def prompt_suffix(method: str, shots: int) -> str:
+    """What ``prompt_id`` puts after the item's id."""
+    return f"-{method}{int(shots) if shots else ''}"
+
+
 def method_label(method, shots) -> Column:
     """Method and shot count, a zero count shown as nothing (``fewshot2``,
     ``baseline``)."""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..config import Settings
 from ..dimensions import literal
 from ..functions import ids, templates, text
+from ..session import files_cleared, scratch_dir
 
 
 def prompt_spec(items: DataFrame, settings: Settings, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -99,6 +101,18 @@ def example_sets(items: DataFrame, settings: Settings) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("slot", "item_id", rendered.alias("text")))).alias("examples"))
 
 
+def _rendered(method: Column, settings: Settings) -> Column:
+    """P14 of a row that holds an item's texts and its examples as ``_shown``."""
+    names = settings.language_names()
+    return templates.render_by_method(method, {
+        "source": ids.language_name_sql("source_language", names),
+        "target": ids.language_name_sql("target_language", names),
+        "source_text": "source_text", "target_text": "target_text",
+        "examples": "array_join(transform(_shown, e -> e.text), '')",
+        "other_label": "''", "other_reasoning": "''",
+    })
+
+
 def build_prompts(items: DataFrame, settings: Settings,
                   methods: list[str] | None = None) -> DataFrame:
     """G2 + J4 + P14 + P15: the prompt table, with the rendered text and the
@@ -115,20 +129,77 @@ def build_prompts(items: DataFrame, settings: Settings,
     # broadcast while small, else a shuffle join that splits skewed directions.
     joined = spec.join(sets, ["direction", "shots"], "left")
     shown = F.expr("filter(coalesce(examples, array()), e -> e.item_id <> item_id)")
-    names = settings.language_names()
-    fields = {
-        "source": ids.language_name_sql("source_language", names),
-        "target": ids.language_name_sql("target_language", names),
-        "source_text": "source_text", "target_text": "target_text",
-        "examples": "array_join(transform(_shown, e -> e.text), '')",
-        "other_label": "''", "other_reasoning": "''",
-    }
     return (joined.withColumn("_shown", shown)
             .select("prompt_id", "item_id", "method", "shots", "direction", "answer",
-                    templates.render_by_method(F.col("method"), fields).alias("prompt"),
+                    _rendered(F.col("method"), settings).alias("prompt"),
                     F.size("_shown").alias("examples_shown")))
 
 
+#: Characters of examples that are sent to every executor.
+MAX_SENT = 8 * 1024 * 1024
+
+
+def example_maps(items: DataFrame, settings: Settings) -> DataFrame:
+    """``example_sets`` by direction: a map from shots to the examples."""
+    return example_sets(items, settings).groupBy(F.col("direction").alias("_direction")).agg(
+        F.map_from_entries(F.collect_list(F.struct("shots", "examples"))).alias("_sets"))
+
+
+def kept_example_maps(items: DataFrame, settings: Settings) -> DataFrame:
+    """``example_maps`` drawn once and written to the shared folder, so that
+    their size is known before a plan is made: up to ``MAX_SENT`` characters
+    they are broadcast and the items stay where they lie, else the planner
+    joins them."""
+    spark = items.sparkSession
+    at = scratch_dir(spark, "examples")
+    maps = example_maps(items, settings)
+    with files_cleared(spark):
+        maps.write.parquet(at)
+    kept = spark.read.schema(maps.schema).parquet(at)
+    chars = kept.select(F.explode(F.flatten(F.map_values("_sets"))).alias("e")).agg(F.sum(F.length("e.text"))).first()[0]
+    return F.broadcast(kept) if (chars or 0) <= MAX_SENT else kept
+
+
+def attach_rendered(work: DataFrame, items: DataFrame, settings: Settings,
+                    examples: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """J6 over ``build_prompts`` of the items: every row of ``work`` (keys with
+    a ``prompt_id``, no text) once for each prompt of its id, with the text.
+
+    A prompt repeats its item's texts, and a few-shot prompt whole other items,
+    so no prompt is shuffled, sorted or written: an id names its item and kind
+    (``ids.prompt_id`` read backwards), the owed rows are gathered by item, and
+    each item's texts meet them once. Prompts are rendered after the last
+    exchange. ``examples`` are the items' ``example_maps`` where the caller
+    keeps them; ``tasks`` fixes the number of tasks the items are dealt to (it
+    holds while the examples are broadcast)."""
+    examples = example_maps(items, settings) if examples is None else examples
+    kinds = ", ".join(f"named_struct('method', {literal(m)}, 'shots', {int(s)}, 'suffix', {literal(ids.prompt_suffix(m, s))})"
+                      for m, s in settings.prompt_methods())
+    # An id may end like several kinds (methods 'a' and 'b-a'): each names another item.
+    named = work.select(F.struct(*work.columns).alias("_work"), "prompt_id", F.expr(
+        f"explode(filter(array({kinds}), k -> endswith(prompt_id, k.suffix))) AS _kind"))
+    item = F.expr("left(prompt_id, length(prompt_id) - length(_kind.suffix))")
+    # Ids that are whole numbers are joined as such: the items may lie by them already.
+    kind = items.schema["item_id"].dataType
+    whole = isinstance(kind, IntegralType)
+    named = named.select("_work", "_kind.method", "_kind.shots", item.alias("_text"), (item.try_cast(kind) if whole else item).alias("_item"))
+    if whole:
+        named = named.filter(F.col("_item").cast("string") == F.col("_text"))
+    own = items.select("item_id", "direction", "source_language", "target_language", "source_text", "target_text",
+                       (F.col("item_id") if whole else F.col("item_id").cast("string")).alias("_id"))
+    if tasks:
+        named, own = named.repartition(tasks, "_item"), own.repartition(tasks, "_id")
+    owed = named.groupBy("_item").agg(F.collect_list(F.struct("_work", "method", "shots")).alias("_owed"))
+    texts = own.join(owed.hint("merge"), F.col("_id") == F.col("_item"))
+    # J4 as in ``build_prompts``, but once an item and not once a prompt.
+    rows = (texts.join(examples, F.col("direction") == F.col("_direction"), "left")
+            .select("item_id", "source_language", "target_language", "source_text", "target_text", "_sets",
+                    F.explode("_owed").alias("_o"))
+            .withColumn("_shown", F.expr("filter(coalesce(try_element_at(_sets, _o.shots), array()), e -> e.item_id <> item_id)")))
+    return rows.select(*[F.col(f"_o._work.{c}").alias(c) for c in work.columns],
+                       _rendered(F.col("_o.method"), settings).alias("prompt"))
+
+
 def prompt_counts(prompts: DataFrame) -> DataFrame:
     """M9 + M10: prompts per (method, shots), and per method."""
     per = prompts.groupBy("method", "shots").agg(F.count(F.lit(1)).alias("prompts"))

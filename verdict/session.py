@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -102,3 +104,22 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     on its file system when something is written."""
     root = checkpoint_root(spark)
     return f"{root}/verdict/{label}-{uuid.uuid4().hex[:12]}"
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def files_cleared(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside remove their shuffle files as they end; else the
+    files lie there until the driver collects its garbage. A frame that is run
+    twice makes its shuffles twice."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
