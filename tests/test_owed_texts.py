@@ -1,5 +1,8 @@
 """Prompts are attached to owed replies without moving a prompt."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from verdict import session
@@ -7,8 +10,11 @@ from verdict.config import FIXTURE, Method
 from verdict.functions import templates
 from verdict.operators import prompts as prompt_ops
 from verdict.operators import replies
+from verdict.plans import queries as Q
 from verdict.sources.reply_log import ReplyLog
 
+from .conftest import SF_SMALL
+
 ITEM = "item_id {}, source_language string, target_language string, direction string, grade string, answer string, source_text string, target_text string"
 
 
@@ -53,6 +59,21 @@ def test_text_ids_as_by_the_prompt_table(spark):
     assert old == new and len(new) > 24
 
 
+def moved(df) -> list[set[str]]:
+    """Names of the columns each exchange of the plan moves."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return [set(re.findall(r"(\w+)#\d+", m)) for m in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)]
+
+
+@pytest.mark.parametrize("name", ["outstanding_replies"])
+def test_no_prompt_is_moved(spark, name):
+    seen = moved(Q.queries()[name](spark, SF_SMALL))
+    assert seen
+    assert not [s for s in seen if "prompt" in s]
+    # Texts are dealt out with their item alone, never once for each of its prompts.
+    assert not [s for s in seen if s & {"src_text", "source_text"} and s & {"prompt_id", "shots", "method", "_owed"}]
+
+
 def test_committed_replies_write_keys_and_no_prompt(spark, scratch, monkeypatch):
     own = items(spark, [1, 2, 2, 30], "bigint")
     owed = replies.wanted_replies(prompt_ops.prompt_spec(own, FIXTURE), FIXTURE)

@@ -400,7 +400,7 @@ def _owed(spark, sf_dir):
 
 def _owed_text(spark, sf_dir):
     i, owed = _owed(spark, sf_dir)
-    return replies.attach_prompts(owed, prompt_ops.build_prompts(i, CFG))
+    return prompt_ops.attach_rendered(owed, i, CFG, prompt_ops.kept_example_maps(i, CFG))
 
 
 _OWED_TEXT = S.with_ctes(
