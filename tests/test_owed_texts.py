@@ -65,7 +65,7 @@ def moved(df) -> list[set[str]]:
     return [set(re.findall(r"(\w+)#\d+", m)) for m in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)]
 
 
-@pytest.mark.parametrize("name", ["outstanding_replies", "request_bodies"])
+@pytest.mark.parametrize("name", ["outstanding_replies", "request_bodies", "outstanding_indexed"])
 def test_no_prompt_is_moved(spark, name):
     seen = moved(Q.queries()[name](spark, SF_SMALL))
     assert seen

@@ -420,8 +420,9 @@ def q_outstanding_indexed(spark, sf_dir):
     log, and what is owed is found without reading them again."""
     log = ReplyLog(spark, scratch_dir(spark, "log"), buckets=4)
     log.load(fx.collected(spark, sf_dir, CFG))
-    owed = log.outstanding(replies.wanted_replies(fx.prompts(spark, sf_dir, CFG), CFG))
-    return replies.attach_prompts(owed, prompt_ops.build_prompts(_items(spark, sf_dir), CFG)).select(
+    i = _items(spark, sf_dir)
+    owed = log.outstanding(replies.wanted_replies(fx.prompts(spark, sf_dir, CFG, items_table=i), CFG))
+    return prompt_ops.attach_rendered(owed, i, CFG, prompt_ops.kept_example_maps(i, CFG)).select(
         "model", "method", "prompt_id", "replicate", "runtime", "temperature", "max_tokens", "prompt")
 
 
